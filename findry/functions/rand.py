@@ -16,8 +16,12 @@ def hash_order(seed: int | str, *cols: Column) -> Column:
 
 
 def uniform_of(digest: Column) -> Column:
-    """Map a hex digest to [0, 1) by its first eight digits."""
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    """Map a hex digest to [0, 1) by its first 13 digits.
+
+    13 digits are 52 bits: exact in a double, and fine enough to address any
+    row of a table of trillions.
+    """
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def uniform(seed: int | str, *cols: Column) -> Column:

@@ -146,7 +146,7 @@ def _scan_hits(
     block = queries.toPandas()  # at most the counted bound
     shared = items.sparkSession.sparkContext.broadcast(block)
     arrow = pa.schema(
-        [(f.name, _arrow_type(f.dataType)) for f in schema.fields]
+        [(f.name, arrow_type(f.dataType)) for f in schema.fields]
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +169,7 @@ def _scan_hits(
     return items.mapInArrow(search, schema)
 
 
-def _arrow_type(t: T.DataType) -> pa.DataType:
+def arrow_type(t: T.DataType) -> pa.DataType:
     if isinstance(t, T.StringType):
         return pa.string()
     if isinstance(t, T.LongType):
@@ -181,7 +181,7 @@ def _arrow_type(t: T.DataType) -> pa.DataType:
     raise TypeError(f"ids must be strings or integers, not {t.simpleString()}")
 
 
-def _block_pairs(
+def block_pairs(
     queries: DataFrame, items: DataFrame, bound: int, item_block: int
 ) -> tuple[DataFrame, DataFrame]:
     """Both sides tagged with the block pairs they take part in."""
@@ -203,7 +203,7 @@ def _block_hits(
     bound: int,
     item_block: int,
 ) -> DataFrame:
-    q, i = _block_pairs(queries, items, bound, item_block)
+    q, i = block_pairs(queries, items, bound, item_block)
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         block = left.to_pandas()
@@ -213,8 +213,8 @@ def _block_hits(
         qids, pids, scores = running.emit(block["qid"].to_numpy(dtype=object))
         return pa.table(
             {
-                "qid": pa.array(qids, _arrow_type(schema["qid"].dataType)),
-                "pid": pa.array(pids, _arrow_type(schema["pid"].dataType)),
+                "qid": pa.array(qids, arrow_type(schema["qid"].dataType)),
+                "pid": pa.array(pids, arrow_type(schema["pid"].dataType)),
                 "score": pa.array(scores, pa.float64()),
             }
         )

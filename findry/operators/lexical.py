@@ -29,6 +29,13 @@ B = 0.4
 _IMPACT_CELLS = 4_000_000  # query terms x documents held at once by one task
 
 
+def run_ends(s: Column) -> Column:
+    """One-based places where a run of equal elements ends, in a sorted array."""
+    return F.filter(
+        F.transform(s, lambda _, i: i + 1), lambda i: ~F.get(s, i - 1).eqNullSafe(F.get(s, i))
+    )
+
+
 def term_counts(tokens: Column) -> Column:
     """``struct(dl, terms array<struct(term, tf)>)`` of a token array.
 
@@ -36,11 +43,6 @@ def term_counts(tokens: Column) -> Column:
     ends then give each distinct term and its count in one pass.
     """
 
-    def ends(s: Column) -> Column:
-        return F.filter(
-            F.transform(s, lambda _, i: i + 1), lambda i: ~F.get(s, i - 1).eqNullSafe(F.get(s, i))
-        )
-
     def runs(s: Column, e: Column) -> Column:
         return F.transform(
             e,
@@ -53,7 +55,7 @@ def term_counts(tokens: Column) -> Column:
     return let(
         F.sort_array(tokens),
         lambda s: F.struct(
-            F.size(s).alias("dl"), let(ends(s), lambda e: runs(s, e)).alias("terms")
+            F.size(s).alias("dl"), let(run_ends(s), lambda e: runs(s, e)).alias("terms")
         ),
     )
 
