@@ -147,6 +147,20 @@ def nfd(col: Column) -> Column:
     return F.coalesce(F.when(ascii_only, col), _decompose(F.when(~ascii_only, col)))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _decompose_all(lists: pd.Series) -> pd.Series:
+    return lists.map(
+        lambda ts: [t if t is None else unicodedata.normalize("NFD", t) for t in ts],
+        na_action="ignore",
+    )
+
+
+def nfd_all(col: Column) -> Column:
+    """Canonical decomposition of every string of an array."""
+    ascii_only = F.array_join(col, "").rlike(r"^\p{ASCII}*$")
+    return F.coalesce(F.when(ascii_only, col), _decompose_all(F.when(~ascii_only, col)))
+
+
 def _fenced(tokens: Column) -> Column:
     # tokens hold no space, so a space on both sides marks token borders
     return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
@@ -155,8 +169,9 @@ def _fenced(tokens: Column) -> Column:
 def has_answer(text: Column, answers: Column) -> Column:
     """True when the tokens of any answer occur as a run in the text.
 
-    Both sides must have been decomposed by :func:`nfd` if they may mix
-    composed and decomposed accents. An answer without tokens matches every
+    Both sides should be columns made by :func:`nfd` in an earlier select, so
+    that composed and decomposed accents match; Spark allows no Python
+    function inside the lambdas used here. An answer without tokens matches every
     text; a missing text matches nothing.
     """
 

@@ -24,6 +24,7 @@ def get_session(app: str = "findry", cores: int | None = None) -> SparkSession:
             .config("spark.sql.shuffle.partitions", str(cores))
             .config("spark.driver.memory", "12g")
             .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
         )
     return (
         builder.config("spark.sql.session.timeZone", "UTC")
