@@ -465,31 +465,31 @@ _DIM = 64
 def _embed_sql(source: str, key: str, dim: int = _DIM) -> str:
     return f"""
 w AS (
-  SELECT {key}, (('0x' || substr(md5(term), 1, 8))::UBIGINT % {dim})::INT AS at, 1 + ln(count(*)) AS w
+  SELECT {key}, (('0x' || substr(md5(term), 1, 8))::UBIGINT % {dim})::INT AS slot, 1 + ln(count(*)) AS w
   FROM (SELECT {key}, unnest({tokens_sql("text")}) AS term FROM {source}) GROUP BY {key}, term),
-place AS (SELECT {key}, at, sum(w) AS w FROM w GROUP BY {key}, at),
+place AS (SELECT {key}, slot, sum(w) AS w FROM w GROUP BY {key}, slot),
 norm AS (SELECT {key}, sqrt(sum(w * w)) AS n FROM place GROUP BY {key})"""
 
 
 @query(
     "embed_documents",
     f"""WITH {_embed_sql("documents", "doc_id")}
-SELECT doc_id, at, round(w / n, 6) AS v FROM place JOIN norm USING (doc_id)""",
+SELECT doc_id, slot, round(w / n, 6) AS v FROM place JOIN norm USING (doc_id)""",
 )
 def _embed(spark, sf):
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     rows = embed(docs, "text", dim=_DIM)
-    long = rows.select("doc_id", F.posexplode("embedding").alias("at", "v"))
-    return long.where(F.col("v") != 0).select("doc_id", "at", F.round("v", 6).alias("v"))
+    long = rows.select("doc_id", F.posexplode("embedding").alias("slot", "v"))
+    return long.where(F.col("v") != 0).select("doc_id", "slot", F.round("v", 6).alias("v"))
 
 
 @query(
     "semantic_search",
     f"""WITH dv AS (WITH {_embed_sql("documents", "doc_id")}
-  SELECT doc_id AS pid, at, w / n AS v FROM place JOIN norm USING (doc_id)),
+  SELECT doc_id AS pid, slot, w / n AS v FROM place JOIN norm USING (doc_id)),
 qv AS (WITH {_embed_sql("benchmark", "item_id")}
-  SELECT item_id AS qid, at, w / n AS v FROM place JOIN norm USING (item_id)),
-s AS (SELECT qid, pid, round(sum(q.v * d.v), 6) AS score FROM qv q JOIN dv d USING (at) GROUP BY qid, pid)
+  SELECT item_id AS qid, slot, w / n AS v FROM place JOIN norm USING (item_id)),
+s AS (SELECT qid, pid, round(sum(q.v * d.v), 6) AS score FROM qv q JOIN dv d USING (slot) GROUP BY qid, pid)
 SELECT qid, pid, score, rank::INT AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM s) WHERE rank <= 10""",
 )
