@@ -64,18 +64,19 @@ def shuffle_tokens(tokens: Column, p: float, seed: int | str, key: Column) -> Co
         ),
     )
 
-    def permute(moving: Column) -> Column:
+    def permute(all_tokens: Column) -> Column:
+        moving = F.filter(all_tokens, lambda m: m["moves"])
+        staying = F.filter(all_tokens, lambda m: ~m["moves"])
         # the j-th moving place receives the j-th token of the shuffled subset
-        places = F.transform(moving, lambda m: m["place"])
-        shuffled = F.transform(F.array_sort(moving), lambda m: m["token"])
-        return F.transform(
-            tokens,
-            lambda t, i: F.coalesce(
-                F.get(shuffled, F.array_position(places, i).cast("int") - 1), t
-            ),
+        moved = F.zip_with(
+            moving,
+            F.array_sort(moving),
+            lambda to, source: F.struct(to["place"].alias("place"), source["token"].alias("token")),
         )
+        stayed = F.transform(staying, lambda m: F.struct(m["place"], m["token"]))
+        return F.transform(F.sort_array(F.concat(moved, stayed)), lambda m: m["token"])
 
-    return let(F.filter(marked, lambda m: m["moves"]), permute)
+    return let(marked, permute)
 
 
 def augment(

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window as W
 
 from findry.functions.rand import hash_order
 from findry.functions.text import make_id
+from findry.operators.joins import salted_join
 from findry.session import materialize
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
@@ -74,6 +75,20 @@ def dense_index(df: DataFrame, order: list[str], out: str = "idx") -> DataFrame:
     return prefix_sum(df, order, None, out)
 
 
+def index_within(
+    df: DataFrame, key: str, order: list[str], out: str = "idx"
+) -> DataFrame:
+    """Zero-based position of each row among the rows of its key.
+
+    The global position less the first one of the key: no window over a key,
+    so one that holds a large share of the rows is sorted by many tasks.
+    """
+    numbered = dense_index(df, [key, *order], "_i")
+    firsts = numbered.groupBy(key).agg(F.min("_i").alias("_first"))
+    joined = salted_join(numbered, firsts, key, "_i")
+    return joined.withColumn(out, F.col("_i") - F.col("_first")).drop("_i", "_first")
+
+
 def assign_ids(df: DataFrame, key: str, ordinal: str, prefix: str, out: str = "id") -> DataFrame:
     """Dense first-seen ids: one row per distinct key with ``prefix`` + 0, 1, 2, ...
 

@@ -165,8 +165,8 @@ def sample_mixture(
     ``df`` has ``dataset`` and the ``order`` columns, ``weights`` one row per
     dataset with ``n`` and ``weight``. Adds ``draw``.
     """
-    # position of a row within its dataset = global position - where the dataset starts
     numbered = dense_index(df, ["dataset", *order], "_idx")
+    # a row's place in its dataset is its global place less where the dataset starts
     starts = numbered.groupBy("dataset").agg(F.min("_idx").alias("_first"))
     table = weights.join(starts, "dataset").select("dataset", "n", "weight", "_first").collect()
     table.sort(key=lambda r: r["dataset"])

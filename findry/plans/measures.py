@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from findry.functions.text import nfd, nfd_all
 from findry.operators import dataset, lexical, metrics, stats, vector
+from findry.operators.indexing import index_within
 from findry.operators.rag import pack_ctxs
 from findry.plans.registry import (
     bm25_sql,
@@ -242,12 +242,10 @@ _ORDER_SQL = """orders_of AS (
 
 def two_orders(spark, sf):
     """Each user's events by value and by time."""
-    user = W.partitionBy("user_id")
-    place = F.row_number()
-    return table(spark, sf, "events").select(
-        F.col("user_id").alias("qid"),
-        (place.over(user.orderBy("value", "event_id")) - 1).alias("pos"),
-        (place.over(user.orderBy("ts", "event_id")) - 1).alias("gold_pos"),
+    events = table(spark, sf, "events").select(F.col("user_id").alias("qid"), "value", "ts", "event_id")
+    placed = index_within(events, "qid", ["value", "event_id"], "pos")
+    return index_within(placed, "qid", ["ts", "event_id"], "gold_pos").select(
+        "qid", "pos", "gold_pos"
     )
 
 

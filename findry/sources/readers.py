@@ -29,12 +29,13 @@ def read_passages(spark: SparkSession, path: Paths, multiline: bool = False) ->
 
     A ``summary`` field stands in for a missing ``text``. TSV columns go by
     position (id, text, title) and a row whose id cell reads ``id`` is a
-    header. ``multiline`` reads pretty-printed records.
+    header. ``multiline`` reads pretty-printed records, and TSV bodies with
+    line breaks; without it large files are split between tasks.
     """
     paths = _as_list(path)
     if all(p.rstrip("/").endswith(".tsv") for p in paths):
         rows = spark.read.csv(
-            paths, sep="\t", quote='"', escape='"', multiLine=True, schema=schemas.PASSAGE_TSV
+            paths, sep="\t", quote='"', escape='"', multiLine=multiline, schema=schemas.PASSAGE_TSV
         )
         body = rows.where(F.col("id") != "id")
         return body.select(F.col("id").alias("pid"), "title", "text")

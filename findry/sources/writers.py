@@ -10,6 +10,16 @@ from findry.functions.text import parse_id, truncate
 
 BODY_LIMIT = 10_000
 
+# texts keep their own leading and trailing blanks
+_TSV = {
+    "sep": "\t",
+    "quote": '"',
+    "escape": '"',
+    "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
 
 def write_passages(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:
     """``(pid, title, text[, metadata])`` as JSON lines, or as TSV ``id, text, title``."""
@@ -20,9 +30,7 @@ def write_passages(df: DataFrame, path: str, fmt: str = "json", mode: str = "ove
         df.select(*fields).write.mode(mode).json(path)
     elif fmt == "tsv":
         rows = df.select(F.col("pid").alias("id"), "text", "title")
-        rows.write.mode(mode).csv(
-            path, sep="\t", header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
-        )
+        rows.write.mode(mode).csv(path, header=True, **_TSV)
     else:
         raise ValueError(f"unknown format {fmt!r}")
 
@@ -33,7 +41,7 @@ def write_queries(df: DataFrame, path: str, fmt: str = "json", mode: str = "over
         df.select(F.col("qid").alias("_id"), "text").write.mode(mode).json(path)
     elif fmt == "tsv":
         ordered = df.select("qid", "text").orderBy(parse_id(F.col("qid")))
-        ordered.write.mode(mode).csv(path, sep="\t", header=False, quote='"', escape='"')
+        ordered.write.mode(mode).csv(path, header=False, **_TSV)
     else:
         raise ValueError(f"unknown format {fmt!r}")
 
@@ -49,7 +57,7 @@ def write_qrels(
     writer = rows.write.mode(mode)
     if split:
         writer = writer.partitionBy(split)
-    writer.csv(path, sep="\t", header=True)
+    writer.csv(path, header=True, **_TSV)
 
 
 def write_examples(df: DataFrame, path: str, mode: str = "overwrite") -> None:
