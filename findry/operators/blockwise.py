@@ -7,10 +7,10 @@ the best k per query leave a task, so the shuffle carries
 
 Two physical forms share one kernel:
 
-* up to ``bound`` queries: the counted query block is broadcast and the table
-  is scanned where it lies, with no shuffle of the table;
-* more queries: both sides are cut into hash blocks and co-grouped by block
-  pair, so no task holds more than one block of each side.
+* a query block within ``bound`` rows and the cell bound (both counted first)
+  is broadcast and the table is scanned where it lies, with no shuffle of it;
+* more queries: both sides are cut into hash blocks of bounded size and
+  co-grouped by block pair, so no task holds more than one block of each side.
 
 Ranking is by rounded score, ties by id, and is exact in both forms.
 """
@@ -29,21 +29,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from findry.session import row_count_within
-
 QUERY_BOUND = 2048
 ITEM_BLOCK = 65_536
+# array elements (vector places, terms) that one block of either side may hold
+BLOCK_CELLS = 16_000_000
 _SCORE_SCALE = 1e6  # scores are ranked after rounding to six decimals
 # scores held at once by one task: query slice x item slice
 _QUERY_SLICE = 512
 _ITEM_SLICE = 8192
+_PAIRS_PER_CORE = 4
 
 
 class Scorer(Protocol):
     """Scores a block of queries against a block of items."""
 
-    query_columns: list[str]
+    query_columns: list[str]  # the first one is an array
     item_columns: list[str]
+    array_column: str  # the largest array among the item columns
 
     def load(self, queries: pd.DataFrame) -> object:
         """Turn the query block into the state the scoring needs."""
@@ -181,17 +183,46 @@ def arrow_type(t: T.DataType) -> pa.DataType:
     raise TypeError(f"ids must be strings or integers, not {t.simpleString()}")
 
 
+def _size(df: DataFrame, cells: str) -> tuple[int, int]:
+    """Rows, and elements of the array column ``cells``."""
+    total = df.agg(F.count("*").alias("n"), F.sum(F.size(cells)).alias("c")).first()
+    return total["n"], max(total["c"] or 0, 0)
+
+
+def fits_broadcast(queries: DataFrame, cells: str, bound: int) -> bool:
+    """Whether the query block is small enough to be copied to every task.
+
+    The limit keeps the check from reading a large table to its end.
+    """
+    n, c = _size(queries.limit(bound + 1), cells)
+    return n <= bound and c <= BLOCK_CELLS
+
+
 def block_pairs(
-    queries: DataFrame, items: DataFrame, bound: int, item_block: int
+    queries: DataFrame,
+    items: DataFrame,
+    bound: int,
+    item_block: int,
+    cells: tuple[str, str] = ("embedding", "embedding"),
 ) -> tuple[DataFrame, DataFrame]:
-    """Both sides tagged with the block pairs they take part in."""
-    n_q = max(1, -(-queries.count() // bound))
-    n_i = max(1, -(-items.count() // item_block))
+    """Both sides tagged with the block pairs they take part in.
+
+    Blocks are bounded by rows and by array elements. Item blocks are made
+    smaller still when that is needed for several block pairs per core,
+    which even out over the tasks.
+    """
+    rows_q, cells_q = _size(queries, cells[0])
+    rows_i, cells_i = _size(items, cells[1])
+    n_q = max(1, -(-rows_q // bound), -(-cells_q // BLOCK_CELLS))
+    wanted = _PAIRS_PER_CORE * queries.sparkSession.sparkContext.defaultParallelism
+    n_i = max(1, -(-rows_i // item_block), -(-cells_i // BLOCK_CELLS), -(-wanted // n_q))
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
     q = queries.withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(n_q)))
     i = items.withColumn("_ib", F.pmod(F.xxhash64("pid"), F.lit(n_i)))
-    q = q.withColumn("_ib", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_i - 1).cast("long"))))
-    i = i.withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
-    return q, i
+    return q.withColumn("_ib", every(n_i)), i.withColumn("_qb", every(n_q))
 
 
 def _block_hits(
@@ -203,7 +234,8 @@ def _block_hits(
     bound: int,
     item_block: int,
 ) -> DataFrame:
-    q, i = block_pairs(queries, items, bound, item_block)
+    cells = (scorer.query_columns[0], scorer.array_column)
+    q, i = block_pairs(queries, items, bound, item_block, cells)
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         block = left.to_pandas()
@@ -250,7 +282,7 @@ def blockwise_topk(
     queries = queries.select("qid", *scorer.query_columns)
     items = items.select("pid", *scorer.item_columns)
     schema = _hit_schema(queries, items)
-    if row_count_within(queries, bound) is not None:
+    if fits_broadcast(queries, scorer.query_columns[0], bound):
         hits = _scan_hits(queries, items, scorer, k, schema)
     else:
         hits = _block_hits(queries, items, scorer, k, schema, bound, item_block)

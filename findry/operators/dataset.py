@@ -54,25 +54,24 @@ def find_by_title(df: DataFrame, title: str) -> DataFrame:
     return df.where(F.col("title") == title)
 
 
-def _first_per_key(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """The first row (by ``ord``) of each key; combined map-side."""
-    first = F.min_by(F.struct(*columns), "ord").alias("_first")
-    return df.groupBy(key).agg(first, F.min("ord").alias("ord")).select(key, "_first.*", "ord")
-
-
 def build_corpus(df: DataFrame, fill: str = ".", prefix: str = "C") -> DataFrame:
     """Distinct bodies with dense ids: ``(pid, title, text, metadata..., text_key, ord)``.
 
     Rows with the same body collapse into the first one, whose title and
-    further columns are kept.
+    further columns are kept. Only keys and ordinals are grouped and sorted;
+    the bodies move once, in the join that picks the first rows.
     """
-    filled = df.withColumn("text", fill_missing(F.col("text"), fill)).withColumn(
-        "text_key", content_key(F.col("text"))
+    filled = df.withColumn("text", fill_missing(F.col("text"), fill))
+    firsts = (
+        filled.select("ord", content_key(F.col("text")).alias("text_key"))
+        .groupBy("text_key")
+        .agg(F.min("ord").alias("ord"))
     )
-    kept = [c for c in df.columns if c != "ord"]
-    firsts = _first_per_key(filled, "text_key", kept)
     numbered = dense_index(firsts, ["ord"], "_n")
-    return numbered.select(make_id(prefix, F.col("_n")).alias("pid"), *kept, "text_key", "ord")
+    kept = [c for c in df.columns if c != "ord"]
+    return numbered.join(filled, "ord").select(
+        make_id(prefix, F.col("_n")).alias("pid"), *kept, "text_key", "ord"
+    )
 
 
 def build_queries(df: DataFrame, text: str = "title", prefix: str = "Q") -> DataFrame:
@@ -250,8 +249,8 @@ def attach_passages(
     joined = salted_join(hits, found, "pid", "qid", how, min_rows=hot_rows)
     if on_missing == "error":
         fail = F.raise_error(F.concat(F.lit("no passage with id "), F.col("pid").cast("string")))
-        # the check rides on a kept column, so that the optimizer cannot prune it
-        joined = joined.withColumn("pid", F.when(F.col("_found"), F.col("pid")).otherwise(fail))
+        # a filter, unlike a column, is never pruned away
+        joined = joined.where(F.when(F.col("_found"), True).otherwise(fail.cast("boolean")))
     return joined.drop("_found")
 
 

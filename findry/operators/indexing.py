@@ -108,17 +108,20 @@ def hash_cuts(df: DataFrame, digest: Column, ranks: list[int]) -> list[str | Non
     rows. None stands for "nothing" at n = 0 and for a rank past the end.
     """
     digests = df.select(digest.alias("h"))
+    histograms: dict[str, list[tuple[str, int]]] = {}
+
+    def histogram(prefix: str) -> list[tuple[str, int]]:
+        if prefix not in histograms:
+            width = len(prefix) + _PREFIX_DIGITS
+            head = F.substring("h", 1, width).alias("p")
+            counts = digests.where(F.col("h").startswith(prefix)).groupBy(head).count()
+            histograms[prefix] = sorted((r["p"], r["count"]) for r in counts.collect())
+        return histograms[prefix]
 
     def find(prefix: str, rank: int) -> str | None:
         width = len(prefix) + _PREFIX_DIGITS
-        hist = (
-            digests.where(F.col("h").startswith(prefix))
-            .groupBy(F.substring("h", 1, width).alias("p"))
-            .count()
-            .collect()
-        )
         seen = 0
-        for p, c in sorted((r["p"], r["count"]) for r in hist):
+        for p, c in histogram(prefix):
             if seen + c < rank:
                 seen += c
                 continue

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from findry.functions.text import Tokenizer, let, simple_tokens
 from findry.operators.blockwise import QUERY_BOUND, blockwise_topk
-from findry.session import scratch_path, spread
+from findry.session import materialize, scratch_path
 
 # Default BM25 parameters.
 K1 = 0.9
@@ -83,8 +83,7 @@ def build_index(
     """
     spark = corpus.sparkSession
     path = path or scratch_path(spark, "terms")
-    source = spread(corpus.select("pid", "text"), "pid")
-    docs = source.select("pid", term_counts(tokenizer(F.col("text"))).alias("t"))
+    docs = corpus.select("pid", term_counts(tokenizer(F.col("text"))).alias("t"))
     docs.select("pid", "t.dl", "t.terms").write.parquet(os.path.join(path, "docs"))
     vocabulary = (
         _stored_docs(spark, path)
@@ -138,6 +137,7 @@ class Bm25Scorer:
     b: float
     query_columns = ["terms", "weights"]
     item_columns = ["dl", "doc_terms", "doc_tfs"]
+    array_column = "doc_terms"
 
     def load(self, queries: pd.DataFrame):
         vocabulary = sorted({t for terms in queries["terms"] for t in terms})
@@ -189,7 +189,8 @@ def bm25_search(
     **blocks: int,
 ) -> DataFrame:
     """BM25 top-k documents of each query: ``(qid, pid, score, rank)``."""
-    weights = query_weights(queries, index, tokenizer)
+    # a small table that is counted, collected or copied below: computed once
+    weights = materialize(query_weights(queries, index, tokenizer), "weights")
     docs = index.docs.select(
         "pid",
         "dl",

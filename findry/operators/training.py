@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 from findry.functions.rand import hash_order, uniform, uniform_of
 from findry.functions.text import let, normalize_text, passage_text
 from findry.functions.tokens import mask_to, pad_to
-from findry.operators.blockwise import QUERY_BOUND, arrow_type, block_pairs, vectors_of
+from findry.operators.blockwise import (
+    QUERY_BOUND,
+    arrow_type,
+    block_pairs,
+    fits_broadcast,
+    vectors_of,
+)
 from findry.operators.indexing import dense_index, prefix_sum
-from findry.session import row_count_within
 
 
 def chunk_tokens(
@@ -266,7 +271,7 @@ def pool_ranks(
             schema=arrow,
         )
 
-    if row_count_within(q, bound) is not None:
+    if fits_broadcast(q, "embedding", bound):
         shared = p.sparkSession.sparkContext.broadcast(q.toPandas())
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

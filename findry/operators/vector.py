@@ -20,14 +20,20 @@ from pyspark.sql import functions as F
 
 from findry.functions.rand import hash_order
 from findry.functions.vectors import NORM_FLOOR, dot, l2_normalize
-from findry.operators.blockwise import QUERY_BOUND, blockwise_topk, top_k, vectors_of
+from findry.operators.blockwise import (
+    QUERY_BOUND,
+    blockwise_topk,
+    fits_broadcast,
+    top_k,
+    vectors_of,
+)
 from findry.operators.joins import salted_join
-from findry.session import row_count_within
 
 # training a codebook needs some tens of points per centroid, not the whole table
 _TRAIN_PER_CENTROID = 256
 _PRUNE_CELLS = 4096
 _PARALLEL_FITS = 4
+_ROWS_PER_FILE = 250_000
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -47,6 +53,7 @@ class DotScorer:
     cosine: bool = False
     query_columns = ["embedding"]
     item_columns = ["embedding"]
+    array_column = "embedding"
 
     def load(self, queries: pd.DataFrame) -> np.ndarray:
         m = _matrix(queries, "embedding")
@@ -171,6 +178,7 @@ class CellScorer:
 
     query_columns = ["embedding", "cells"]
     item_columns = ["embedding", "cluster_id"]
+    array_column = "embedding"
 
     def load(self, queries: pd.DataFrame) -> tuple[np.ndarray, list[set]]:
         cells = [set(c) for c in queries["cells"]]
@@ -219,7 +227,7 @@ def ivf_search(
     """
     probed = probe_cells(queries, index.centers(), nprobe)
     rows = index.rows
-    if row_count_within(queries, bound) is not None:
+    if fits_broadcast(queries, "embedding", bound):
         cells = probed.select(F.explode("cells").alias("c")).distinct()
         wanted = [r["c"] for r in cells.limit(_PRUNE_CELLS + 1).collect()]
         if len(wanted) <= _PRUNE_CELLS:
@@ -227,13 +235,23 @@ def ivf_search(
     return blockwise_topk(probed, rows, CellScorer(), k, bound, **blocks)
 
 
+def _spread_cells(rows: DataFrame) -> DataFrame:
+    """Partition by cell, a cell of many rows over several partitions."""
+    files = F.ceil(F.col("count") / _ROWS_PER_FILE)
+    # one row per cell, so the broadcast is bounded by nlist
+    per_cell = rows.groupBy("cluster_id").count().select("cluster_id", files.alias("_files"))
+    salted = rows.join(F.broadcast(per_cell), "cluster_id").withColumn(
+        "_salt", F.pmod(F.xxhash64("pid"), F.col("_files"))
+    )
+    return salted.repartition("cluster_id", "_salt").drop("_files", "_salt")
+
+
 def save_ivf(index: IvfIndex, path: str, mode: str = "overwrite") -> None:
     """Write the index: rows partitioned by cell, centroids, and the row count.
 
-    Rows are spread over several writers per cell, so that a crowded cell is
-    not written by one task.
+    A crowded cell is spread over as many writers as its row count asks for.
     """
-    by_cell = index.rows.repartition(F.col("cluster_id"), F.pmod(F.xxhash64("pid"), F.lit(8)))
+    by_cell = _spread_cells(index.rows)
     by_cell.write.mode(mode).partitionBy("cluster_id").parquet(os.path.join(path, "rows"))
     index.centroids.coalesce(1).write.mode(mode).parquet(os.path.join(path, "centroids"))
     written = _ivf_rows(index.rows.sparkSession, path).agg(F.count("*").alias("n"))
@@ -258,7 +276,7 @@ def append_vectors(spark: SparkSession, path: str, items: DataFrame) -> None:
     """Add rows to a saved index under its existing centroids."""
     index = IvfIndex(items, spark.read.parquet(os.path.join(path, "centroids")))
     added = assign_cells(items, index.centers())
-    added.write.mode("append").partitionBy("cluster_id").parquet(os.path.join(path, "rows"))
+    _spread_cells(added).write.mode("append").partitionBy("cluster_id").parquet(os.path.join(path, "rows"))
     size = _ivf_rows(spark, path).agg(F.count("*").alias("n")).first()[0]
     frame = spark.createDataFrame([(size,)], "n long")
     frame.coalesce(1).write.mode("overwrite").parquet(os.path.join(path, "size"))
@@ -339,6 +357,7 @@ class PqScorer:
     codebooks: np.ndarray
     query_columns = ["embedding"]
     item_columns = ["codes"]
+    array_column = "codes"
 
     def load(self, queries: pd.DataFrame) -> np.ndarray:
         m, _, width = self.codebooks.shape

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findry.operators import dataset
+from findry.session import materialize, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,8 +31,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """One of the given tables."""
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """One of the given tables; the texts are spread when they come in one split."""
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(rows, "doc_id") if name == "documents" else rows
 
 
 # -- a titled source table out of `documents` -------------------------------
@@ -72,11 +74,11 @@ qrels AS (
 
 
 def titled_dataset(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Corpus, queries and judgements built from the titled source table."""
+    """Corpus, queries and judgements of the titled source table, as stored tables."""
     src = source_rows(spark, sf)
-    corpus = dataset.build_corpus(src)
-    queries = dataset.build_queries(src)
-    return corpus, queries, dataset.build_qrels(src, queries, corpus)
+    corpus = materialize(dataset.build_corpus(src), "corpus")
+    queries = materialize(dataset.build_queries(src), "queries")
+    return corpus, queries, materialize(dataset.build_qrels(src, queries, corpus), "qrels")
 
 
 def tokens_sql(expr: str) -> str:

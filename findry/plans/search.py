@@ -24,7 +24,7 @@ from findry.plans.registry import (
     tokens_sql,
 )
 from findry.plans.text import _answer_sql
-from findry.session import materialize, scratch_path, spread
+from findry.session import materialize, scratch_path
 
 
 def vectors(spark, sf, name="pid"):
@@ -35,7 +35,7 @@ def vectors(spark, sf, name="pid"):
 
 def lexical_case(spark, sf):
     """Titles as queries over the bodies: corpus, queries, qrels and BM25 top 10."""
-    corpus, queries, qrels = [materialize(d) for d in titled_dataset(spark, sf)]
+    corpus, queries, qrels = titled_dataset(spark, sf)
     index = lexical.build_index(corpus.select("pid", "text"))
     hits = materialize(lexical.bm25_search(queries.select("qid", "text"), index, 10))
     return corpus, queries, qrels, hits
@@ -474,13 +474,14 @@ norm AS (SELECT {key}, sqrt(sum(w * w)) AS n FROM place GROUP BY {key})"""
 @query(
     "embed_documents",
     f"""WITH {_embed_sql("documents", "doc_id")}
-SELECT doc_id, slot, round(w / n, 6) AS v FROM place JOIN norm USING (doc_id)""",
+SELECT doc_id, string_agg(coalesce(w / n, 0)::DECIMAL(9,6)::VARCHAR, ',' ORDER BY slot) AS vector
+FROM (SELECT doc_id, n, unnest(range({_DIM}))::INT AS slot FROM norm) LEFT JOIN place USING (doc_id, slot)
+GROUP BY doc_id""",
 )
 def _embed(spark, sf):
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    rows = embed(docs, "text", dim=_DIM)
-    long = rows.select("doc_id", F.posexplode("embedding").alias("slot", "v"))
-    return long.where(F.col("v") != 0).select("doc_id", "slot", F.round("v", 6).alias("v"))
+    rows = embed(table(spark, sf, "documents"), "text", dim=_DIM)
+    plain = F.transform("embedding", lambda v: v.cast("decimal(9,6)").cast("string"))
+    return rows.select("doc_id", F.array_join(plain, ",").alias("vector"))
 
 
 @query(
@@ -495,7 +496,7 @@ SELECT qid, pid, score, rank::INT AS rank FROM (
 )
 def _semantic(spark, sf):
     corpus, queries = _bench(spark, sf)
-    items = embed(spread(corpus, "pid"), "text", dim=_DIM)
+    items = embed(corpus, "text", dim=_DIM)
     return vector.knn_join(embed(queries, "text", dim=_DIM), items, 10)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from findry.operators.embed import embed
 from findry.plans.registry import ORACLES, query, table
 from findry.plans.search import _DIM
-from findry.session import scratch_path, spread
+from findry.session import scratch_path
 from findry.sources import writers
 from findry.streaming.jobs import answer_stream, ingest_stream
 
@@ -48,7 +48,7 @@ def _answer(spark, sf):
     asked = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("qid"), "text")
     asked.write.json(f"{root}/in")
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("pid"), "text")
-    items = embed(spread(docs, "pid"), "text", dim=_DIM).select("pid", "embedding")
+    items = embed(docs, "text", dim=_DIM).select("pid", "embedding")
     job = answer_stream(spark, f"{root}/in", items, f"{root}/hits", f"{root}/checkpoint", dim=_DIM)
     job.awaitTermination()
     hits = spark.read.parquet(f"{root}/hits")

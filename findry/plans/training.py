@@ -20,7 +20,7 @@ from findry.plans.registry import (
     uniform_sql,
 )
 from findry.plans.search import vectors
-from findry.session import spread
+from findry.session import materialize
 
 # token ids stand in for a subword vocabulary: hash of the token, 1..30000
 _VOCAB = 30_000
@@ -28,12 +28,12 @@ _VOCAB = 30_000
 
 def token_rows(spark, sf):
     """``(doc_id, tokens array<int>)`` of the documents."""
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
     def number(token: Column) -> Column:
         head = F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long")
         return (head % _VOCAB + 1).cast("int")
 
+    docs = table(spark, sf, "documents")
     return docs.select("doc_id", F.transform(simple_tokens(F.col("text")), number).alias("tokens"))
 
 
@@ -59,7 +59,8 @@ SELECT pos // 256 AS chunk_id, md5(string_agg(t, ',' ORDER BY pos)) AS digest
 FROM stream WHERE pos >= 0 GROUP BY pos // 256 HAVING count(*) = 256""",
 )
 def _chunks(spark, sf):
-    rows = training.chunk_tokens(token_rows(spark, sf), 256, 17, ["doc_id"])
+    stored = materialize(token_rows(spark, sf), "tokens")
+    rows = training.chunk_tokens(stored, 256, 17, ["doc_id"])
     return rows.select("chunk_id", _digest("tokens").alias("digest"))
 
 
@@ -93,7 +94,7 @@ drawn AS (SELECT *, {uniform_sql("s", "doc_id", "i")} AS u FROM flat)"""
 def _augmented(spark, sf, kind):
     rows = token_rows(spark, sf)
     out = tk.augment(F.col("tokens"), kind, 0.2, "s", F.col("doc_id"), low=5, high=99)
-    return rows.where(F.size("tokens") > 0).select("doc_id", out.alias("tokens"))
+    return rows.select("doc_id", out.alias("tokens"))
 
 
 def _register_augmentation(kind: str, value: str, where: str = "true") -> None:

@@ -76,14 +76,12 @@ def row_count_within(df: DataFrame, bound: int) -> int | None:
     return n if n <= bound else None
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Even out an input that arrives in fewer splits than there are cores.
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """Even out a table scan that has fewer splits than there are cores.
 
-    A table of many files is returned as it is; a single small file would
-    otherwise keep all work in one task.
+    A large table has many splits and is returned as it is; one small file
+    would otherwise keep all work in one task. Meant for plain scans, where
+    the number of splits is known without running anything.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores, key)
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, key)
