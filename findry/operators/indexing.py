@@ -26,10 +26,6 @@ _PREFIX_DIGITS = 4
 _LEAF_ROWS = 10_000
 
 
-def _parallelism(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def prefix_sum(
     df: DataFrame,
     order: list[str],
@@ -42,10 +38,10 @@ def prefix_sum(
     ``order`` must identify a row, so that range partitions stay even. Without
     ``weight`` the result is the zero-based position of the row.
     """
-    n = partitions or _parallelism(df)
+    # without a fixed number, adaptive execution merges small neighbouring ranges
+    ranged = df.repartitionByRange(*([partitions] if partitions else []), *order)
     placed = materialize(
-        df.repartitionByRange(n, *order)
-        .sortWithinPartitions(*order)
+        ranged.sortWithinPartitions(*order)
         .withColumn("_at", F.monotonically_increasing_id()),
         "ordered",
     ).withColumn("_part", F.shiftright("_at", _ROW_BITS))
