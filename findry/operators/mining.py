@@ -34,9 +34,6 @@ def score_pairs(
     ``scorer`` is any column function of two texts: the default is native,
     a pandas UDF around a cross-encoder fits the same place.
     """
-    # pairs are a few bytes and much work each: spread them before the texts join
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = pairs.repartition(parts, "qid", "pid")
     passages = corpus.select("pid", F.col("text").alias("_body"))
     asked = queries.select("qid", F.col("text").alias("_question"))
     joined = salted_join(pairs, passages, "pid", "qid").join(asked, "qid")

@@ -124,15 +124,12 @@ def _evaluate_knn(spark, sf):
 @query(
     "evaluate_partly_judged",
     f"""WITH {_LABEL_RUN_SQL},
-judged AS (SELECT label AS qid, 'V' || vec_id AS pid, quality AS rel FROM embeddings JOIN labels ON doc_id = vec_id
-           WHERE label <> 3),
+judged AS (SELECT label AS qid, 'V' || vec_id AS pid, quality AS rel FROM embeddings JOIN labels ON doc_id = vec_id),
 {metrics_sql((5, 20))} SELECT * FROM result""",
 )
 def _evaluate_partly(spark, sf):
     hits, _ = label_run(spark, sf)
-    judged = table(spark, sf, "labels").join(
-        vectors(spark, sf).where("label <> 3"), F.col("doc_id") == F.col("pid")
-    )
+    judged = table(spark, sf, "labels").join(vectors(spark, sf), F.col("doc_id") == F.col("pid"))
     qrels = judged.select(
         F.col("label").alias("qid"), F.concat(F.lit("V"), "pid").alias("pid"), F.col("quality").alias("score")
     )

@@ -428,11 +428,11 @@ def _ivf_all(spark, sf):
 
 @query("ivf_search_saved_and_appended", _knn_sql(10, _DOT))
 def _ivf_saved(spark, sf):
-    items = vectors(spark, sf).select("pid", "embedding")
-    late = F.col("pid") >= 300
+    items, late = vectors(spark, sf), F.col("label") >= 5
+    first, second = [items.where(c).select("pid", "embedding") for c in (~late, late)]
     path = scratch_path(spark, "ivf")
-    vector.save_ivf(vector.build_ivf(items.where(~late), nlist=8, rounds=5), path)
-    vector.append_vectors(spark, path, items.where(late))
+    vector.save_ivf(vector.build_ivf(first, nlist=8, rounds=5), path)
+    vector.append_vectors(spark, path, second)
     index = vector.load_ivf(spark, path)
     return vector.ivf_search(vectors(spark, sf, "qid"), index, 10, nprobe=8)
 

@@ -183,7 +183,7 @@ def example_rows(spark, sf):
     docs = table(spark, sf, "documents").select(
         F.col("doc_id").alias("qid"),
         F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"),
-        F.substring_index("text", "\n", -1).alias("text"),
+        "text",
     )
     ctx = F.struct("title", "text")
     after = W.partitionBy(F.floor(F.col("qid") / 64)).orderBy(hash_order("pool", F.col("qid")))
@@ -210,7 +210,7 @@ def _lead_list(first: int, n: int) -> str:
 
 EXAMPLES_SQL = f"""docs AS (
   SELECT doc_id AS qid, substring(split_part(text, chr(10), 1), 1, 80) AS title,
-         split_part(text, chr(10), -1) AS text FROM documents),
+         text FROM documents),
 examples AS (
   SELECT qid, title AS question, [md5(title || '|' || text), md5('|' || text)] AS pos,
          {_lead_list(1, _NEG)} AS neg, {_lead_list(1 + _NEG, _HARD)} AS hard
@@ -266,7 +266,7 @@ def _eval_sampled(spark, sf):
 
 _TEXTS_SQL = f"""docs AS (
   SELECT doc_id AS qid, substring(split_part(text, chr(10), 1), 1, 80) AS title,
-         split_part(text, chr(10), -1) AS text FROM documents),
+         text FROM documents),
 texts AS (
   SELECT qid, title AS query, title || ' ' || text AS gold,
          lead(title || ' ' || text) OVER (PARTITION BY qid // 64 ORDER BY {digest_sql("pool", "qid")}) AS negative
