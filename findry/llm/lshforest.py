@@ -1 +1,368 @@
-"""placeholder"""
+"""Near-duplicate documents by an LSH forest over MinHash signatures.
+
+Every tree of the forest is one order of the signatures: documents sorted by a
+label of several signature values. Documents next to each other in that order
+share the longest prefixes with each other, so a crowded region is compared at
+a great depth and a sparse one at a small depth. Neighbours become candidates,
+candidates are confirmed on the full shingle sets, and confirmed links make
+components.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from findry.llm.common import WordHashes, mix64, words_of
+from findry.llm.components import components
+from findry.session import materialize
+
+SHINGLE = 5
+#: Least similarity in percent.
+PERCENT = 75
+TREES, SPAN, DEPTH, LEAST = 20, 5, 8, 3
+N_VALUES = TREES * SPAN
+#: Rows on either side that are neighbours.
+REACH = 3
+
+_FACTORS = mix64(np.arange(1, N_VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | (
+    np.uint64(1)
+)
+_PLACES = (np.arange(TREES)[:, None] * SPAN + np.arange(DEPTH)) % N_VALUES
+
+
+def shingles(text: str, hashes: WordHashes) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit hashes; no word, no shingle."""
+    words = hashes(words_of(text))
+    n = min(len(words), SHINGLE)
+    if not n:
+        return words
+    width = len(words) - n + 1
+    rolled = np.full(width, n, np.uint64)
+    for i in range(n):
+        rolled = mix64(rolled * np.uint64(0x2545F4914F6CDD1D) + words[i : i + width])
+    return np.unique(rolled)
+
+
+def node_of(grams: np.ndarray) -> bytes:
+    """A 128-bit name of a shingle set."""
+    return xxhash.xxh128_digest(grams.tobytes())
+
+
+def signature(grams: np.ndarray) -> bytes:
+    """``N_VALUES`` MinHash values, 16 bits of each, big-endian."""
+    least = np.full(N_VALUES, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(grams), 1024):
+        part = grams[at : at + 1024, None] * _FACTORS
+        np.minimum(least, part.min(axis=0), out=least)
+    return (mix64(least) >> np.uint64(48)).astype(">u2").tobytes()
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for batch in batches:
+        sizes, nodes, signatures = [], [], []
+        for text in batch.column(1):
+            grams = shingles(text.as_py() or "", hashes)
+            sizes.append(len(grams))
+            nodes.append(node_of(grams) if len(grams) else None)
+            signatures.append(signature(grams) if len(grams) else None)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()),
+             pa.array(signatures, pa.binary())],
+            ["doc_id", "n_shingles", "node", "signature"],
+        )
+
+
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per tree and node."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            values = np.frombuffer(b"".join(part.column(2).to_pylist()), ">u2")
+            labels = values.reshape(-1, N_VALUES)[:, _PLACES].tobytes()
+            width = 2 * DEPTH
+            n = part.num_rows
+            rows = np.repeat(np.arange(n), TREES)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)),
+                    pa.array([labels[i : i + width] for i in range(0, len(labels), width)]),
+                    part.column(0).take(pa.array(rows)),
+                    part.column(1).take(pa.array(rows)),
+                ],
+                ["tree", "label", "node", "n_shingles"],
+            )
+
+
+def _similar_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
+
+
+def _prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many leading values two rows of labels share."""
+    return np.logical_and.accumulate(a == b, axis=1).sum(axis=1)
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of near rows of one sorted partition, and the rows at its two ends.
+
+    Ends have no ``b``; they meet the neighbouring partition's ends elsewhere.
+    """
+    names = ["tree", "label", "a", "n_shingles", "b", "depth"]
+    tail: pa.RecordBatch | None = None
+    first = True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([tail, batch] if tail else [batch]).combine_chunks()
+        old = tail.num_rows if tail else 0
+        trees = rows.column(0).to_numpy()
+        sizes = rows.column(3).to_numpy()
+        labels = np.frombuffer(b"".join(rows.column(1).to_pylist()), ">u2").reshape(-1, DEPTH)
+        nodes = rows.column(2).to_pylist()
+        left, right, depth = [], [], []
+        for step in range(1, min(REACH, len(nodes) - 1) + 1):
+            shared = _prefix(labels[:-step], labels[step:])
+            near = (shared >= LEAST) & (trees[:-step] == trees[step:])
+            near &= _similar_sizes(sizes[:-step], sizes[step:])
+            near[: max(0, old - step)] = False  # both rows were there before
+            at = np.flatnonzero(near)
+            left += at.tolist()
+            right += (at + step).tolist()
+            depth += shared[at].tolist()
+        if left:
+            none = pa.nulls(len(left), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [none, pa.nulls(len(left), pa.binary()),
+                 pa.array([nodes[i] for i in left], pa.binary()), pa.nulls(len(left), pa.int64()),
+                 pa.array([nodes[i] for i in right], pa.binary()), pa.array(depth, pa.int32())],
+                names,
+            )
+        if first:
+            yield _ends(batch.slice(0, REACH), names)
+            first = False
+        tail = rows.slice(max(0, rows.num_rows - REACH)).to_batches()[0]
+    if tail:
+        yield _ends(tail, names)
+
+
+def _ends(rows: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
+    n = rows.num_rows
+    return pa.RecordBatch.from_arrays(
+        [*rows.columns, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())], names
+    )
+
+
+def candidate_pairs(classes: DataFrame) -> DataFrame:
+    """``(a, b, score)``: neighbours in some tree; the score adds up shared depths.
+
+    ``classes`` holds ``(node, n_shingles, signature)``, one row per distinct
+    set. Orders are range partitioned by the whole label, so a region of any
+    size is spread over many tasks.
+    """
+    order = ["tree", "label", "node"]
+    rows = classes.select("node", "n_shingles", "signature").mapInArrow(
+        _labels, "tree int, label binary, node binary, n_shingles long"
+    )
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = "tree int, label binary, a binary, n_shingles long, b binary, depth int"
+    found = materialize(rows.mapInArrow(_neighbours, schema), "neighbours")
+    pairs = found.where("b is not null").select("a", "b", "depth")
+    # a few rows per partition: pairs that lie across its borders
+    ends = found.where("b is null").select("tree", "label", "a", "n_shingles").distinct()
+    along = Window.partitionBy("tree").orderBy("label", "a")
+    across = []
+    for step in range(1, REACH + 1):
+        nxt = F.lead(F.struct("label", "a", "n_shingles"), step).over(along)
+        depth = sum(
+            (
+                F.substring("label", 1, 2 * d) == F.substring(F.col("x.label"), 1, 2 * d)
+            ).cast("int")
+            for d in range(1, DEPTH + 1)
+        )
+        sizes = 100 * F.least("n_shingles", "x.n_shingles") >= PERCENT * F.greatest(
+            "n_shingles", "x.n_shingles"
+        )
+        near = ends.withColumn("x", nxt).where("x is not null").withColumn("depth", depth)
+        near = near.where(sizes & (F.col("depth") >= LEAST))
+        across.append(near.select("a", F.col("x.a").alias("b"), "depth"))
+    for part in across:
+        pairs = pairs.unionByName(part)
+    both = pairs.where("a != b").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "depth"
+    )
+    return both.groupBy("a", "b").agg(F.sum("depth").alias("score"))
+
+
+#: Bits of the filter that picks the documents whose sets are read again: 4 MB.
+_FILTER_BITS = 1 << 25
+
+
+def _filter_words(ids: DataFrame) -> np.ndarray:
+    """A bit for each id's hash. Of fixed size: at most ``_FILTER_BITS / 64`` rows are collected."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS))
+    words = ids.select(F.shiftright(bit, 6).alias("w"), (bit % 64).cast("int").alias("i"))
+    words = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("m"))
+    out = np.zeros(_FILTER_BITS // 64, np.int64)
+    found = words.toArrow()
+    out[found.column("w").to_numpy()] = found.column("m").to_numpy()
+    return out
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(node, grams)`` of the documents whose id is in ``wanted``, and perhaps of a few more.
+
+    The texts stay where they are: a filter of fixed size goes to them. Once
+    the wanted ids outgrow it more documents pass, and none is lost.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_words(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            places = batch.column(0).to_numpy()
+            passed = (bits.value[places >> 6] >> (places & 63)) & 1
+            nodes, sets, size = [], [], 0
+            for i in np.flatnonzero(passed):
+                grams = shingles(batch.column(1)[int(i)].as_py() or "", hashes)
+                if len(grams):
+                    nodes.append(node_of(grams))
+                    sets.append(grams.astype("<u8").tobytes())
+                    size += len(sets[-1])
+                if size > 8 << 20:
+                    yield _sets(nodes, sets)
+                    nodes, sets, size = [], [], 0
+            if nodes:
+                yield _sets(nodes, sets)
+
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS)).alias("bit")
+    return docs.select(bit, "text").mapInArrow(run, "node binary, grams binary")
+
+
+def _sets(nodes: list[bytes], sets: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], ["node", "grams"]
+    )
+
+
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose full sets are similar enough."""
+    for batch in batches:
+        good = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            x = np.frombuffer(x.as_buffer(), "<u8")
+            y = np.frombuffer(y.as_buffer(), "<u8")
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            good.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+        part = batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        yield part
+
+
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links among ``pairs`` ``(a, b)``."""
+    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
+    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return joined.mapInArrow(_confirm, "a binary, b binary")
+
+
+def _crossing(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs whose ends are not yet in one component."""
+    a = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
+    b = comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+    joined = pairs.join(a, "a", "left").join(b, "b", "left")
+    apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
+    return joined.where(apart).drop("ca", "cb")
+
+
+def link_nodes(pairs: DataFrame, sets: DataFrame, first: int = 2) -> DataFrame:
+    """``(node, comp)`` of the nodes that have links among ``pairs``.
+
+    First each node's ``first`` best pairs are confirmed, which joins most
+    copies; then every other pair whose ends are still apart. A pair within a
+    component cannot change the result, so no link is lost by leaving it out.
+    """
+    ends = pairs.select("a", "b", "score", F.explode(F.array("a", "b")).alias("node"))
+    best = Window.partitionBy("node").orderBy(F.desc("score"), "a", "b")
+    picked = ends.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= first)
+    picked = materialize(picked.select("a", "b").distinct(), "best-pairs")
+    links = materialize(confirm(picked, sets), "links")
+    comps = materialize(components(links), "components")
+    rest = pairs.select("a", "b").join(picked, ["a", "b"], "left_anti")
+    rest = materialize(_crossing(rest, comps), "crossing")
+    more = materialize(confirm(rest, sets), "links")
+    return materialize(components(links.unionByName(more)), "components")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)``: one row per row of ``docs``.
+
+    A text's words are parted by white space, A-Z in lower case; its set holds
+    its distinct shingles of five words, or its words as one shingle if they
+    are fewer. A text without words (or null) has no shingle and no link.
+    Documents are linked from a Jaccard similarity of 75 % on; confirmed on
+    whole sets. ``component_id`` is the smallest doc_id that links lead to, its
+    own at least; null ids do not count unless there is no other. ``kept``:
+    the two are equal. Rows that repeat an id and a text are one document.
+
+    Equal sets are one node, whatever their number, so a large group of copies
+    costs nothing beyond its fingerprints. A pair at 75 % meets in at least one
+    of the orders, at the least depth, with probability 0.9999; crowded regions
+    compare ``REACH`` neighbours on either side in each of ``TREES`` orders.
+    """
+    own = docs.select("doc_id", "text")
+    schema = docs.select("doc_id").schema.add("n_shingles", "long").add("node", "binary")
+    prints = materialize(own.mapInArrow(_fingerprints, schema.add("signature", "binary")), "prints")
+    classes = prints.where("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"),
+        F.first("n_shingles").alias("n_shingles"),
+        F.first("signature").alias("signature"),
+    )
+    classes = materialize(classes, "classes")
+    pairs = materialize(candidate_pairs(classes), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = materialize(classes.join(ends, "node", "left_semi").select("doc_id", "node"), "wanted")
+    # copies may pass the filter too; one set of each wanted node is enough
+    sets = shingle_sets(own, wanted.select("doc_id")).join(
+        wanted.select("node"), "node", "left_semi"
+    )
+    sets = materialize(sets.dropDuplicates(["node"]), "sets")
+    comps = link_nodes(pairs, sets)
+    linked = classes.select("node", "doc_id").join(comps, "node")
+    least = linked.groupBy("comp").agg(F.min("doc_id").alias("low"))
+    named = materialize(least, "component-ids")
+    known = comps.join(named, "comp").select("node", "low")
+    table = classes.select("node", "doc_id").join(known, "node", "left")
+    table = materialize(
+        table.select("node", F.coalesce("low", "doc_id").alias("component_id")), "node-components"
+    )
+    return (
+        prints.select("doc_id", "n_shingles", "node")
+        .join(table, "node", "left")
+        .select(
+            "doc_id",
+            "n_shingles",
+            F.coalesce("component_id", "doc_id").alias("component_id"),
+            F.col("doc_id").eqNullSafe(F.coalesce("component_id", "doc_id")).alias("kept"),
+        )
+    )
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with the document of the smallest id of each group of near copies.
+
+    Rows that share an id stay together; of those that agree in every column
+    one stays.
+    """
+    kept = near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("__id"))
+    kept = materialize(kept.agg(F.count("*").alias("__rows")), "kept-ids")
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    joined = docs.join(kept.hint("shuffle_hash"), same)
+    single = joined.where("__rows = 1").select(*docs.columns)
+    return single.unionByName(joined.where("__rows > 1").select(*docs.columns).distinct())

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findry.llm import bpe, chat, exactdedup, langid, linededup, mixing
+from findry.llm import bpe, chat, exactdedup, langid, linededup, lshforest, mixing
 from findry.llm.common import SPACES, table
 
 
@@ -131,6 +131,11 @@ def op8_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op9_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """The near-duplicate group of every document."""
+    return lshforest.near_duplicates(table(spark, sf, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     """The language of every document by rank-order profiles."""
     return langid.identify_documents(table(spark, sf, "documents"))
@@ -142,6 +147,7 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_source_mix": op8_source_mix,
+    "op9_minhash_dedup": op9_minhash_dedup,
     "op10_language_id": op10_language_id,
 }
 ORACLES = {"op1_chat_formatting": OP1_SQL, "op6_line_dedup": OP6_SQL, "op7_exact_dedup": OP7_SQL}
