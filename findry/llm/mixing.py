@@ -63,7 +63,7 @@ class Mix:
     """A drawn mix: what each source and each block gives."""
 
     sources: DataFrame  # source, sid, n_blocks, source_size, target
-    blocks: DataFrame  # sid, block, draws (pass, shard), last_pass, cut
+    blocks: DataFrame  # sid, block, draws (pass, shard), last_pass, fitting
     seed: int
 
 
@@ -131,6 +131,27 @@ def _places(blocks: DataFrame, seed: int) -> DataFrame:
     )
 
 
+def _fit(rows: pd.DataFrame) -> pd.DataFrame:
+    """The rows of one block that the last pass takes: the largest that still fits, again and again.
+
+    A row that overshoots is taken in the end if that comes nearer to the target.
+    """
+    rows = rows.sort_values(["size", "h"], ascending=[False, True])
+    room = float(rows["rest"].iloc[0] - rows["before"].iloc[0])
+    taken, left = [], []
+    for h, size in zip(rows["h"], rows["size"], strict=True):
+        if size <= room:
+            room -= size
+            taken.append(h)
+        else:
+            left.append((size, h))
+    if left and min(left)[0] - room < room:
+        taken.append(min(left)[1])
+    first = rows.iloc[0]
+    found = [(first["sid"], first["block"], first["passes"], taken)]
+    return pd.DataFrame(found, columns=["sid", "block", "last_pass", "fitting"])
+
+
 def plan_mix(
     sized: DataFrame,
     *,
@@ -207,14 +228,15 @@ def plan_mix(
         .withColumn("unit", F.col("pass") * F.col("n") + F.col("place"))
     )
     drawn = numbered.join(runs, ["sid", "unit"])
-    # the last pass ends inside the block that reaches the target, at the row end nearest to it
+    # the last pass ends inside the block that reaches the target: of its rows, from the
+    # largest down, those that still fit; a block is bounded, so one task can walk through it
     edge = placed.where(last & (F.col("before") + F.col("words") > F.col("rest")))
     edge = dealt.drop("rest").join(F.broadcast(edge.drop("words")), ["sid", "block"])
-    upto = F.sum("size").over(Window.partitionBy("sid", "block").orderBy("h"))
-    edge = edge.withColumn("upto", F.col("before") + upto)
-    near = F.col("upto") - F.col("size") / 2 <= F.col("rest")
-    cuts = edge.groupBy("sid", "block", F.col("passes").alias("last_pass")).agg(
-        F.max(F.when(near, F.col("h"))).alias("cut")
+    same = edge.groupBy("sid", "block", "passes", "rest", "before", "h").agg(
+        F.sum("size").alias("size")
+    )
+    cuts = same.groupBy("sid", "block").applyInPandas(
+        _fit, "sid int, block long, last_pass int, fitting array<long>"
     )
     draws = drawn.groupBy("sid", "block").agg(
         F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("draws")
@@ -235,9 +257,10 @@ def draw_rows(rows: DataFrame, mix: Mix) -> DataFrame:
         whole,
         lambda d: F.col("last_pass").isNull()
         | (d["pass"] < F.col("last_pass"))
-        | F.coalesce(F.col("h") <= F.col("cut"), F.lit(False)),
+        | F.array_contains("fitting", F.col("h")),
     )
-    return dealt.withColumn("draws", draws).drop("sid", "block", "n_blocks", "last_pass", "cut")
+    gone = ("sid", "block", "n_blocks", "last_pass", "fitting")
+    return dealt.withColumn("draws", draws).drop(*gone)
 
 
 def size_documents(docs: DataFrame) -> DataFrame:

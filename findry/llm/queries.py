@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findry.llm import bpe, chat, exactdedup, langid, linededup, lshforest, mixing
+from findry.llm import bpe, chat, exactdedup, interpolation, langid, linededup, lshforest, mixing, mtree, quality
 from findry.llm.common import SPACES, table
 
 
@@ -75,6 +75,36 @@ def op2_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """The quality of all documents, by their texts, sources and languages."""
+    labels = table(spark, sf, "labels").select("doc_id", "quality")
+    return quality.score_quality(table(spark, sf, "documents"), labels)
+
+
+def op4_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    """Log probabilities of all documents by a bigram model with interpolated counts."""
+    return interpolation.score_documents(table(spark, sf, "documents"), order=2)
+
+
+def op5_mtree_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The five highest inner products of every fiftieth embedding with all others."""
+    return mtree.top_products(table(spark, sf, "embeddings"))
+
+
+OP5_SQL = """
+WITH f AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::DOUBLE) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM f q JOIN f c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
 def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """What is left of each document without the lines that ten or more share."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -144,10 +174,18 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_quality": op3_quality,
+    "op4_lm_scoring": op4_lm_scoring,
+    "op5_mtree_search": op5_mtree_search,
     "op6_line_dedup": op6_line_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_source_mix": op8_source_mix,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_language_id": op10_language_id,
 }
-ORACLES = {"op1_chat_formatting": OP1_SQL, "op6_line_dedup": OP6_SQL, "op7_exact_dedup": OP7_SQL}
+ORACLES = {
+    "op1_chat_formatting": OP1_SQL,
+    "op5_mtree_search": OP5_SQL,
+    "op6_line_dedup": OP6_SQL,
+    "op7_exact_dedup": OP7_SQL,
+}
