@@ -79,7 +79,7 @@ def group_copies(
         "key",
         F.when(single, F.col("key")).otherwise(F.col("best.key")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(stays, F.lit(True)).alias("kept"),
+        F.when(single, True).otherwise(stays).alias("kept"),
         *(F.col("more")[n].alias(n) for n in carry),
     )
     alone = flagged.where(F.col("several").isNull()).select(
