@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from findry.session import materialize
@@ -41,43 +41,49 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("s"))
-    return tuple(row.first())
+def stars(links: DataFrame) -> DataFrame:
+    """``links`` ``(a, b)`` as edges ``(u, v)``, ``u > v``, with each partition's made stars."""
+    edges = links.where("a != b").select(
+        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
+    )
+    return materialize(edges.mapInArrow(_local_stars, _EDGE), "stars")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``(node, comp)`` of the nodes of ``links`` ``(a, b)``; ``comp`` is the least node.
+def contract(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """One round on stored edges ``(u, v)``, ``u > v``: the same components, nearer to stars.
 
-    Alternates large stars (each node hands its larger neighbours to the least
-    one) and small stars (the smaller ones) until nothing changes, in a number
-    of rounds logarithmic in the nodes. Each partition's edges are made stars
-    first. Every round is stored; the least neighbours are stored before the
-    join, so that adaptive execution can split a node with many neighbours.
+    Large stars: each node hands its larger neighbours to the least one. Small
+    stars: each node hands its smaller neighbours to the least one. Also tells
+    whether the edges were stars already. The least neighbours are stored
+    before the join, so that adaptive execution can split a node with many
+    neighbours.
     """
-    edges = links.where("a != b").select(
-        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    )
-    edges = materialize(edges.mapInArrow(_local_stars, _EDGE), "stars")
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        least = materialize(least.select("u", F.least("u", "m").alias("m")), "least")
-        large = both.join(least, "u").where("v > u").select(
-            F.col("v").alias("u"), F.col("m").alias("v")
-        )
-        large = materialize(large.mapInArrow(_local_stars, _EDGE), "large-stars")
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").where("v != m").select(
-            F.col("v").alias("u"), F.col("m").alias("v")
-        )
-        small = small.unionByName(least.withColumnRenamed("m", "v"))
-        edges = materialize(small.distinct(), "small-stars")
-        now = _state(edges)
-        if now == before:
-            break
-        before = now
+    if edges.isEmpty():
+        return edges, True
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(least.select("u", F.least("u", "m").alias("m")), "least")
+    inner, several = Observation(), Observation()
+    large = both.join(least, "u").where("v > u").observe(inner, F.count_if(F.col("m") != F.col("u")).alias("n"))
+    large = large.select(F.col("v").alias("u"), F.col("m").alias("v"))
+    large = materialize(large.mapInArrow(_local_stars, _EDGE), "large-stars")
+    least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+    small = large.join(least, "u").observe(several, F.count_if(F.col("v") != F.col("m")).alias("n"))
+    small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    small = small.unionByName(least.withColumnRenamed("m", "v"))
+    small = materialize(small.distinct(), "small-stars")
+    return small, not inner.get["n"] and not several.get["n"]
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``(node, comp)`` of the nodes of stored edges ``(u, v)``; ``comp`` is the least node.
+
+    Rounds of :func:`contract` until the edges are stars, logarithmic in the
+    number of nodes.
+    """
+    done = False
+    while not done:
+        edges, done = contract(edges)
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(
         roots.select("node", F.col("node").alias("comp"))

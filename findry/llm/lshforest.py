@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from findry.llm.common import WordHashes, mix64, words_of
-from findry.llm.components import components
+from findry.llm.components import components, contract, stars
 from findry.session import materialize
 
 SHINGLE = 5
@@ -177,23 +177,20 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     # a few rows per partition: pairs that lie across its borders
     ends = found.where("b is null").select("tree", "label", "a", "n_shingles").distinct()
     along = Window.partitionBy("tree").orderBy("label", "a")
-    across = []
-    for step in range(1, REACH + 1):
-        nxt = F.lead(F.struct("label", "a", "n_shingles"), step).over(along)
-        depth = sum(
-            (
-                F.substring("label", 1, 2 * d) == F.substring(F.col("x.label"), 1, 2 * d)
-            ).cast("int")
-            for d in range(1, DEPTH + 1)
-        )
-        sizes = 100 * F.least("n_shingles", "x.n_shingles") >= PERCENT * F.greatest(
-            "n_shingles", "x.n_shingles"
-        )
-        near = ends.withColumn("x", nxt).where("x is not null").withColumn("depth", depth)
-        near = near.where(sizes & (F.col("depth") >= LEAST))
-        across.append(near.select("a", F.col("x.a").alias("b"), "depth"))
-    for part in across:
-        pairs = pairs.unionByName(part)
+    row = F.struct("label", F.col("a").alias("b"), F.col("n_shingles").alias("m"))
+    after = F.array(*(F.lead(row, step).over(along) for step in range(1, REACH + 1)))
+    near = ends.withColumn("after", after).select(
+        "label", "a", "n_shingles", F.inline(F.filter("after", lambda x: x.isNotNull()))
+    )
+    near = near.toDF("label", "a", "n", "other", "b", "m")
+    same = (
+        F.substring("label", 1, 2 * d) == F.substring("other", 1, 2 * d)
+        for d in range(1, DEPTH + 1)
+    )
+    depth = sum((x.cast("int") for x in same), F.lit(0))
+    sizes = 100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")
+    near = near.withColumn("depth", depth).where(sizes & (F.col("depth") >= LEAST))
+    pairs = pairs.unionByName(near.select("a", "b", "depth"))
     both = pairs.where("a != b").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "depth"
     )
@@ -272,10 +269,11 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(_confirm, "a binary, b binary")
 
 
-def _crossing(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs whose ends are not yet in one component."""
-    a = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
-    b = comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+def _crossing(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pairs without those whose ends have one least neighbour, which are connected."""
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("v")), "least")
+    a = least.select(F.col("u").alias("a"), F.col("v").alias("ca"))
+    b = least.select(F.col("u").alias("b"), F.col("v").alias("cb"))
     joined = pairs.join(a, "a", "left").join(b, "b", "left")
     apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
     return joined.where(apart).drop("ca", "cb")
@@ -284,20 +282,20 @@ def _crossing(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 def link_nodes(pairs: DataFrame, sets: DataFrame, first: int = 2) -> DataFrame:
     """``(node, comp)`` of the nodes that have links among ``pairs``.
 
-    First each node's ``first`` best pairs are confirmed, which joins most
-    copies; then every other pair whose ends are still apart. A pair within a
-    component cannot change the result, so no link is lost by leaving it out.
+    First each node's ``first`` best pairs are confirmed and contracted, which
+    joins most copies; then every other pair whose ends may still be apart. A
+    pair within a component cannot change the result, so no link is lost.
     """
     ends = pairs.select("a", "b", "score", F.explode(F.array("a", "b")).alias("node"))
     best = Window.partitionBy("node").orderBy(F.desc("score"), "a", "b")
     picked = ends.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= first)
     picked = materialize(picked.select("a", "b").distinct(), "best-pairs")
-    links = materialize(confirm(picked, sets), "links")
-    comps = materialize(components(links), "components")
+    links = stars(confirm(picked, sets))
+    links, _ = contract(links)
     rest = pairs.select("a", "b").join(picked, ["a", "b"], "left_anti")
-    rest = materialize(_crossing(rest, comps), "crossing")
-    more = materialize(confirm(rest, sets), "links")
-    return materialize(components(links.unionByName(more)), "components")
+    rest = materialize(_crossing(rest, links), "crossing")
+    more = links.unionByName(stars(confirm(rest, sets)))
+    return materialize(components(more), "components")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from findry.llm import (  # noqa: E402
     quality,
     queries,
 )
-from findry.llm.components import components  # noqa: E402
+from findry.llm.components import components, stars  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -538,10 +538,10 @@ def test_components_of_a_chain_and_a_star(spark):
     name = lambda i: hashlib.md5(str(i).encode()).digest()
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)]
     df = spark.createDataFrame([(name(a), name(b)) for a, b in edges], "a binary, b binary")
-    out = {bytes(r["node"]): bytes(r["comp"]) for r in components(df.repartition(7)).collect()}
+    out = {bytes(r["node"]): bytes(r["comp"]) for r in components(stars(df.repartition(7))).collect()}
     chain, star = [name(i) for i in range(61)], [name(1000 + i) for i in range(50)]
     assert out == {**dict.fromkeys(chain, min(chain)), **dict.fromkeys(star, min(star))}
-    assert components(df.limit(0)).count() == 0
+    assert components(stars(df.limit(0))).count() == 0
 
 
 # -- 10: language ----------------------------------------------------------------
