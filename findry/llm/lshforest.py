@@ -28,7 +28,7 @@ PERCENT = 75
 TREES, SPAN, DEPTH, LEAST = 20, 5, 8, 3
 N_VALUES = TREES * SPAN
 #: Rows on either side that are neighbours.
-REACH = 3
+REACH = 6
 
 _FACTORS = mix64(np.arange(1, N_VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | (
     np.uint64(1)
@@ -269,33 +269,57 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(_confirm, "a binary, b binary")
 
 
-def _crossing(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Pairs without those whose ends have one least neighbour, which are connected."""
-    least = materialize(edges.groupBy("u").agg(F.min("v").alias("v")), "least")
-    a = least.select(F.col("u").alias("a"), F.col("v").alias("ca"))
-    b = least.select(F.col("u").alias("b"), F.col("v").alias("cb"))
-    joined = pairs.join(a, "a", "left").join(b, "b", "left")
-    apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
-    return joined.where(apart).drop("ca", "cb")
+def _crossing(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``pairs`` with the roots ``ca`` and ``cb`` of their ends, where these differ.
+
+    ``roots`` holds ``(node, comp)``; a node without row is its own root.
+    """
+    a = roots.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
+    b = roots.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+    joined = pairs.select("a", "b").join(a, "a", "left").join(b, "b", "left")
+    joined = joined.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    return joined.where("ca != cb")
+
+
+def _toward_hubs(crossing: DataFrame, links: DataFrame, comps: DataFrame, hubs: int) -> DataFrame:
+    """Each end of a crossing pair with the best linked nodes of the other end's component."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
+    top = Window.partitionBy("comp").orderBy(F.desc("count"), "node")
+    ranked = comps.join(degree, "node").withColumn("rank", F.row_number().over(top))
+    best = materialize(ranked.where(F.col("rank") <= hubs).select("comp", "node"), "hubs")
+    ends = crossing.select("a", F.col("cb").alias("comp")).unionByName(
+        crossing.select(F.col("b").alias("a"), F.col("ca").alias("comp"))
+    )
+    return ends.distinct().join(best, "comp").select("a", F.col("node").alias("b"))
 
 
-def link_nodes(pairs: DataFrame, sets: DataFrame, first: int = 2) -> DataFrame:
+def link_nodes(pairs: DataFrame, sets: DataFrame, first: int = 3, hubs: int = 8) -> DataFrame:
     """``(node, comp)`` of the nodes that have links among ``pairs``.
 
     First each node's ``first`` best pairs are confirmed and contracted, which
     joins most copies; then every other pair whose ends may still be apart. A
-    pair within a component cannot change the result, so no link is lost.
+    pair within a component cannot change the result, so no link is lost. Where
+    ends stay apart, each meets the ``hubs`` nodes with most links of the other
+    one's component: a strongly edited copy is often like the original alone.
     """
     ends = pairs.select("a", "b", "score", F.explode(F.array("a", "b")).alias("node"))
     best = Window.partitionBy("node").orderBy(F.desc("score"), "a", "b")
     picked = ends.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= first)
     picked = materialize(picked.select("a", "b").distinct(), "best-pairs")
-    links = stars(confirm(picked, sets))
-    links, _ = contract(links)
+    links = materialize(confirm(picked, sets), "links")
+    edges, _ = contract(stars(links))
+    # nodes with one least neighbour are connected
+    roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp"))
+    roots = materialize(roots, "roots")
     rest = pairs.select("a", "b").join(picked, ["a", "b"], "left_anti")
-    rest = materialize(_crossing(rest, links), "crossing")
-    more = links.unionByName(stars(confirm(rest, sets)))
-    return materialize(components(more), "components")
+    rest = materialize(_crossing(rest, roots).select("a", "b"), "crossing")
+    more = materialize(confirm(rest, sets), "links")
+    comps = materialize(components(edges.unionByName(stars(more))), "components")
+    apart = materialize(_crossing(picked.unionByName(rest), comps), "apart")
+    wider = _toward_hubs(apart, links.unionByName(more), comps, hubs)
+    found = stars(confirm(wider, sets))
+    known = comps.where("node != comp").select(F.col("node").alias("u"), F.col("comp").alias("v"))
+    return materialize(components(known.unionByName(found)), "components")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
