@@ -11,14 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findry.functions.text import GENERATED_MARKERS, content_key, fill_missing, make_id
-from findry.operators.indexing import dense_index
-from findry.operators.joins import HOT_MIN_ROWS, salted_join
-from findry.session import row_count_within
-
-# an example or judgement list longer than this is spread over several rows
-CTXS_PER_ROW = 10_000
-
-_BROADCAST_KEYS = 100_000
+from findry.operators.indexing import dense_index, index_within
+from findry.operators.joins import salted_join
 
 
 def patents_to_passages(
@@ -88,7 +82,7 @@ def build_qrels(
     title: str = "title",
     fill: str = ".",
     distinct: bool = False,
-    hot_rows: int = HOT_MIN_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """One judgement per source row: ``(qid, pid, score, ord)``.
 
@@ -110,39 +104,19 @@ def build_qrels(
     return pairs.select("qid", "pid", F.lit(1).alias("score"), "ord")
 
 
-def _part(df: DataFrame, key: str, limit: int, salt: str) -> DataFrame:
-    """Add ``part``: 0 for ordinary keys, a hash split for oversized groups.
+def group_qrels(qrels: DataFrame) -> DataFrame:
+    """Judged passages per query in source order: ``(qid, place, pid)``, places from 0.
 
-    Group sizes are counted map-side first, so no task ever holds more than
-    about ``limit`` rows of one group, and no row is dropped.
+    One row per judgement, whatever the size of a query's list, so no list is
+    gathered in one task.
     """
-    big = df.groupBy(key).count().where(F.col("count") > limit)
-    n_big = row_count_within(big, _BROADCAST_KEYS)
-    if n_big == 0:
-        return df.withColumn("part", F.lit(0))
-    parts = big.select(key, F.ceil(F.col("count") / limit).alias("_parts"))
-    joined = df.join(parts if n_big is None else F.broadcast(parts), key, "left")
-    part = F.pmod(F.xxhash64(salt), F.coalesce("_parts", F.lit(1))).cast("int")
-    out = joined.withColumn("part", part).drop("_parts")
-    # a shuffled join leaves a key in one partition; spread its parts again
-    return out.repartition(key, "part") if n_big is None else out
-
-
-def group_qrels(qrels: DataFrame, limit: int = CTXS_PER_ROW) -> DataFrame:
-    """Judged passages per query in source order: ``(qid, part, pids)``.
-
-    A query with more than ``limit`` judgements takes several rows.
-    """
-    return (
-        _part(qrels, "qid", limit, "ord")
-        .groupBy("qid", "part")
-        .agg(F.sort_array(F.collect_list(F.struct("ord", "pid")))["pid"].alias("pids"))
-    )
+    rows = qrels.select("qid", "ord", "pid")
+    return index_within(rows, "qid", ["ord", "pid"], "place").select("qid", "place", "pid")
 
 
 def drop_unjudged(grouped: DataFrame) -> DataFrame:
-    """Leave out queries whose judgement list is empty."""
-    return grouped.where(F.size("pids") > 0)
+    """Leave out queries whose judgement list is empty: rows without passage."""
+    return grouped.where(F.col("pid").isNotNull())
 
 
 def first_gold(qrels: DataFrame) -> DataFrame:
@@ -159,34 +133,41 @@ def build_examples(
     qrels: DataFrame,
     queries: DataFrame,
     corpus: DataFrame,
-    limit: int = CTXS_PER_ROW,
-    hot_rows: int = HOT_MIN_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
-    """Training examples ``(qid, part, question, positive_ctxs)``.
+    """Training examples in long form: ``(qid, question, place, pid, title, text)``.
 
-    Positives are in judgement order. A question with more than ``limit``
-    positives yields several examples.
+    One row per positive context, in judgement order. :func:`nest_examples`
+    makes the records of a file.
     """
-    parted = _part(qrels.select("qid", "pid", "ord"), "qid", limit, "ord")
+    places = group_qrels(qrels)
     passages = corpus.select("pid", "title", "text")
-    positives = (
-        salted_join(parted, passages, "pid", "ord", min_rows=hot_rows)
-        .groupBy("qid", "part")
-        .agg(F.sort_array(F.collect_list(F.struct("ord", "title", "text"))).alias("_p"))
-    )
-    ctxs = F.transform("_p", lambda p: F.struct(p["title"].alias("title"), p["text"].alias("text")))
+    positives = salted_join(places, passages, "pid", "qid", min_rows=hot_rows)
     asked = queries.select("qid", F.col("text").alias("question"))
-    return positives.join(asked, "qid").select(
-        "qid", "part", "question", ctxs.alias("positive_ctxs")
-    )
+    return positives.join(asked, "qid").select("qid", "question", "place", "pid", "title", "text")
+
+
+def nest_examples(examples: DataFrame) -> DataFrame:
+    """``(qid, question, positive_ctxs)``: one record per question, as files hold them.
+
+    Only for writing: a record holds all of its question's contexts.
+    """
+    ctx = F.struct("place", "title", "text")
+    nested = examples.groupBy("qid", "question").agg(F.sort_array(F.collect_list(ctx)).alias("_p"))
+    ctxs = F.transform("_p", lambda p: F.struct(p["title"].alias("title"), p["text"].alias("text")))
+    return nested.select("qid", "question", ctxs.alias("positive_ctxs"))
 
 
 def attach_negatives(
     examples: DataFrame, mined: DataFrame, column: str = "negative_ctxs"
 ) -> DataFrame:
-    """Add mined contexts to the examples of the same question (null if none)."""
-    found = mined.select("question", column)
-    return examples.drop(column).join(found, "question", "left")
+    """Add mined contexts to the records of the same question (null if none).
+
+    Questions are matched by their content key, long texts do not travel as keys.
+    """
+    found = mined.select(content_key(F.col("question")).alias("_key"), column)
+    keyed = examples.drop(column).withColumn("_key", content_key(F.col("question")))
+    return keyed.join(found, "_key", "left").drop("_key")
 
 
 def restrict_examples(examples: DataFrame, queries: DataFrame) -> DataFrame:
@@ -220,7 +201,7 @@ def clean_generated_queries(df: DataFrame) -> DataFrame:
 
 
 def link_generated(
-    generated: DataFrame, corpus: DataFrame, hot_rows: int = HOT_MIN_ROWS
+    generated: DataFrame, corpus: DataFrame, hot_rows: int | None = None
 ) -> DataFrame:
     """Attach the passage whose body is the generation input: adds ``pid``."""
     keyed = generated.withColumn("text_key", content_key(F.col("input")))
@@ -233,7 +214,7 @@ def attach_passages(
     corpus: DataFrame,
     fields: list[str] | None = None,
     on_missing: str = "error",
-    hot_rows: int = HOT_MIN_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Hits with the stored fields of their passage.
 

@@ -156,8 +156,8 @@ def split_rows(
 def sample_n(df: DataFrame, key: list[str], n: int, seed: int | str) -> DataFrame:
     """Exactly ``n`` random rows without replacement (all rows if there are fewer)."""
     digest = hash_order(seed, *[F.col(c) for c in key])
-    if n <= _LEAF_ROWS:
-        return df.withColumn("_h", digest).orderBy("_h").limit(n).drop("_h")
+    if n < 1:
+        return df.limit(0)
     cut = hash_cuts(df, digest, [n])[0]
     return df if cut is None else df.where(digest <= cut)
 

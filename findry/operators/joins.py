@@ -33,16 +33,20 @@ def salted_join(
     spread_by: str,
     how: str = "inner",
     salts: int = 32,
-    min_rows: int = HOT_MIN_ROWS,
+    min_rows: int | None = None,
 ) -> DataFrame:
-    """Join on ``key`` with hot left keys spread over ``salts`` partitions.
+    """Join on ``key``; adaptive execution splits a hot key's partition.
+
+    With ``min_rows``, where the left side is stored and cheap to count, keys
+    of more rows are spread over ``salts`` partitions beforehand.
 
     Left rows of a hot key get a salt from ``spread_by``; only the matching
     right rows are copied once per salt. Rows of other keys are untouched.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("the right side is copied, so only left-preserving joins are allowed")
-    hot = hot_keys(left, key, min_rows)
+    # counting would run an unstored left side twice
+    hot = hot_keys(left, key, min_rows) if min_rows is not None else []
     if not hot:
         return left.join(right, key, how)
     is_hot = F.col(key).isin(hot)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from findry.operators.indexing import index_within
 from findry.functions.text import truncate
 
 # The context template and the system prompt, in the source language.
@@ -73,23 +74,16 @@ def rag_context(
     )
 
 
-def chat_pairs(conversations: DataFrame, per_row: int = 1000) -> DataFrame:
-    """``(conv_id, block, history)``: messages of a conversation in turn order.
+def chat_history(conversations: DataFrame) -> DataFrame:
+    """``(conv_id, place, role, content)``: all messages of a conversation in turn order.
 
-    System turns are left out. Very long conversations are cut into blocks of
-    ``per_row`` turns, one row each, so that none is gathered whole.
+    System turns are left out. One row per message, numbered from 0, so a
+    conversation of any length is gathered nowhere.
     """
     turns = conversations.where(F.col("role").isin("user", "assistant"))
-    return (
-        turns.withColumn("block", F.floor(F.col("turn") / per_row))
-        .groupBy("conv_id", "block")
-        .agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("_t"))
-        .select(
-            "conv_id",
-            "block",
-            F.transform("_t", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("history"),
-        )
-    )
+    turns = turns.select("conv_id", "turn", "role", F.col("text").alias("content"))
+    placed = index_within(turns, "conv_id", ["turn", "role", "content"], "place")
+    return placed.select("conv_id", "place", "role", "content")
 
 
 def rag_messages(
@@ -97,27 +91,31 @@ def rag_messages(
     history: DataFrame | None = None,
     prompt: str = SYSTEM_PROMPT,
 ) -> DataFrame:
-    """``(qid, messages)``: system prompt with query and context, history, new message.
+    """``(qid, place, role, content)``: system prompt with query and context, history, new message.
 
-    ``context(qid, query, context, message)``; ``history(qid, history)`` holds
-    alternating user and assistant messages and may lack a query.
+    ``context(qid, query, context, message)``; ``history(qid, place, role,
+    content)`` holds the earlier messages and may lack a query. One row per
+    message; all of the history is in, in order.
     """
     system = F.concat(
         F.lit(prompt),
         _fill(QUERY_LINE, query=F.coalesce("query", F.lit(""))),
         _fill(CONTEXT_LINE, context=F.coalesce("context", F.lit(""))),
     )
-    empty = F.expr("cast(array() as array<struct<role:string,content:string>>)")
-    rows = context
-    past: Column = empty
+    first = F.lit(0).cast("long").alias("place")
+    out = context.select("qid", first, F.lit("system").alias("role"), system.alias("content"))
+    said = context.select("qid", F.col("message").alias("content"))
+    last = F.lit(1).cast("long")
     if history is not None:
-        rows = context.join(history.select("qid", "history"), "qid", "left")
-        past = F.coalesce("history", empty)
-    return rows.select(
-        "qid",
-        F.concat(
-            F.array(_message("system", system)), past, F.array(_message("user", F.col("message")))
-        ).alias("messages"),
+        past = history.join(context.select("qid"), "qid", "left_semi")
+        out = out.unionByName(
+            past.select("qid", (F.col("place") + 1).alias("place"), "role", "content")
+        )
+        sizes = history.groupBy("qid").agg(F.count("*").alias("n"))
+        said = said.join(sizes, "qid", "left")
+        last = F.coalesce("n", F.lit(0)) + 1
+    return out.unionByName(
+        said.select("qid", last.alias("place"), F.lit("user").alias("role"), "content")
     )
 
 

@@ -89,7 +89,7 @@ def sample_negatives(
     k = F.col(key)
     pick = F.floor(uniform(f"{seed}-gold", k) * F.size("positive_ctxs")).cast("int")
     trials = F.aggregate(
-        F.sequence(F.lit(0), F.lit(n - 1)),
+        F.slice(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)), 1, n),
         F.lit(0),
         lambda acc, i: acc
         + (uniform_of(hash_order(f"{seed}-hard", k, i)) < hard_ratio).cast("int"),

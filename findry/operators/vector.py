@@ -18,7 +18,6 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findry.functions.rand import hash_order
 from findry.functions.vectors import NORM_FLOOR, dot, l2_normalize
 from findry.operators.blockwise import (
     QUERY_BOUND,
@@ -28,9 +27,9 @@ from findry.operators.blockwise import (
     vectors_of,
 )
 from findry.operators.joins import salted_join
+from findry.sources.writers import spread_cells
 
 # training a codebook needs some tens of points per centroid, not the whole table
-_TRAIN_PER_CENTROID = 256
 _PRUNE_CELLS = 4096
 _PARALLEL_FITS = 4
 _ROWS_PER_FILE = 250_000
@@ -107,18 +106,6 @@ def normalize_embeddings(items: DataFrame) -> DataFrame:
     return items.withColumn("embedding", l2_normalize(F.col("embedding")))
 
 
-def _training_rows(items: DataFrame, centroids: int) -> DataFrame:
-    """A bounded, seeded training set; the index itself covers every row."""
-    wanted = centroids * _TRAIN_PER_CENTROID
-    n = items.count()
-    if n <= wanted:
-        return items.select("pid", "embedding")
-    share = int(min(1.0, 1.2 * wanted / n) * 0xFFFFFFFF)
-    return items.where(hash_order("train", F.col("pid")) <= f"{share:08x}").select(
-        "pid", "embedding"
-    )
-
-
 def _kmeans(train: DataFrame, vector, k: int, seed: int, rounds: int) -> np.ndarray:
     points = train.select(array_to_vector(vector).alias("v"))
     points.persist()
@@ -168,7 +155,7 @@ def assign_cells(items: DataFrame, centers: np.ndarray) -> DataFrame:
 
 def build_ivf(items: DataFrame, nlist: int = 1024, seed: int = 42, rounds: int = 10) -> IvfIndex:
     """Cut the vector space into ``nlist`` cells and assign every row to one."""
-    centers = _kmeans(_training_rows(items, nlist), F.col("embedding"), nlist, seed, rounds)
+    centers = _kmeans(items, F.col("embedding"), nlist, seed, rounds)
     return IvfIndex(assign_cells(items, centers), _centroid_frame(items.sparkSession, centers))
 
 
@@ -235,27 +222,18 @@ def ivf_search(
     return blockwise_topk(probed, rows, CellScorer(), k, bound, **blocks)
 
 
-def _spread_cells(rows: DataFrame) -> DataFrame:
-    """Partition by cell, a cell of many rows over several partitions."""
-    files = F.ceil(F.col("count") / _ROWS_PER_FILE)
-    # one row per cell, so the broadcast is bounded by nlist
-    per_cell = rows.groupBy("cluster_id").count().select("cluster_id", files.alias("_files"))
-    salted = rows.join(F.broadcast(per_cell), "cluster_id").withColumn(
-        "_salt", F.pmod(F.xxhash64("pid"), F.col("_files"))
-    )
-    return salted.repartition("cluster_id", "_salt").drop("_files", "_salt")
-
-
-def save_ivf(index: IvfIndex, path: str, mode: str = "overwrite") -> None:
-    """Write the index: rows partitioned by cell, centroids, and the row count.
+def save_ivf(index: IvfIndex, path: str) -> None:
+    """Write the index, overwriting: rows partitioned by cell, centroids, and the row count.
 
     A crowded cell is spread over as many writers as its row count asks for.
+    Rows are added by :func:`append_vectors`.
     """
-    by_cell = _spread_cells(index.rows)
-    by_cell.write.mode(mode).partitionBy("cluster_id").parquet(os.path.join(path, "rows"))
-    index.centroids.coalesce(1).write.mode(mode).parquet(os.path.join(path, "centroids"))
+    by_cell = spread_cells(index.rows, _ROWS_PER_FILE).write.mode("overwrite")
+    by_cell.partitionBy("cluster_id").parquet(os.path.join(path, "rows"))
+    centroids = index.centroids.coalesce(1).write.mode("overwrite")
+    centroids.parquet(os.path.join(path, "centroids"))
     written = _ivf_rows(index.rows.sparkSession, path).agg(F.count("*").alias("n"))
-    written.write.mode(mode).parquet(os.path.join(path, "size"))
+    written.write.mode("overwrite").parquet(os.path.join(path, "size"))
 
 
 def _ivf_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -276,7 +254,7 @@ def append_vectors(spark: SparkSession, path: str, items: DataFrame) -> None:
     """Add rows to a saved index under its existing centroids."""
     index = IvfIndex(items, spark.read.parquet(os.path.join(path, "centroids")))
     added = assign_cells(items, index.centers())
-    _spread_cells(added).write.mode("append").partitionBy("cluster_id").parquet(os.path.join(path, "rows"))
+    spread_cells(added, _ROWS_PER_FILE).write.mode("append").partitionBy("cluster_id").parquet(os.path.join(path, "rows"))
     size = _ivf_rows(spark, path).agg(F.count("*").alias("n")).first()[0]
     frame = spark.createDataFrame([(size,)], "n long")
     frame.coalesce(1).write.mode("overwrite").parquet(os.path.join(path, "size"))
@@ -332,7 +310,7 @@ def build_pq(
     if dim % n_subquantizers:
         raise ValueError("the dimension must be a multiple of n_subquantizers")
     width, size = dim // n_subquantizers, 1 << n_bits
-    train = _training_rows(items, size).persist()
+    train = items.select("pid", "embedding").persist()
 
     def codebook(j: int) -> np.ndarray:
         part = F.slice("embedding", j * width + 1, width)

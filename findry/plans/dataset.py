@@ -53,13 +53,10 @@ def _distinct_qrels(spark, sf):
 @query(
     "group_qrels",
     f"""WITH {CORPUS_SQL}
-SELECT qid, string_agg(pid, ',' ORDER BY ord) AS pids, count(*) AS n FROM qrels GROUP BY qid""",
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY ord) - 1 AS place, pid FROM qrels""",
 )
 def _group_qrels(spark, sf):
-    grouped = dataset.drop_unjudged(dataset.group_qrels(titled_dataset(spark, sf)[2]))
-    return grouped.select(
-        "qid", F.array_join("pids", ",").alias("pids"), F.size("pids").cast("long").alias("n")
-    )
+    return dataset.drop_unjudged(dataset.group_qrels(titled_dataset(spark, sf)[2]))
 
 
 @query("first_gold", f"WITH {CORPUS_SQL}, {GOLD_SQL} SELECT qid, gold FROM gold")
@@ -172,14 +169,15 @@ def _shards(spark, sf):
 @query(
     "build_examples",
     f"""WITH {CORPUS_SQL}
-SELECT q.qid, q.text AS question, string_agg(md5(c.title || '|' || c.text), ',' ORDER BY r.ord) AS positives
-FROM qrels r JOIN queries q USING (qid) JOIN corpus c USING (pid) GROUP BY q.qid, q.text""",
+SELECT q.qid, md5(q.text) AS question, row_number() OVER (PARTITION BY q.qid ORDER BY r.ord) - 1 AS place,
+  pid, md5(c.title || '|' || c.text) AS digest
+FROM qrels r JOIN queries q USING (qid) JOIN corpus c USING (pid)""",
 )
 def _examples(spark, sf):
     corpus, queries, qrels = titled_dataset(spark, sf)
     examples = dataset.build_examples(qrels, queries, corpus)
-    digest = F.transform("positive_ctxs", lambda c: F.md5(F.concat(c["title"], F.lit("|"), c["text"])))
-    return examples.select("qid", "question", F.array_join(digest, ",").alias("positives"))
+    digest = F.md5(F.concat("title", F.lit("|"), "text")).alias("digest")
+    return examples.select("qid", F.md5("question").alias("question"), "place", "pid", digest)
 
 
 @query(

@@ -43,7 +43,8 @@ def _jsonl(spark, sf):
     path = scratch_path(spark, "passages")
     writers.write_passages(_passages(spark, sf), path)
     rows = readers.read_passages(spark, path)
-    return rows.select("pid", "title", F.md5("text").alias("digest"), "metadata.*")
+    known = [F.col("metadata")[c].alias(c) for c in ("type", "patent_id", "applicant")]
+    return rows.select("pid", "title", F.md5("text").alias("digest"), *known)
 
 
 @query(
@@ -121,7 +122,7 @@ def _load(spark, sf):
 
 
 _EXAMPLE_COUNTS = """
-SELECT substring(split_part(text, chr(10), 1), 1, 80) AS question, count(*) AS n, 2 * count(*) AS positives
+SELECT split_part(text, chr(10), 1) AS question, count(*) AS n, 2 * count(*) AS positives
 FROM (SELECT text FROM documents UNION ALL SELECT text FROM documents WHERE lang = 'en') GROUP BY 1"""
 
 
@@ -214,7 +215,8 @@ def _read_mixture(spark, sf):
     langs = table(spark, sf, "documents").select("doc_id", "lang")
     rows = token_rows(spark, sf).join(langs, "doc_id")
     rows.withColumnRenamed("doc_id", "ord").write.partitionBy("lang").parquet(root)
-    folders = {name: os.path.join(root, f"lang={name}") for name in ("en", "de", "fr", "es")}
+    names = [r[0] for r in langs.select("lang").distinct().collect()]
+    folders = {name: os.path.join(root, f"lang={name}") for name in names}
     mixed = readers.read_mixture(spark, folders)
     return mixed.groupBy("dataset").agg(
         F.count("*").alias("n"), F.sum(F.size("tokens")).alias("tokens")

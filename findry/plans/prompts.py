@@ -11,7 +11,7 @@ from findry.session import materialize
 _PROMPT = "Write search queries for this document."
 
 _HITS_SQL = f"""WITH corpus AS (
-  SELECT doc_id AS pid, substring(split_part(text, chr(10), 1), 1, 80) AS title, text FROM documents),
+  SELECT doc_id AS pid, split_part(text, chr(10), 1) AS title, text FROM documents),
 queries AS (SELECT item_id AS qid, text FROM benchmark), {bm25_sql(10)},
 full_hits AS (SELECT h.*, c.title, c.text FROM hits h JOIN corpus c USING (pid))"""
 
@@ -20,11 +20,11 @@ def full_hits(spark, sf):
     """BM25 top 10 of the benchmark items with titles and bodies."""
     corpus = table(spark, sf, "documents").select(
         F.col("doc_id").alias("pid"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         "text",
     )
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    hits = lexical.bm25_search(queries, lexical.build_index(corpus), 10)
+    hits = materialize(lexical.bm25_search(queries, lexical.build_index(corpus), 10), "hits")
     return queries, materialize(dataset.attach_passages(hits, corpus))
 
 
@@ -83,13 +83,12 @@ FROM messages""",
 )
 def _messages(spark, sf):
     queries, hits = full_hits(spark, sf)
-    history = rag.chat_pairs(table(spark, sf, "conversations")).where("block = 0")
+    history = rag.chat_history(table(spark, sf, "conversations"))
     asked = rag.rag_context(hits).join(queries, "qid").select(
         "qid", F.col("text").alias("query"), "context", F.col("text").alias("message")
     )
-    rows = rag.rag_messages(asked, history.select(F.col("conv_id").alias("qid"), "history"))
-    long = rows.select("qid", F.posexplode("messages").alias("place", "m"))
-    return long.select("qid", "place", F.col("m.role").alias("role"), F.md5("m.content").alias("digest"))
+    rows = rag.rag_messages(asked, history.withColumnRenamed("conv_id", "qid"))
+    return rows.select("qid", F.col("place").cast("int"), "role", F.md5("content").alias("digest"))
 
 
 @query(
@@ -98,14 +97,9 @@ def _messages(spark, sf):
 FROM conversations WHERE role IN ('user', 'assistant')""",
 )
 def _history(spark, sf):
-    rows = rag.chat_pairs(table(spark, sf, "conversations"))
-    long = rows.select("conv_id", "block", F.posexplode("history").alias("i", "m"))
-    return long.select(
-        "conv_id",
-        (F.col("block") * 1000 + F.col("i")).cast("int").alias("place"),
-        F.col("m.role").alias("role"),
-        F.md5("m.content").alias("digest"),
-    )
+    rows = rag.chat_history(table(spark, sf, "conversations"))
+    digest = F.md5("content").alias("digest")
+    return rows.select("conv_id", F.col("place").cast("int"), "role", digest)
 
 
 @query(

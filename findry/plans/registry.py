@@ -37,27 +37,35 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 # -- a titled source table out of `documents` -------------------------------
-# title = first line cut to 80 characters; a very short body counts as missing
+# title: the whole first line; body: the whole text, missing if it is blank.
+# the benchmark items are titles without any body
 
-SHORT_BODY = 40
+ITEM_ORD = 1_000_000_000
 
 
 def source_rows(spark: SparkSession, sf: str) -> DataFrame:
     """``(ord, title, text, source)`` with repeated titles, repeated and missing bodies."""
-    docs = table(spark, sf, "documents")
-    body = F.when(F.col("n_chars") >= SHORT_BODY, F.col("text"))
-    return docs.select(
+    docs = table(spark, sf, "documents").select(
         F.col("doc_id").alias("ord"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"),
-        body.alias("text"),
+        F.substring_index("text", "\n", 1).alias("title"),
+        F.when(F.trim("text") != "", F.col("text")).alias("text"),
         "source",
     )
+    items = table(spark, sf, "benchmark").select(
+        (F.col("item_id") + ITEM_ORD).alias("ord"),
+        F.substring_index("text", "\n", 1).alias("title"),
+        F.lit(None).cast("string").alias("text"),
+        F.lit("items").alias("source"),
+    )
+    return docs.unionByName(items)
 
 
 SOURCE_SQL = f"""src AS (
-  SELECT doc_id AS ord, substring(split_part(text, chr(10), 1), 1, 80) AS title,
-         CASE WHEN n_chars >= {SHORT_BODY} THEN text END AS text, source
-  FROM documents)"""
+  SELECT doc_id AS ord, split_part(text, chr(10), 1) AS title,
+         CASE WHEN trim(text) <> '' THEN text END AS text, source
+  FROM documents
+  UNION ALL
+  SELECT item_id + {ITEM_ORD}, split_part(text, chr(10), 1), NULL, 'items' FROM benchmark)"""
 
 CORPUS_SQL = f"""{SOURCE_SQL},
 filled AS (SELECT ord, title, coalesce(text, '.') AS text, source FROM src),

@@ -319,7 +319,7 @@ FROM queries q JOIN positives p USING (qid) LEFT JOIN mined m USING (qid)""",
 )
 def _attach_negatives(spark, sf):
     corpus, queries, qrels, hits = lexical_case(spark, sf)
-    examples = dataset.build_examples(qrels, queries, corpus)
+    examples = dataset.nest_examples(dataset.build_examples(qrels, queries, corpus))
     mined = mining.mine_negatives(dataset.first_gold(qrels), hits, queries, corpus)
     full = dataset.attach_negatives(examples, mined)
     return full.select(

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from findry.operators.embed import embed
 from findry.plans.registry import ORACLES, query, table
 from findry.plans.search import _DIM
-from findry.session import scratch_path
+from findry.session import materialize, scratch_path
 from findry.sources import writers
-from findry.streaming.jobs import answer_stream, ingest_stream
+from findry.streaming.jobs import answer_stream, embed_and_place, ingest_stream
 
 
 @query(
@@ -33,12 +33,18 @@ def _ingest(spark, sf):
         (start + F.make_dt_interval(secs=F.col("doc_id"))).alias("ts"),
     )
     root = scratch_path(spark, "stream")
-    # everything arrives twice; the second copy of an id is dropped
-    passages.unionAll(passages).write.json(f"{root}/in")
+    # a load by batch, then a stream in two runs: the older half comes last, and everything twice
     centers = np.eye(4, _DIM)
-    job = ingest_stream(spark, f"{root}/in", f"{root}/table", centers, f"{root}/checkpoint", dim=_DIM)
-    job.awaitTermination()
-    rows = writers.read_vector_table(spark, f"{root}/table")
+    older = F.col("ts") < F.expr("timestamp'2024-01-01 00:05:00'")
+    first = embed_and_place(passages.where(older).limit(10), centers, dim=_DIM)
+    writers.write_vector_table(first, f"{root}/table")
+    for part in (passages.where(~older), passages.where(older)):
+        part.unionAll(part).write.mode("append").json(f"{root}/in")
+        job = ingest_stream(
+            spark, f"{root}/in", f"{root}/table", centers, f"{root}/checkpoint", dim=_DIM
+        )
+        job.awaitTermination()
+    rows = writers.read_vector_table(spark, f"{root}/table", on_conflict="replace")
     return rows.select("pid", "title", F.md5("summary").alias("digest"), "inserted_at")
 
 
@@ -48,7 +54,8 @@ def _answer(spark, sf):
     asked = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("qid"), "text")
     asked.write.json(f"{root}/in")
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("pid"), "text")
-    items = embed(docs, "text", dim=_DIM).select("pid", "embedding")
+    # each batch of queries reads the stored vectors
+    items = materialize(embed(docs, "text", dim=_DIM).select("pid", "embedding"), "vectors")
     job = answer_stream(spark, f"{root}/in", items, f"{root}/hits", f"{root}/checkpoint", dim=_DIM)
     job.awaitTermination()
     hits = spark.read.parquet(f"{root}/hits")

@@ -182,7 +182,7 @@ def example_rows(spark, sf):
     """``(qid, question, positive_ctxs, negative_ctxs, hard_negative_ctxs)``."""
     docs = table(spark, sf, "documents").select(
         F.col("doc_id").alias("qid"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         "text",
     )
     ctx = F.struct("title", "text")
@@ -209,7 +209,7 @@ def _lead_list(first: int, n: int) -> str:
 
 
 EXAMPLES_SQL = f"""docs AS (
-  SELECT doc_id AS qid, substring(split_part(text, chr(10), 1), 1, 80) AS title,
+  SELECT doc_id AS qid, split_part(text, chr(10), 1) AS title,
          text FROM documents),
 examples AS (
   SELECT qid, title AS question, [md5(title || '|' || text), md5('|' || text)] AS pos,
@@ -265,7 +265,7 @@ def _eval_sampled(spark, sf):
 
 
 _TEXTS_SQL = f"""docs AS (
-  SELECT doc_id AS qid, substring(split_part(text, chr(10), 1), 1, 80) AS title,
+  SELECT doc_id AS qid, split_part(text, chr(10), 1) AS title,
          text FROM documents),
 texts AS (
   SELECT qid, title AS query, title || ' ' || text AS gold,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -37,13 +38,16 @@ def get_session(app: str = "findry", cores: int | None = None) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) a local folder
-    is made.
+    Only on one machine (a ``local`` master) a local folder is made where none
+    is named; on a cluster its tasks would not see each other's files.
     """
     global _LOCAL_SCRATCH
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master!r}")
     if _LOCAL_SCRATCH is None:
         _LOCAL_SCRATCH = tempfile.mkdtemp(prefix="findry-")
     return _LOCAL_SCRATCH

@@ -37,7 +37,8 @@ def read_passages(spark: SparkSession, path: Paths, multiline: bool = False) ->
         rows = spark.read.csv(
             paths, sep="\t", quote='"', escape='"', multiLine=multiline, schema=schemas.PASSAGE_TSV
         )
-        body = rows.where(F.col("id") != "id")
+        # an empty id is an id
+        body = rows.where(~F.col("id").eqNullSafe(F.lit("id")))
         return body.select(F.col("id").alias("pid"), "title", "text")
     rows = spark.read.json(paths, schema=schemas.PASSAGE, multiLine=multiline)
     return rows.select(
@@ -84,15 +85,63 @@ def read_examples(
 ) -> DataFrame:
     """Training examples from ``.json`` arrays and ``.jsonl`` lines, in path order.
 
-    ``maxload`` caps the total number of rows; files after the one that
-    reaches it contribute nothing.
+    Contexts keep all their fields, as text. ``maxload`` caps the total number
+    of rows: whole paths as long as they fit, then the first rows of the next
+    one; later paths contribute nothing.
     """
     parts = []
+    room = maxload
     for path in _as_list(paths):
         multiline = path.rstrip("/").endswith(".json")
-        parts.append(spark.read.json(path, schema=schemas.EXAMPLE, multiLine=multiline))
-    rows = reduce(DataFrame.unionByName, parts)
-    return rows.limit(maxload) if maxload else rows
+        rows = spark.read.json(path, schema=schemas.EXAMPLE, multiLine=multiline)
+        if room is not None and maxload:
+            n = rows.count() if room else 0
+            rows = rows if n <= room else first_rows(rows, room)
+            rows = rows if room else rows.limit(0)
+            room -= min(n, room)
+        parts.append(rows)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def first_rows(rows: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of a file scan, in file order, without gathering them.
+
+    Each task takes as many of its rows as the tasks before it leave room for.
+    """
+    numbered = rows.withColumn("_at", F.monotonically_increasing_id())
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    # one row per task of the scan
+    sizes = {r["p"]: r["n"] for r in numbered.groupBy(part.alias("p")).agg(
+        F.count("*").alias("n")).collect()}
+    keep = F.lit(False)
+    for p in sorted(sizes):
+        if n <= 0:
+            break
+        mine = part == p
+        keep = keep | (mine if sizes[p] <= n else mine & (place < n))
+        n -= sizes[p]
+    return numbered.where(keep).drop("_at")
+
+
+def read_results(spark: SparkSession, path: Paths) -> DataFrame:
+    """Retrieval results and answer files, one row per context.
+
+    ``(qid, question, answers, rank, pid, title, text, score)`` from records
+    with ``ctxs`` in rank order (from 1). A query without contexts keeps one
+    row with null context fields.
+    """
+    rows = spark.read.json(_as_list(path), schema=schemas.RESULT)
+    long = rows.select("qid", "question", "answers", F.posexplode_outer("ctxs").alias("at", "c"))
+    return long.select(
+        "qid",
+        "question",
+        "answers",
+        (F.col("at") + 1).alias("rank"),
+        F.col("c")["id"].alias("pid"),
+        F.col("c")["title"].alias("title"),
+        F.col("c")["text"].alias("text"),
+        F.col("c")["score"].cast("double").alias("score"),
+    )
 
 
 def read_generations(spark: SparkSession, path: Paths) -> DataFrame:

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 PASSAGE = (
     "_id string, id string, title string, text string, summary string, "
-    "metadata struct<type:string,patent_id:string,applicant:string>"
+    # any field that a record has, also one that no operator knows
+    "metadata map<string,string>"
 )
 PASSAGE_TSV = "id string, text string, title string"
 QUERY = "_id string, text string"
 QREL = "qid string, pid string, score int"
-CTX = "struct<title:string,text:string>"
+#: A context with all its fields: title, text, and perhaps id, score, ce_score ...
+CTX = "map<string,string>"
 EXAMPLE = (
-    f"question string, positive_ctxs array<{CTX}>, negative_ctxs array<{CTX}>, "
+    f"question string, answers array<string>, positive_ctxs array<{CTX}>, negative_ctxs array<{CTX}>, "
     f"hard_negative_ctxs array<{CTX}>"
 )
 GENERATION = (
     "doc_id string, input string, generated_text struct<role:string,content:string>, "
     "metadata struct<input_type:string,model:string,response:string>"
 )
+RESULT = f"qid string, question string, answers array<string>, ctxs array<{CTX}>"
 EMBEDDING = "pid string, embedding array<float>"
 TOKENS = "ord long, tokens array<int>"

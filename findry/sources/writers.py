@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from findry.functions.text import parse_id, truncate
+from findry.session import materialize
 
 BODY_LIMIT = 10_000
 
@@ -62,7 +65,7 @@ def write_qrels(
 
 def write_examples(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Training examples as JSON lines; absent context lists are left out of the record."""
-    names = ("question", "positive_ctxs", "negative_ctxs", "hard_negative_ctxs")
+    names = ("question", "answers", "positive_ctxs", "negative_ctxs", "hard_negative_ctxs")
     df.select(*[c for c in names if c in df.columns]).write.mode(mode).json(path)
 
 
@@ -98,11 +101,35 @@ def vector_rows(df: DataFrame, now: Column | None = None) -> DataFrame:
     )
 
 
-def write_vector_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Rows of :func:`vector_rows`, partitioned by cell; ``append`` never checks ids."""
+def spread_cells(rows: DataFrame, rows_per_file: int = 1_000_000) -> DataFrame:
+    """Partition by cell, a cell of many rows over several partitions."""
+    files = F.ceil(F.col("count") / rows_per_file)
+    # one row per cell, so the broadcast is bounded by the number of cells
+    per_cell = rows.groupBy("cluster_id").count().select("cluster_id", files.alias("_files"))
+    salted = rows.join(F.broadcast(per_cell), "cluster_id").withColumn(
+        "_salt", F.pmod(F.xxhash64("pid"), F.col("_files"))
+    )
+    return salted.repartition("cluster_id", "_salt").drop("_files", "_salt")
+
+
+def write_vector_table(
+    df: DataFrame, path: str, mode: str = "overwrite", load: str | None = None
+) -> None:
+    """Rows of :func:`vector_rows`, partitioned by load and cell; ids are never checked.
+
+    ``append`` adds a load, or replaces the one named ``load``; batch and
+    stream write the same layout. A cell of a load is one file, more if it is
+    crowded.
+    """
     if mode not in ("overwrite", "append"):
         raise ValueError("mode must be 'overwrite' or 'append'")
-    df.write.mode(mode).partitionBy("cluster_id").parquet(path)
+    # the rows are counted by cell and then written
+    cells = spread_cells(materialize(df, "load")).withColumn(
+        "load", F.lit(load or uuid.uuid4().hex)
+    )
+    writer = cells.write.partitionBy("load", "cluster_id").mode("overwrite")
+    kept = "static" if mode == "overwrite" else "dynamic"
+    writer.option("partitionOverwriteMode", kept).parquet(path)
 
 
 def apply_ttl(df: DataFrame, now: Column, seconds: int = 1800) -> DataFrame:
@@ -117,7 +144,7 @@ def read_vector_table(
 
     Rows past the retention time are filtered out on read.
     """
-    rows = spark.read.parquet(path)
+    rows = spark.read.parquet(path).drop("load")
     if ttl is not None:
         rows = apply_ttl(rows, F.current_timestamp() if now is None else now, ttl)
     if on_conflict == "keep":
@@ -125,5 +152,7 @@ def read_vector_table(
     if on_conflict != "replace":
         raise ValueError("on_conflict must be 'keep' or 'replace'")
     # a rank filter of one keeps only one row per id and task before the shuffle
-    latest = W.partitionBy("pid").orderBy(F.desc("inserted_at"))
+    # rows of one moment are told apart by their content
+    content = F.xxhash64("patent_id", "title", "summary", "embedding")
+    latest = W.partitionBy("pid").orderBy(F.desc("inserted_at"), content)
     return rows.withColumn("_r", F.row_number().over(latest)).where(F.col("_r") == 1).drop("_r")

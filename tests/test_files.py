@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from findry.operators.embed import embed
+from findry.session import materialize
 from findry.sources import readers, writers
 from findry.streaming.jobs import ingest_stream
 
@@ -44,6 +45,67 @@ def test_example_files_and_cap(spark, tmp_path):
     assert capped.count() == 5 and capped.first()["negative_ctxs"] is None
 
 
+def test_nothing_is_lost_on_read(spark, tmp_path):
+    ctx = {"title": "t", "text": "x", "ce_score": 0.5}
+    record = {"question": "q", "answers": ["a"], "negative_ctxs": [ctx]}
+    (tmp_path / "n.jsonl").write_text(json.dumps(record))
+    got = readers.read_examples(spark, str(tmp_path / "n.jsonl")).first()
+    assert got["answers"] == ["a"] and got["negative_ctxs"][0]["ce_score"] == "0.5"
+    passage = {"_id": "1", "text": "x", "metadata": {"application_number": "10-2", "type": "k"}}
+    (tmp_path / "m.jsonl").write_text(json.dumps(passage))
+    meta = readers.read_passages(spark, str(tmp_path / "m.jsonl")).first()["metadata"]
+    assert meta == {"application_number": "10-2", "type": "k"}
+    (tmp_path / "e.tsv").write_text("id\ttext\ttitle\n\tbody\thead\nC1\tb\th\n")
+    assert readers.read_passages(spark, str(tmp_path / "e.tsv")).count() == 2
+
+
+def test_rows_are_cut_in_file_order(spark, tmp_path):
+    lines = [json.dumps({"question": f"q{i:04d}"}) for i in range(3000)]
+    (tmp_path / "big.jsonl").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = readers.read_examples(spark, [str(tmp_path / "big.jsonl")] * 2, maxload=3777)
+        assert rows.count() == 3777
+        cut = readers.read_examples(spark, str(tmp_path / "big.jsonl"), maxload=777).collect()
+        assert sorted(r["question"] for r in cut) == [f"q{i:04d}" for i in range(777)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_results_come_back(spark, tmp_path):
+    record = {"qid": "1", "question": "q", "answers": ["a"], "ctxs": [
+        {"id": "p", "title": "t", "text": "x", "score": "2.5"}, {"id": "r", "text": "y"}]}
+    (tmp_path / "r.jsonl").write_text(json.dumps(record) + "\n" + json.dumps({"qid": "2"}))
+    got = readers.read_results(spark, str(tmp_path / "r.jsonl")).orderBy("qid", "rank").collect()
+    assert [(r["qid"], r["rank"], r["pid"], r["score"]) for r in got] == [
+        ("1", 1, "p", 2.5), ("1", 2, "r", None), ("2", None, None, None)]
+
+
+def test_scratch_space_is_shared_on_a_cluster(monkeypatch):
+    import pytest
+
+    from findry import session
+
+    class Conf:
+        def __init__(self, **named):
+            self.named = named
+
+        def get(self, key, default=None):
+            return self.named.get(key, default)
+
+    class Fake:
+        def __init__(self, named):
+            self.conf = Conf(**named)
+
+    with pytest.raises(ValueError, match="shared"):
+        session.scratch_root(Fake({"spark.master": "spark://x:1"}))
+    with pytest.raises(ValueError, match="shared"):
+        session.scratch_root(Fake({"spark.master": "local-cluster[2,1,1024]"}))
+    assert session.scratch_root(Fake({"spark.master": "local[4]"}))
+    named = {"spark.master": "yarn", "spark.checkpoint.dir": "hdfs:///c"}
+    assert session.scratch_root(Fake(named)) == "hdfs:///c"
+
+
 def test_mixture_modes(spark, tmp_path):
     for name, n in (("one", 1), ("two", 3)):
         for i in range(n):
@@ -107,9 +169,18 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
     record = lambda pid, text: {"pid": pid, "title": "t", "text": text, "metadata": {"patent_id": pid}, "ts": "2024-01-01T00:00:00Z"}
     arrive("1.json", [record("a", "one two"), record("b", None), record("a", "one two")])
     arrive("2.json", [record("b", "again"), record("c", "three")])
-    rows = writers.read_vector_table(spark, str(tmp_path / "table"))
+    # older than anything before, and never seen
+    arrive("3.json", [dict(record("d", "late"), ts="2020-01-01T00:00:00Z")])
+    table = str(tmp_path / "table")
+    assert writers.read_vector_table(spark, table).count() == 6
+    rows = writers.read_vector_table(spark, table, on_conflict="replace")
     got = {r["pid"]: (r["summary"], r["embedding"]) for r in rows.collect()}
-    assert rows.count() == 3 and got["b"][0] == "No text"
+    assert rows.count() == 4 and got["d"][0] == "late"
+    assert got["b"][0] in ("No text", "again")
+    # a batch load goes to the same table
+    first = writers.read_vector_table(spark, table).where("pid = 'a'").limit(1)
+    writers.write_vector_table(materialize(first), table, "append")
+    assert writers.read_vector_table(spark, table).count() == 7
     batch = spark.createDataFrame([("a", "t", "one two"), ("c", "t", "three")], "pid string, title string, text string")
     whole = batch.withColumn("w", passage_text(F.col("title"), F.col("text")))
     for r in embed(whole, "w", dim=8).collect():

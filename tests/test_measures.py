@@ -159,3 +159,34 @@ def test_shuffle_augmentation_permutes(spark):
     df = spark.createDataFrame([(i, list(range(i))) for i in range(30)], "id int, t array<int>")
     got = df.select("t", tk.shuffle_tokens(F.col("t"), 0.5, 1, F.col("id")).alias("s")).collect()
     assert all(sorted(r["s"]) == r["t"] for r in got) and any(r["s"] != r["t"] for r in got)
+
+
+def test_long_chats_keep_every_turn(spark):
+    from findry.operators import rag
+
+    turns = spark.range(1500).selectExpr(
+        "1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role",
+        "cast(id as string) as text",
+    )
+    history = rag.chat_history(turns).withColumnRenamed("conv_id", "qid")
+    asked = spark.createDataFrame(
+        [(1, "q", "c", "new"), (2, "q", "c", "alone")],
+        "qid long, query string, context string, message string",
+    )
+    got = rag.rag_messages(asked, history).orderBy("qid", "place").collect()
+    first = [r for r in got if r["qid"] == 1]
+    assert [r["place"] for r in first] == list(range(1502))
+    assert [r["content"] for r in first[1:-1]] == [str(i) for i in range(1500)]
+    assert first[-1]["content"] == "new"
+    assert [(r["role"], r["place"]) for r in got if r["qid"] == 2] == [("system", 0), ("user", 1)]
+
+
+def test_no_negatives_asked_for(spark):
+    from findry.operators import training
+
+    ctx = "array<struct<title:string,text:string>>"
+    df = spark.createDataFrame(
+        [(1, [("a", "b")], [("c", "d")], [("e", "f")])],
+        f"qid long, positive_ctxs {ctx}, negative_ctxs {ctx}, hard_negative_ctxs {ctx}",
+    )
+    assert training.sample_negatives(df, n=0, hard_ratio=0.5).first()["negatives"] == []
