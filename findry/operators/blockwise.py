@@ -132,7 +132,7 @@ def _fold(scorer: Scorer, state, n_queries: int, running: _Running, items: pa.Ta
             running.add(rows, scorer.score(state, rows, some), ids)
 
 
-def _hit_schema(queries: DataFrame, items: DataFrame) -> T.StructType:
+def hit_schema(queries: DataFrame, items: DataFrame) -> T.StructType:
     return T.StructType(
         [
             T.StructField("qid", queries.schema["qid"].dataType),
@@ -236,6 +236,13 @@ def _block_hits(
 ) -> DataFrame:
     cells = (scorer.query_columns[0], scorer.array_column)
     q, i = block_pairs(queries, items, bound, item_block, cells)
+    return paired_hits(q, i, ["_qb", "_ib"], scorer, k, schema)
+
+
+def paired_hits(
+    q: DataFrame, i: DataFrame, keys: list[str], scorer: Scorer, k: int, schema: T.StructType
+) -> DataFrame:
+    """The best k items of each query among the items that share its keys."""
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         block = left.to_pandas()
@@ -251,7 +258,7 @@ def _block_hits(
             }
         )
 
-    return q.groupBy("_qb", "_ib").cogroup(i.groupBy("_qb", "_ib")).applyInArrow(search, schema)
+    return q.groupBy(*keys).cogroup(i.groupBy(*keys)).applyInArrow(search, schema)
 
 
 def top_k(scores: DataFrame, k: int, per: list[str] | None = None) -> DataFrame:
@@ -281,7 +288,7 @@ def blockwise_topk(
         raise ValueError("k must be at least 1")
     queries = queries.select("qid", *scorer.query_columns)
     items = items.select("pid", *scorer.item_columns)
-    schema = _hit_schema(queries, items)
+    schema = hit_schema(queries, items)
     if fits_broadcast(queries, scorer.query_columns[0], bound):
         hits = _scan_hits(queries, items, scorer, k, schema)
     else:

@@ -20,13 +20,16 @@ from pyspark.sql import functions as F
 
 from findry.functions.vectors import NORM_FLOOR, dot, l2_normalize
 from findry.operators.blockwise import (
+    ITEM_BLOCK,
     QUERY_BOUND,
     blockwise_topk,
-    fits_broadcast,
+    hit_schema,
+    paired_hits,
     top_k,
     vectors_of,
 )
 from findry.operators.joins import salted_join
+from findry.session import materialize
 from findry.sources.writers import spread_cells
 
 # training a codebook needs some tens of points per centroid, not the whole table
@@ -159,32 +162,6 @@ def build_ivf(items: DataFrame, nlist: int = 1024, seed: int = 42, rounds: int =
     return IvfIndex(assign_cells(items, centers), _centroid_frame(items.sparkSession, centers))
 
 
-@dataclass(frozen=True)
-class CellScorer:
-    """Inner product within the cells a query probes."""
-
-    query_columns = ["embedding", "cells"]
-    item_columns = ["embedding", "cluster_id"]
-    array_column = "embedding"
-
-    def load(self, queries: pd.DataFrame) -> tuple[np.ndarray, list[set]]:
-        cells = [set(c) for c in queries["cells"]]
-        return _matrix(queries, "embedding"), cells
-
-    def score(self, state, rows: slice, items: pa.Table) -> np.ndarray:
-        vectors, cells = state
-        q = vectors[rows]
-        cell = items["cluster_id"].to_numpy()
-        out = np.full((len(q), items.num_rows), np.nan)
-        for c in np.unique(cell):
-            at = np.nonzero(cell == c)[0]
-            who = np.array([i for i, s in enumerate(cells[rows]) if c in s], dtype=int)
-            if len(who):
-                m = vectors_of(items["embedding"].take(pa.array(at)))
-                out[np.ix_(who, at)] = q[who] @ m.T
-        return out
-
-
 def probe_cells(queries: DataFrame, centers: np.ndarray, nprobe: int) -> DataFrame:
     """The ``nprobe`` cells of highest inner product for each query."""
 
@@ -199,27 +176,60 @@ def probe_cells(queries: DataFrame, centers: np.ndarray, nprobe: int) -> DataFra
     return queries.select("qid", "embedding", probe("embedding").alias("cells"))
 
 
+def cell_pairs(
+    probed: DataFrame, rows: DataFrame, bound: int, item_block: int
+) -> tuple[DataFrame, DataFrame]:
+    """Queries ``(qid, embedding, cells)`` and rows by ``(cluster_id, _qb, _ib)``.
+
+    A query goes to the cells it probes and to no other. Cells are cut into
+    blocks of ``item_block`` rows, their queries into blocks of ``bound``, so
+    a crowded or much probed cell is dealt over many tasks.
+    """
+    asked = probed.select("qid", "embedding", F.explode("cells").alias("cluster_id"))
+    n_q = asked.groupBy("cluster_id").agg(F.ceil(F.count("*") / bound).alias("_n_q"))
+    n_i = rows.groupBy("cluster_id").agg(F.ceil(F.count("*") / item_block).alias("_n_i"))
+    # one row per cell, so the broadcast is bounded by nlist
+    sizes = F.broadcast(n_q.join(n_i, "cluster_id"))
+
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    q = asked.join(sizes, "cluster_id").select(
+        "qid", "embedding", "cluster_id",
+        F.pmod(F.xxhash64("qid"), "_n_q").alias("_qb"), every("_n_i").alias("_ib"),
+    )
+    i = rows.select("pid", "embedding", "cluster_id").join(sizes, "cluster_id").select(
+        "pid", "embedding", "cluster_id",
+        F.pmod(F.xxhash64("pid"), "_n_i").alias("_ib"), every("_n_q").alias("_qb"),
+    )
+    return q, i
+
+
 def ivf_search(
     queries: DataFrame,
     index: IvfIndex,
     k: int = 5,
     nprobe: int = 16,
     bound: int = QUERY_BOUND,
-    **blocks: int,
+    item_block: int = ITEM_BLOCK,
 ) -> DataFrame:
-    """Approximate top-k: only the ``nprobe`` best cells of a query are searched.
+    """Approximate top-k: a join of queries and rows by cell.
 
-    For a counted query block the probed cells become a literal filter, which
-    prunes the partitions of a table written by :func:`save_ivf`.
+    Only the rows of the ``nprobe`` best cells of a query are scored with it.
+    Few probed cells become a filter, which prunes the partitions of a table
+    written by :func:`save_ivf`. ``bound`` queries meet ``item_block`` rows of
+    a cell in a task.
     """
-    probed = probe_cells(queries, index.centers(), nprobe)
+    probed = materialize(probe_cells(queries, index.centers(), nprobe), "probed")
     rows = index.rows
-    if fits_broadcast(queries, "embedding", bound):
-        cells = probed.select(F.explode("cells").alias("c")).distinct()
-        wanted = [r["c"] for r in cells.limit(_PRUNE_CELLS + 1).collect()]
-        if len(wanted) <= _PRUNE_CELLS:
-            rows = rows.where(F.col("cluster_id").isin(wanted))
-    return blockwise_topk(probed, rows, CellScorer(), k, bound, **blocks)
+    cells = probed.select(F.explode("cells").alias("c")).distinct()
+    wanted = [r["c"] for r in cells.limit(_PRUNE_CELLS + 1).collect()]
+    if len(wanted) <= _PRUNE_CELLS:
+        rows = rows.where(F.col("cluster_id").isin(wanted))
+    q, i = cell_pairs(probed, rows, bound, item_block)
+    schema = hit_schema(queries, rows)
+    hits = paired_hits(q, i, ["cluster_id", "_qb", "_ib"], DotScorer(), k, schema)
+    return top_k(hits, k).select("qid", "pid", "score", "rank")
 
 
 def save_ivf(index: IvfIndex, path: str) -> None:

@@ -65,6 +65,13 @@ def test_ivf_crowded_cell(crowd):
     exact = hits_of(vector.knn_join(queries, items, 20))
     assert hits_of(vector.ivf_search(queries, index, 20, nprobe=4)) == exact
     assert hits_of(vector.ivf_search(queries, index, 20, nprobe=4, bound=4, item_block=50)) == exact
+    # rows of cells that nobody probes meet no query
+    probed = vector.probe_cells(queries, index.centers(), 1)
+    q, i = vector.cell_pairs(probed, index.rows, 4, 50)
+    keys = ["cluster_id", "_qb", "_ib"]
+    asked = {r["cluster_id"] for r in q.select("cluster_id").distinct().collect()}
+    assert {r["cluster_id"] for r in i.select("cluster_id").distinct().collect()} <= asked
+    assert i.join(q.select(*keys).distinct(), keys, "left_anti").groupBy("cluster_id").count().count() <= len(asked)
     few = vector.ivf_search(queries, index, 20, nprobe=1)
     cells = {r["pid"]: r["cluster_id"] for r in index.rows.collect()}
     assert few.count() > 0
