@@ -90,7 +90,7 @@ class Bpe:
 
     _built: dict[tuple, Bpe] = {}
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, room: int = 400_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, room: int = 250_000) -> None:
         if any(bytes([i]) not in ranks for i in range(256)):
             raise ValueError("the vocabulary lacks single bytes")
         self.ranks, self.room = ranks, room
