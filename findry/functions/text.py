@@ -205,8 +205,19 @@ def exact_match(prediction: Column, golds: Column) -> Column:
     )
 
 
-def _occurrences(tokens: Column, token: Column) -> Column:
-    return F.size(F.filter(tokens, lambda t: t == token))
+def _numbered(tokens: Column) -> Column:
+    """Each token with its number among its equals, so that a multiset becomes a set."""
+    from findry.operators.lexical import term_counts
+
+    return F.flatten(
+        F.transform(
+            term_counts(tokens)["terms"],
+            lambda t: F.transform(
+                F.sequence(F.lit(1), t["tf"].cast("int")),
+                lambda i: F.concat(t["term"], F.lit(" "), i.cast("string")),
+            ),
+        )
+    )
 
 
 def _f1_of_tokens(pred: Column, gold: Column) -> Column:
@@ -217,11 +228,7 @@ def _f1_of_tokens(pred: Column, gold: Column) -> Column:
             2 * precision * recall / (precision + recall)
         )
 
-    same = F.aggregate(
-        F.array_intersect(pred, gold),
-        F.lit(0),
-        lambda acc, t: acc + F.least(_occurrences(pred, t), _occurrences(gold, t)),
-    )
+    same = F.size(F.array_intersect(_numbered(pred), _numbered(gold)))
     return let(same.cast("double"), combine)
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from findry.functions.rand import hash_order
 from findry.functions.text import parse_id
 from findry.operators import dataset, indexing, stats
 from findry.operators.training import sample_mixture
+from findry.session import scratch_path
 from findry.plans.registry import (
     CORPUS_SQL,
     GOLD_SQL,
@@ -208,11 +208,12 @@ FROM documents""",
 )
 def _shuffle(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id")
-    shuffled = indexing.shuffle_rows(docs, ["doc_id"], 5, epoch=2)
-    # the place is read off the shuffled order's own key
-    return indexing.dense_index(
-        shuffled.withColumn("h", hash_order("5-2", F.col("doc_id"))), ["h"], "place"
-    ).select("doc_id", "place")
+    path = scratch_path(spark, "shuffled")
+    indexing.shuffle_rows(docs, ["doc_id"], 5, epoch=2).write.parquet(path)
+    # the order is that of the rows in the files
+    stored = spark.read.parquet(path).select("doc_id", "_metadata.file_name", "_metadata.row_index")
+    placed = indexing.dense_index(stored, ["file_name", "row_index"], "place")
+    return placed.select("doc_id", "place")
 
 
 @query(

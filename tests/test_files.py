@@ -72,6 +72,18 @@ def test_rows_are_cut_in_file_order(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_ordered_files_are_in_numeric_order(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("concat('Q', id) as qid", "'C' as pid", "1 as score")
+    writers.write_qrels(rows.repartition(7), str(tmp_path / "q"), ordered=True)
+    writers.write_queries(rows.selectExpr("qid", "pid as text").repartition(7), str(tmp_path / "t"), fmt="tsv")
+    for name, head in (("q", 1), ("t", 0)):
+        seen = []
+        for part in sorted((tmp_path / name).glob("part-*")):
+            lines = part.read_text().splitlines()[head:]
+            seen += [int(line.split("\t")[0][1:]) for line in lines]
+        assert seen == list(range(5000))
+
+
 def test_results_come_back(spark, tmp_path):
     record = {"qid": "1", "question": "q", "answers": ["a"], "ctxs": [
         {"id": "p", "title": "t", "text": "x", "score": "2.5"}, {"id": "r", "text": "y"}]}
