@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from findry.llm.common import text_slices
+from findry.llm.common import text_slices, tidy
 
 NONE = np.int32(np.iinfo(np.int32).max)
 
@@ -90,7 +90,7 @@ class Bpe:
 
     _built: dict[tuple, Bpe] = {}
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, room: int = 250_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, room: int = 120_000) -> None:
         if any(bytes([i]) not in ranks for i in range(256)):
             raise ValueError("the vocabulary lacks single bytes")
         self.ranks, self.room = ranks, room
@@ -102,10 +102,10 @@ class Bpe:
         self.known: dict[str, bytes] = {}
 
     @classmethod
-    def shared(cls, key: tuple, ranks: dict[bytes, int], pattern: str) -> Bpe:
+    def shared(cls, key: tuple, ranks: Callable[[], dict[bytes, int]], pattern: str) -> Bpe:
         if key not in cls._built:
             cls._built.clear()
-            cls._built[key] = cls(ranks, pattern)
+            cls._built[key] = cls(ranks(), pattern)
         return cls._built[key]
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
@@ -225,7 +225,7 @@ def _with_binary(
     key = (hash(frozenset(ranks.items())), pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe.shared(key, vocabulary.value, pattern)
+        bpe = Bpe.shared(key, lambda: vocabulary.value, pattern)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(source))
             if how == "encode":
@@ -243,7 +243,7 @@ def _with_binary(
                     [*part.columns, pa.array(made, pa.binary())], [*part.schema.names, new]
                 )
 
-    return own.mapInArrow(run, out)
+    return own.mapInArrow(tidy(run), out)
 
 
 def encode(

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import string
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ def hash_pair(*cols: Column) -> tuple[Column, Column]:
     return F.xxhash64(*cols), F.xxhash64(F.lit(0x9E3779B9), *cols)
 
 
-def text_slices(texts: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
+def text_slices(texts: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
     """Runs of whole texts of about ``max_bytes`` each, with the place of the first; null is empty."""
     start, size, run = 0, 0, []
     for i, text in enumerate(texts):
@@ -50,6 +51,24 @@ def text_slices(texts: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int
         yield start, run
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches, then freed memory goes back to the machine.
+
+    Python workers live on for later stages, which may need it elsewhere.
+    """
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return tidied
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of unsigned 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -60,7 +79,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words; remembers up to ``room`` words between calls."""
 
-    def __init__(self, room: int = 400_000) -> None:
+    def __init__(self, room: int = 100_000) -> None:
         self.room, self.known = room, {}
 
     def __call__(self, words: Iterable[bytes]) -> np.ndarray:

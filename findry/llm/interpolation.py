@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findry.llm.common import fold, mix64
+from findry.llm.common import fold, mix64, tidy
 from findry.session import materialize
 
 #: A space is part of no word, so these name none.
@@ -105,7 +105,7 @@ def chunk_documents(docs: DataFrame, chunk_tokens: int) -> DataFrame:
         "chunk long, part int, doc_ids array<long>, sizes binary, tokens binary, words binary, "
         "n long"
     )
-    return docs.select("doc_id", "part", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "part", "text").mapInArrow(tidy(run), schema)
 
 
 class Chunk:
@@ -166,7 +166,7 @@ def _requests(chunks: DataFrame, order: int, shards: int) -> DataFrame:
                     )
 
     schema = "shard int, chunk long, k int, part int, keys binary, counts binary"
-    return chunks.select("chunk", "part", "sizes", "tokens", "words").mapInArrow(run, schema)
+    return chunks.select("chunk", "part", "sizes", "tokens", "words").mapInArrow(tidy(run), schema)
 
 
 _ANSWER = "chunk long, k int, shard int, main binary, learned binary, n_distinct long"

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from findry.llm.common import fold, text_slices
+from findry.llm.common import fold, text_slices, tidy
 from findry.session import materialize
 
 UNKNOWN = "und"
@@ -74,7 +74,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lang, text = lang.as_py(), text.as_py()
             waiting.setdefault(lang, []).append(text)
             size[lang] = size.get(lang, 0) + len(text)
-            if size[lang] >= 1 << 20:
+            if size[lang] >= 1 << 18:
                 add(lang)
     for lang in list(waiting):
         add(lang)
@@ -101,7 +101,7 @@ def learn_profiles(
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     counts = (
         rows.where("lang is not null and text is not null")
-        .mapInArrow(_count_grams, "lang string, gram bigint, n bigint")
+        .mapInArrow(tidy(_count_grams), "lang string, gram bigint, n bigint")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
@@ -168,7 +168,7 @@ def identify(
                 )
 
     out = type(own.schema).fromJson(schema).add("lang_pred", "string").add("score", "double")
-    return own.mapInArrow(run, out)
+    return own.mapInArrow(tidy(run), out)
 
 
 def held_out(docs: DataFrame) -> DataFrame:

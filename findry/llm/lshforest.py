@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from findry.llm.common import WordHashes, mix64, words_of
+from findry.llm.common import WordHashes, mix64, tidy, words_of
 from findry.llm.components import components, contract, stars
 from findry.session import materialize
 
@@ -168,11 +168,11 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     """
     order = ["tree", "label", "node"]
     rows = classes.select("node", "n_shingles", "signature").mapInArrow(
-        _labels, "tree int, label binary, node binary, n_shingles long"
+        tidy(_labels), "tree int, label binary, node binary, n_shingles long"
     )
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     schema = "tree int, label binary, a binary, n_shingles long, b binary, depth int"
-    found = materialize(rows.mapInArrow(_neighbours, schema), "neighbours")
+    found = materialize(rows.mapInArrow(tidy(_neighbours), schema), "neighbours")
     pairs = found.where("b is not null").select("a", "b", "depth")
     # a few rows per partition: pairs that lie across its borders
     ends = found.where("b is null").select("tree", "label", "a", "n_shingles").distinct()
@@ -239,7 +239,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield _sets(nodes, sets)
 
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS)).alias("bit")
-    return docs.select(bit, "text").mapInArrow(run, "node binary, grams binary")
+    return docs.select(bit, "text").mapInArrow(tidy(run), "node binary, grams binary")
 
 
 def _sets(nodes: list[bytes], sets: list[bytes]) -> pa.RecordBatch:
@@ -266,7 +266,7 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(_confirm, "a binary, b binary")
+    return joined.mapInArrow(tidy(_confirm), "a binary, b binary")
 
 
 def _crossing(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -340,7 +340,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     own = docs.select("doc_id", "text")
     schema = docs.select("doc_id").schema.add("n_shingles", "long").add("node", "binary")
-    prints = materialize(own.mapInArrow(_fingerprints, schema.add("signature", "binary")), "prints")
+    prints = materialize(own.mapInArrow(tidy(_fingerprints), schema.add("signature", "binary")), "prints")
     classes = prints.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"),
         F.first("n_shingles").alias("n_shingles"),

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from findry.llm.common import tidy
 from findry.session import materialize
 
 _LOWER, _UPPER, _DIGIT, _SPACE, _LINE, _POINT, _SIGN, _HIGH = range(8)
@@ -144,7 +145,7 @@ def add_evidence(docs: DataFrame, model: Logistic, *, text: str = "text") -> Dat
                 [*rest, pa.array(model(rows))], [*names, "evidence"]
             )
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(tidy(run), schema)
 
 
 def _logit(p: Column) -> Column:
