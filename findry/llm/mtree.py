@@ -273,7 +273,7 @@ class MTreeIndex:
         keyed = parts.select("vec_id", "v", "region", sub.alias("sub"))
         self.trees = materialize(keyed.groupBy("region", "sub").applyInArrow(build, _TREE), "mtrees")
 
-    def _visit(self, pairs: DataFrame, k: int, blocks: int) -> DataFrame:
+    def _visit(self, pairs: DataFrame, k: int) -> DataFrame:
         space, dim = self.space, self.dim
 
         def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -293,10 +293,11 @@ class MTreeIndex:
             names = ["query_id", "q", "vec_id", "score"]
             return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-        copies = self.trees.withColumn(
-            "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-        )
         keys = ["region", "sub", "block"]
+        pairs = materialize(pairs, "mtree-pairs")
+        # a tree goes to the blocks of queries that visit it, and to no other
+        asked = pairs.select(*(F.col(c).alias(c) for c in keys)).distinct()
+        copies = self.trees.join(asked, ["region", "sub"])
         return copies.groupBy(*keys).cogroup(pairs.groupBy(*keys)).applyInArrow(search, _FOUND)
 
     def search(self, queries: DataFrame, k: int, block_rows: int = 4_096) -> DataFrame:
@@ -356,14 +357,14 @@ class MTreeIndex:
         low = F.lit(float("-inf")).alias("floor")
         asked = materialize(queries.select("query_id", "q").distinct(), "mtree-queries")
         first = asked.select("query_id", "q", low).mapInArrow(pairs(True), _PAIR)
-        near = materialize(self._visit(first, k, blocks), "mtree-home")
+        near = materialize(self._visit(first, k), "mtree-home")
         best = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
         ranked = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         reached = ranked.where(F.col("rank") == k).select("query_id", "q", "score")
         floors = asked.join(reached, ["query_id", "q"], "left").select(
             "query_id", "q", F.coalesce(F.col("score").cast("double"), low).alias("floor")
         )
-        rest = self._visit(floors.mapInArrow(pairs(False), _PAIR), k, blocks)
+        rest = self._visit(floors.mapInArrow(pairs(False), _PAIR), k)
         found = ranked.drop("rank").unionByName(rest)
         ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
