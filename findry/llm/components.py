@@ -64,11 +64,13 @@ def contract(edges: DataFrame) -> tuple[DataFrame, bool]:
     least = both.groupBy("u").agg(F.min("v").alias("m"))
     least = materialize(least.select("u", F.least("u", "m").alias("m")), "least")
     inner, several = Observation(), Observation()
-    large = both.join(least, "u").where("v > u").observe(inner, F.count_if(F.col("m") != F.col("u")).alias("n"))
+    large = both.join(least, "u").where("v > u")
+    large = large.observe(inner, F.count_if(F.col("m") != F.col("u")).alias("n"))
     large = large.select(F.col("v").alias("u"), F.col("m").alias("v"))
     large = materialize(large.mapInArrow(_local_stars, _EDGE), "large-stars")
     least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-    small = large.join(least, "u").observe(several, F.count_if(F.col("v") != F.col("m")).alias("n"))
+    small = large.join(least, "u")
+    small = small.observe(several, F.count_if(F.col("v") != F.col("m")).alias("n"))
     small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     small = small.unionByName(least.withColumnRenamed("m", "v"))
     small = materialize(small.distinct(), "small-stars")

@@ -277,8 +277,8 @@ def _crossing(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     a = roots.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
     b = roots.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
     joined = pairs.select("a", "b").join(a, "a", "left").join(b, "b", "left")
-    joined = joined.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-    return joined.where("ca != cb")
+    root_a, root_b = F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")
+    return joined.select("a", "b", root_a, root_b).where("ca != cb")
 
 
 def _toward_hubs(crossing: DataFrame, links: DataFrame, comps: DataFrame, hubs: int) -> DataFrame:
@@ -340,7 +340,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     own = docs.select("doc_id", "text")
     schema = docs.select("doc_id").schema.add("n_shingles", "long").add("node", "binary")
-    prints = materialize(own.mapInArrow(tidy(_fingerprints), schema.add("signature", "binary")), "prints")
+    prints = own.mapInArrow(tidy(_fingerprints), schema.add("signature", "binary"))
+    prints = materialize(prints, "prints")
     classes = prints.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"),
         F.first("n_shingles").alias("n_shingles"),

@@ -31,7 +31,8 @@ def valid_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
     fine = F.forall(
         vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     )
-    return rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & F.coalesce(fine, F.lit(False)))
+    there = F.col(key).isNotNull() & F.col(vector).isNotNull()
+    return rows.where(there & F.coalesce(fine, F.lit(False)))
 
 
 def floor_scaled(vector: Column, scale: int = 256) -> Column:

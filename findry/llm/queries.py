@@ -6,8 +6,19 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findry.llm import bpe, chat, exactdedup, interpolation, langid, linededup, lshforest, mixing, mtree, quality
-from findry.llm.common import SPACES, table
+from findry.llm import (
+    bpe,
+    chat,
+    exactdedup,
+    interpolation,
+    langid,
+    linededup,
+    lshforest,
+    mixing,
+    mtree,
+    quality,
+)
+from findry.llm.common import table
 
 
 def sha256(text: Column) -> Column:
