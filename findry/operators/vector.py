@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findry.functions.vectors import NORM_FLOOR, dot, l2_normalize
+from findry.functions.vectors import NORM_FLOOR, dot
 from findry.operators.blockwise import (
     ITEM_BLOCK,
     QUERY_BOUND,
@@ -104,11 +104,6 @@ def rerank(previous: DataFrame, queries: DataFrame, items: DataFrame, k: int) ->
     return top_k(scored, k).select("qid", "pid", "score", "rank")
 
 
-def normalize_embeddings(items: DataFrame) -> DataFrame:
-    """The table with unit-length vectors."""
-    return items.withColumn("embedding", l2_normalize(F.col("embedding")))
-
-
 def _kmeans(train: DataFrame, vector, k: int, seed: int, rounds: int) -> np.ndarray:
     points = train.select(array_to_vector(vector).alias("v"))
     points.persist()

@@ -70,16 +70,6 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_count_within(df: DataFrame, bound: int) -> int | None:
-    """The row count when it is at most ``bound``, else None.
-
-    The limit stops the count early, so the probe costs no full pass over a
-    large table.
-    """
-    n = df.limit(bound + 1).count()
-    return n if n <= bound else None
-
-
 def spread(table: DataFrame, key: str) -> DataFrame:
     """Even out a table scan that has fewer splits than there are cores.
 

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findry.functions.text import normalize_text
-from findry.operators.indexing import dense_index
 from findry.sources import schemas
 
 Paths = str | list[str]
@@ -197,8 +196,3 @@ def _some_files(rows: DataFrame, mode: str, shard: int, shards: int) -> DataFram
     if not chosen:
         return rows.limit(0)
     return spark.read.schema(rows.schema).parquet(*chosen)
-
-
-def with_ordinal(df: DataFrame, order: list[str]) -> DataFrame:
-    """Add ``ord``: the position of each row in ``order``."""
-    return dense_index(df, order, "ord")
