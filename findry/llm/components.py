@@ -54,9 +54,9 @@ def contract(edges: DataFrame) -> tuple[DataFrame, bool]:
 
     Large stars: each node hands its larger neighbours to the least one. Small
     stars: each node hands its smaller neighbours to the least one. Also tells
-    whether the edges were stars already. The least neighbours are stored
+    whether the edges were stars already. The first least neighbours are stored
     before the join, so that adaptive execution can split a node with many
-    neighbours.
+    larger neighbours.
     """
     if edges.isEmpty():
         return edges, True
@@ -68,7 +68,8 @@ def contract(edges: DataFrame) -> tuple[DataFrame, bool]:
     large = large.observe(inner, F.count_if(F.col("m") != F.col("u")).alias("n"))
     large = large.select(F.col("v").alias("u"), F.col("m").alias("v"))
     large = materialize(large.mapInArrow(_local_stars, _EDGE), "large-stars")
-    least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+    # a node has at most one smaller neighbour from each partition by now
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
     small = large.join(least, "u")
     small = small.observe(several, F.count_if(F.col("v") != F.col("m")).alias("n"))
     small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))

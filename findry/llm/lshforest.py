@@ -310,7 +310,6 @@ def link_nodes(pairs: DataFrame, sets: DataFrame, first: int = 3, hubs: int = 8)
     edges, _ = contract(stars(links))
     # nodes with one least neighbour are connected
     roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp"))
-    roots = materialize(roots, "roots")
     rest = pairs.select("a", "b").join(picked, ["a", "b"], "left_anti")
     rest = materialize(_crossing(rest, roots).select("a", "b"), "crossing")
     more = materialize(confirm(rest, sets), "links")
@@ -318,6 +317,8 @@ def link_nodes(pairs: DataFrame, sets: DataFrame, first: int = 3, hubs: int = 8)
     apart = materialize(_crossing(picked.unionByName(rest), comps), "apart")
     wider = _toward_hubs(apart, links.unionByName(more), comps, hubs)
     found = stars(confirm(wider, sets))
+    if found.isEmpty():
+        return comps
     known = comps.where("node != comp").select(F.col("node").alias("u"), F.col("comp").alias("v"))
     return materialize(components(known.unionByName(found)), "components")
 
