@@ -90,7 +90,7 @@ class Bpe:
 
     _built: dict[tuple, Bpe] = {}
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, room: int = 120_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, room: int = 100_000) -> None:
         if any(bytes([i]) not in ranks for i in range(256)):
             raise ValueError("the vocabulary lacks single bytes")
         self.ranks, self.room = ranks, room
@@ -121,7 +121,7 @@ class Bpe:
             elif piece:
                 buckets.setdefault(max(3, (len(piece) - 1).bit_length()), []).append(i)
         for bits, members in buckets.items():
-            step = max(1, (1 << 19) >> bits)
+            step = max(1, (1 << 17) >> bits)
             for at in range(0, len(members), step):
                 self._merge_rows([(i, pieces[i]) for i in members[at : at + step]], out)
         return out
@@ -242,6 +242,7 @@ def _with_binary(
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(made, pa.binary())], [*part.schema.names, new]
                 )
+        bpe.known.clear()  # the worker lives on, the tables with it
 
     return own.mapInArrow(tidy(run), out)
 

@@ -192,5 +192,7 @@ def reject_unknown(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents in which no language can be made out."""
     rows = held_out(docs.select("doc_id", "text", "lang"))
     profiles = materialize(learn_profiles(rows.where("not held_out")), "profiles")
-    found = identify(docs.withColumns({"__row": F.struct("*")}).select("__row", "text"), profiles)
-    return found.where(F.col("lang_pred") != UNKNOWN).select("__row.*")
+    aside = {c: f"__{c}" for c in docs.columns if c in ("lang_pred", "score")}
+    found = identify(docs.withColumnsRenamed(aside), profiles)
+    kept = found.where(F.col("lang_pred") != UNKNOWN).drop("lang_pred", "score")
+    return kept.withColumnsRenamed({b: a for a, b in aside.items()}).select(*docs.columns)
