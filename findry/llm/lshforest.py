@@ -5,7 +5,8 @@ label of several signature values. Documents next to each other in that order
 share the longest prefixes with each other, so a crowded region is compared at
 a great depth and a sparse one at a small depth. Neighbours become candidates,
 candidates are confirmed on the full shingle sets, and confirmed links make
-components.
+components. Where more rows share a prefix than neighbours reach, those still
+in different components are compared in whole, block by block.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from findry.llm.common import WordHashes, mix64, tidy, words_of
@@ -159,6 +160,11 @@ def _ends(rows: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
     )
 
 
+def _tie(node: str) -> Column:
+    """Orders rows of equal labels, in every tree otherwise."""
+    return F.xxhash64("tree", node)
+
+
 def candidate_pairs(classes: DataFrame) -> DataFrame:
     """``(a, b, score)``: neighbours in some tree; the score adds up shared depths.
 
@@ -166,7 +172,7 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     set. Orders are range partitioned by the whole label, so a region of any
     size is spread over many tasks.
     """
-    order = ["tree", "label", "node"]
+    order = ["tree", "label", _tie("node"), "node"]
     rows = classes.select("node", "n_shingles", "signature").mapInArrow(
         tidy(_labels), "tree int, label binary, node binary, n_shingles long"
     )
@@ -176,7 +182,7 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     pairs = found.where("b is not null").select("a", "b", "depth")
     # a few rows per partition: pairs that lie across its borders
     ends = found.where("b is null").select("tree", "label", "a", "n_shingles").distinct()
-    along = Window.partitionBy("tree").orderBy("label", "a")
+    along = Window.partitionBy("tree").orderBy("label", _tie("a"), "a")
     row = F.struct("label", F.col("a").alias("b"), F.col("n_shingles").alias("m"))
     after = F.array(*(F.lead(row, step).over(along) for step in range(1, REACH + 1)))
     near = ends.withColumn("after", after).select(
@@ -281,26 +287,12 @@ def _crossing(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.select("a", "b", root_a, root_b).where("ca != cb")
 
 
-def _toward_hubs(crossing: DataFrame, links: DataFrame, comps: DataFrame, hubs: int) -> DataFrame:
-    """Each end of a crossing pair with the best linked nodes of the other end's component."""
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
-    top = Window.partitionBy("comp").orderBy(F.desc("count"), "node")
-    ranked = comps.join(degree, "node").withColumn("rank", F.row_number().over(top))
-    best = materialize(ranked.where(F.col("rank") <= hubs).select("comp", "node"), "hubs")
-    ends = crossing.select("a", F.col("cb").alias("comp")).unionByName(
-        crossing.select(F.col("b").alias("a"), F.col("ca").alias("comp"))
-    )
-    return ends.distinct().join(best, "comp").select("a", F.col("node").alias("b"))
-
-
-def link_nodes(pairs: DataFrame, sets: DataFrame, first: int = 3, hubs: int = 8) -> DataFrame:
+def link_nodes(pairs: DataFrame, sets: DataFrame, first: int = 3) -> DataFrame:
     """``(node, comp)`` of the nodes that have links among ``pairs``.
 
     First each node's ``first`` best pairs are confirmed and contracted, which
     joins most copies; then every other pair whose ends may still be apart. A
-    pair within a component cannot change the result, so no link is lost. Where
-    ends stay apart, each meets the ``hubs`` nodes with most links of the other
-    one's component: a strongly edited copy is often like the original alone.
+    pair within a component cannot change the result, so no link is lost.
     """
     ends = pairs.select("a", "b", "score", F.explode(F.array("a", "b")).alias("node"))
     best = Window.partitionBy("node").orderBy(F.desc("score"), "a", "b")
@@ -313,10 +305,136 @@ def link_nodes(pairs: DataFrame, sets: DataFrame, first: int = 3, hubs: int = 8)
     rest = pairs.select("a", "b").join(picked, ["a", "b"], "left_anti")
     rest = materialize(_crossing(rest, roots).select("a", "b"), "crossing")
     more = materialize(confirm(rest, sets), "links")
-    comps = materialize(components(edges.unionByName(stars(more))), "components")
-    apart = materialize(_crossing(picked.unionByName(rest), comps), "apart")
-    wider = _toward_hubs(apart, links.unionByName(more), comps, hubs)
-    found = stars(confirm(wider, sets))
+    return materialize(components(edges.unionByName(stars(more))), "components")
+
+
+def crowded_rows(classes: DataFrame) -> DataFrame:
+    """``(run, node)`` of the runs that share ``LEAST`` values and outgrow ``REACH``.
+
+    In any shorter run all rows are neighbours of each other.
+    """
+    labels = F.array(
+        *(F.substring("signature", 2 * SPAN * t + 1, 2 * LEAST) for t in range(TREES))
+    )
+    rows = classes.select("node", F.posexplode(labels).alias("tree", "label"))
+    rows = rows.select(F.xxhash64("tree", "label").alias("run"), "node")
+    runs = rows.groupBy("run").count().where(F.col("count") > REACH + 1)
+    runs = materialize(runs.select("run"), "crowded-runs")
+    return materialize(rows.join(runs, "run"), "crowded-rows")
+
+
+#: Rows and shingles of a block on the two sides of a comparison, on average.
+_LEFT, _RIGHT, _BLOCK_GRAMS = 512, 1024, 300_000
+#: Shingles that more rows of two blocks share are counted by a matrix product.
+_COMMON = 64
+
+
+def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """How many elements the sets of ``x`` share with those of ``y``, for slices of ``x``."""
+    n = np.array([len(g) for g in [*x, *y]], np.int64)
+    code = np.unique(np.concatenate([*x, *y]), return_inverse=True)[1]
+    row = np.repeat(np.arange(len(n)), n)
+    common = np.bincount(code) > _COMMON
+    column = np.cumsum(common) - 1
+    many = common[code]
+    dense = np.zeros((len(n), int(common.sum())), np.float32)
+    dense[row[many], column[code[many]]] = 1
+    # postings of the others on the right, in the order of their codes
+    right = ~many & (row >= len(x))
+    order = np.argsort(code[right], kind="stable")
+    holders = row[right][order] - len(x)
+    start = np.concatenate(([0], np.cumsum(np.bincount(code[right], minlength=len(common)))))
+    for first in range(0, len(x), 128):
+        last = min(first + 128, len(x))
+        both = (dense[first:last] @ dense[len(x) :].T).astype(np.int64)
+        left = ~many & (row >= first) & (row < last)
+        own, length = code[left], start[code[left] + 1] - start[code[left]]
+        at = np.repeat(start[own] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        cell = np.repeat(row[left] - first, length) * len(y) + holders[at]
+        both += np.bincount(cell, minlength=both.size).reshape(both.shape)
+        yield first, both
+
+
+def _compare(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The components that links between two blocks join, as edges to the least of each group."""
+    sides = []
+    for side in (left, right):
+        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in side.column("grams")]
+        sides.append((sets, side.column("comp").to_pylist()))
+    (x, of_x), (y, of_y) = sides
+    names = sorted({*of_x, *of_y})
+    at = {name: i for i, name in enumerate(names)}
+    of_x, of_y = (np.array([at[c] for c in of], np.int64) for of in (of_x, of_y))
+    low = np.arange(len(names))
+    if x and y:
+        n_x, n_y = (np.array([len(g) for g in sets], np.int64) for sets in (x, y))
+        pairs = []
+        for first, both in _shared(x, y):
+            whole = n_x[first : first + len(both), None] + n_y - both
+            i, j = np.nonzero(100 * both >= PERCENT * whole)
+            pairs.append(np.unique(of_x[i + first] * len(names) + of_y[j]))
+        a, b = np.divmod(np.unique(np.concatenate(pairs)), len(names))
+        while (low[a] != low[b]).any():
+            least = np.minimum(low[a], low[b])
+            np.minimum.at(low, a, least)
+            np.minimum.at(low, b, least)
+            low = low[low]
+    moved = np.flatnonzero(low != np.arange(len(names)))
+    return pa.table({
+        "a": pa.array([names[i] for i in moved], pa.binary()),
+        "b": pa.array([names[i] for i in low[moved]], pa.binary()),
+    })
+
+
+def join_crowded(
+    comps: DataFrame, crowded: DataFrame, classes: DataFrame, sets: DataFrame
+) -> DataFrame:
+    """``comps`` after every pair of a crowded run whose ends are apart has been compared.
+
+    The largest component of a run is its head. Rows of the run outside the
+    head are compared with all of the head and with each other, on full sets,
+    in blocks of bounded size; pairs within a component cannot change the
+    result. A head that several runs share is visited once.
+    """
+    own = crowded.join(comps, "node", "left").select(
+        "run", "node", F.coalesce("comp", "node").alias("comp")
+    )
+    own = materialize(own, "crowded-comps")
+    heads = own.groupBy("run", "comp").count().groupBy("run").agg(
+        F.max(F.struct("count", "comp")).alias("top"), F.count("*").alias("n")
+    )
+    heads = heads.where("n > 1").select("run", F.col("top.comp").alias("head"))
+    heads = materialize(heads, "crowded-heads")
+    apart = own.join(heads, "run").where("comp != head").select("head", "node", "comp")
+    apart = materialize(apart.distinct(), "crowded-apart")
+    if apart.isEmpty():
+        return comps
+    head = apart.select("head").distinct()
+    inside = comps.join(head, F.col("comp") == F.col("head")).select("head", "node", "comp")
+    alone = head.select("head", F.col("head").alias("node"), F.col("head").alias("comp"))
+    everyone = apart.unionByName(inside).unionByName(alone).distinct()
+    size = classes.select("node", "n_shingles")
+
+    def blocks(rows: DataFrame, most: int, name: str) -> DataFrame:
+        by_rows = F.ceil(F.count("*") / most)
+        by_grams = F.ceil(F.sum("n_shingles") / _BLOCK_GRAMS)
+        sized = rows.join(size, "node").groupBy("head")
+        return sized.agg(F.greatest(by_rows, by_grams).cast("int").alias(name))
+
+    everyone = materialize(everyone, "crowded-members")
+    plan = blocks(apart, _LEFT, "n_left").join(blocks(everyone, _RIGHT, "n_right"), "head")
+    plan = materialize(plan, "crowded-blocks")
+
+    def dealt(rows: DataFrame, own: str, mine: str, other: str, theirs: str) -> DataFrame:
+        rows = rows.join(plan, "head")
+        rows = rows.withColumn(own, F.pmod(F.xxhash64("node"), mine).cast("int"))
+        rows = rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(theirs) - 1)))
+        rows = rows.join(sets, "node")
+        return rows.select(*(F.col(c).alias(c) for c in ("head", "i", "j", "comp", "grams")))
+
+    left = dealt(apart, "i", "n_left", "j", "n_right").groupBy("head", "i", "j")
+    right = dealt(everyone, "j", "n_right", "i", "n_left").groupBy("head", "i", "j")
+    found = stars(left.cogroup(right).applyInArrow(_compare, "a binary, b binary"))
     if found.isEmpty():
         return comps
     known = comps.where("node != comp").select(F.col("node").alias("u"), F.col("comp").alias("v"))
@@ -336,8 +454,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Equal sets are one node, whatever their number, so a large group of copies
     costs nothing beyond its fingerprints. A pair at 75 % meets in at least one
-    of the orders, at the least depth, with probability 0.9999; crowded regions
-    compare ``REACH`` neighbours on either side in each of ``TREES`` orders.
+    of the orders, at the least depth, with probability 0.9999; all pairs that
+    do are decided, by neighbours or, in crowded runs, by :func:`join_crowded`.
     """
     own = docs.select("doc_id", "text")
     schema = docs.select("doc_id").schema.add("n_shingles", "long").add("node", "binary")
@@ -350,14 +468,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     classes = materialize(classes, "classes")
     pairs = materialize(candidate_pairs(classes), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    crowded = crowded_rows(classes)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    ends = ends.unionByName(crowded.select("node")).distinct()
     wanted = materialize(classes.join(ends, "node", "left_semi").select("doc_id", "node"), "wanted")
     # copies may pass the filter too; one set of each wanted node is enough
     sets = shingle_sets(own, wanted.select("doc_id")).join(
         wanted.select("node"), "node", "left_semi"
     )
     sets = materialize(sets.dropDuplicates(["node"]), "sets")
-    comps = link_nodes(pairs, sets)
+    comps = join_crowded(link_nodes(pairs, sets), crowded, classes, sets)
     linked = classes.select("node", "doc_id").join(comps, "node")
     least = linked.groupBy("comp").agg(F.min("doc_id").alias("low"))
     named = materialize(least, "component-ids")

@@ -519,6 +519,46 @@ def test_near_copies_in_a_crowded_region(spark):
     assert out == H.components(rows)
 
 
+def brute_components(sets):
+    """The least place that links lead to, by all pairs."""
+    holders = {}
+    for i, own in enumerate(sets):
+        for g in own:
+            holders.setdefault(g, []).append(i)
+    n = np.array([len(own) for own in sets])
+    common = [rows for rows in holders.values() if len(rows) > 100]
+    dense = np.zeros((len(n), len(common)), np.float32)
+    for i, rows in enumerate(common):
+        dense[rows, i] = 1
+    both = dense @ dense.T
+    for rows in holders.values():
+        if 1 < len(rows) <= 100:
+            both[np.ix_(rows, rows)] += 1
+    low = np.arange(len(n))
+    pairs = [(i, np.flatnonzero(100 * both[i] >= 75 * (n[i] + n - both[i]))) for i in range(len(n))]
+    before = None
+    while before is None or (before != low).any():
+        before = low.copy()
+        for i, linked in pairs:
+            low[i] = min(low[linked].min(), low[i])
+            low[linked] = np.minimum(low[linked], low[i])
+    return low
+
+
+def test_near_copies_of_a_template_with_ten_thousand_edits(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(10_000):
+        w = [f"b{j}" for j in range(150)]
+        for place in rng.sample(range(150), rng.randrange(1, 5)):
+            w[place] = f"z{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {r["doc_id"]: r["component_id"] for r in lshforest.near_duplicates(df).collect()}
+    expected = brute_components([H.shingles(text) for _, text in rows])
+    assert [found[i] for i in range(10_000)] == expected.tolist()
+
+
 def test_near_copies_null_and_repeated_ids(spark):
     text = "a b c d e f g"
     rows = [(5, text), (None, text.upper()), (5, text), (9, text + " "), (7, ""), (7, None)]
