@@ -3,7 +3,7 @@
 Each source's documents are dealt into blocks by hash. A block's place in its
 source's permutation is its rank by another hash. The mix takes a whole number
 of passes over a source plus the first blocks of its permutation, the last of
-them in part. A binary tree over the output shards splits the number of blocks
+them in part; the room that is left goes to rows of later blocks. A binary tree over the output shards splits the number of blocks
 of each source in two, again and again: a shard's quotas are an exact draw
 without replacement, and its blocks are a run of each permutation that no other
 shard has. Rows are shuffled inside their shard.
@@ -63,8 +63,9 @@ class Mix:
     """A drawn mix: what each source and each block gives."""
 
     sources: DataFrame  # source, sid, n_blocks, source_size, target
-    blocks: DataFrame  # sid, block, draws (pass, shard), last_pass, fitting
+    blocks: DataFrame  # sid, block, draws (pass, shard), last_pass, fitting, late, late_draw
     seed: int
+    repeated: DataFrame | None = None  # source, key, size of which there are several rows
 
 
 def split_quotas(units: list[int], shard: int, n_shards: int, seed: int) -> list[tuple[int, int]]:
@@ -89,15 +90,76 @@ def split_quotas(units: list[int], shard: int, n_shards: int, seed: int) -> list
 
 
 def _dealt(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
-    """``rows`` of ``(key, source, size, ...)`` with ``sid``, ``block`` and the row's hash ``h``."""
+    """``rows`` of ``(key, source, size, copy, ...)`` with ``sid``, ``block`` and the row's hash ``h``.
+
+    ``copy`` numbers the rows that repeat key and size, from 0.
+    """
     named = sources.withColumnRenamed("source", "_name")
-    h = F.xxhash64(F.lit(seed), "key", "size")
+    first, other = (F.xxhash64(F.lit(seed), "key", "size", *c) for c in ((), ("copy",)))
     return (
         rows.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("_name")))
-        .withColumn("h", h)
+        .withColumn("h", F.when(F.col("copy") == 0, first).otherwise(other))
         .withColumn("block", F.pmod(F.xxhash64("h"), "n_blocks"))
-        .drop("_name")
+        .drop("_name", "copy")
+    )
+
+
+_SAME = ("source", "key", "size")
+
+
+def _join_same(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """``rows`` joined with ``other`` on source, key and size, null equal to null."""
+    other = other.withColumnsRenamed({c: f"_{c}" for c in _SAME})
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _SAME]
+    return rows.join(other, on, how).drop(*(f"_{c}" for c in _SAME))
+
+
+def _repeats(sized: DataFrame) -> DataFrame | None:
+    """``(source, key, size, n)`` of the rows that are there ``n > 1`` times; None without any."""
+    groups = sized.groupBy(*_SAME).agg(F.count("*").alias("n")).where("n > 1")
+    groups = materialize(groups, "mix-repeats")
+    return None if groups.isEmpty() else groups
+
+
+def _listed(sized: DataFrame, repeats: DataFrame | None) -> DataFrame:
+    """``sized`` with ``copy``; rows that repeat each other are counted out, not windowed."""
+    if repeats is None:
+        return sized.withColumn("copy", F.lit(0).cast("long"))
+    step = 10_000
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long")))
+    runs = repeats.withColumn("first", starts)
+    last = F.least(F.col("first") + step, F.col("n")) - 1
+    copies = runs.withColumn("copy", F.explode(F.sequence("first", last))).select(*_SAME, "copy")
+    single = _join_same(sized.select(*_SAME), repeats.select(*_SAME), "left_anti")
+    return materialize(single.withColumn("copy", F.lit(0).cast("long")).unionByName(copies), "mix-rows")
+
+
+def _numbered(rows: DataFrame, repeats: DataFrame | None) -> DataFrame:
+    """``rows`` with ``copy``: a row's number among those that repeat its source, key and size.
+
+    Repeated rows are stored with the partition they lie in, numbered there and
+    moved up by the counts of the partitions before.
+    """
+    if repeats is None:
+        return rows.withColumn("copy", F.lit(0).cast("long"))
+    names = repeats.select(*_SAME)
+    single = _join_same(rows, names, "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    part = F.spark_partition_id()
+    several = materialize(
+        _join_same(rows.withColumn("_part", part), names, "left_semi"), "mix-repeated"
+    )
+    upto = Window.partitionBy(*_SAME).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = several.groupBy(*_SAME, "_part").agg(F.count("*").alias("n"))
+    counts = counts.select(
+        *_SAME, F.col("_part").alias("_at"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("up")
     )
+    inside = Window.partitionBy(*_SAME, "_part").orderBy(F.lit(0))
+    several = several.withColumn("copy", F.row_number().over(inside) - 1)
+    counts = counts.withColumnsRenamed({c: f"_{c}" for c in _SAME})
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _SAME]
+    placed = several.join(counts, [*on, F.col("_part") == F.col("_at")])
+    placed = placed.withColumn("copy", F.col("copy") + F.col("up"))
+    return single.unionByName(placed.select(*rows.columns, F.col("copy").cast("long")))
 
 
 def _places(blocks: DataFrame, seed: int) -> DataFrame:
@@ -132,24 +194,73 @@ def _places(blocks: DataFrame, seed: int) -> DataFrame:
 
 
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
-    """The rows of one block that the last pass takes: the largest that still fits, again and again.
-
-    A row that overshoots is taken in the end if that comes nearer to the target.
-    """
+    """The rows of one block that fit into ``room``: the largest that still does, again and again."""
     rows = rows.sort_values(["size", "h"], ascending=[False, True])
-    room = float(rows["rest"].iloc[0] - rows["before"].iloc[0])
-    taken, left = [], []
+    room = float(rows["room"].iloc[0])
+    taken = []
     for h, size in zip(rows["h"], rows["size"], strict=True):
         if size <= room:
             room -= size
             taken.append(h)
-        else:
-            left.append((size, h))
-    if left and min(left)[0] - room < room:
-        taken.append(min(left)[1])
     first = rows.iloc[0]
-    found = [(first["sid"], first["block"], first["passes"], taken)]
-    return pd.DataFrame(found, columns=["sid", "block", "last_pass", "fitting"])
+    found = [(first["sid"], first["block"], first["place"], taken, room)]
+    return pd.DataFrame(found, columns=["sid", "block", "place", "fitting", "room"])
+
+
+_FIT = "sid int, block long, place long, fitting array<long>, room double"
+_LATE = "sid int, block long, h long"
+
+
+def _carry(dealt: DataFrame, placed: DataFrame, cuts: DataFrame, seed: int) -> DataFrame | None:
+    """``(sid, block, h)``: rows beyond the last pass's edge that fill the room left there.
+
+    Rows larger than the room are skipped. Each round takes the blocks of rows
+    that fit, up to one that reaches the target, and fits that one; this halves
+    the room at least, so the rounds are logarithmic in it. In the end no row
+    that is left fits; the smallest is taken if that comes nearer to the target.
+    """
+    spark = dealt.sparkSession
+    rows = dealt.select("sid", "block", "h", "size").join(
+        placed.select("sid", "block", "place"), ["sid", "block"]
+    )
+    state = {r["sid"]: (r["room"], r["place"]) for r in cuts.drop("fitting").collect()}
+    rooms, late = {i: room for i, (room, _) in state.items()}, None
+    edge_of = {i: place for i, (_, place) in state.items()}
+    while state := {i: x for i, x in state.items() if x[0] >= 1}:
+        now = [(i, room, place) for i, (room, place) in state.items()]
+        now = F.broadcast(spark.createDataFrame(now, "sid int, free double, after long"))
+        fits = (F.col("size") > 0) & (F.col("size") <= F.col("free"))
+        small = rows.join(now, "sid").where(fits & (F.col("place") > F.col("after")))
+        small = materialize(small, "mix-small")
+        blocks = small.groupBy("sid", "block").agg(F.sum("size").alias("words"))
+        at = materialize(_places(blocks, seed).drop("place"), "mix-small-places")
+        at = at.join(now, "sid").drop("after")
+        whole = at.where(F.col("before") + F.col("words") <= F.col("free"))
+        edge = at.where((F.col("before") < F.col("free")) & (F.col("before") + F.col("words") > F.col("free")))
+        edge = edge.select("sid", "block", (F.col("free") - F.col("before")).alias("room"))
+        cut = small.join(edge, ["sid", "block"]).groupBy("sid", "block")
+        cut = materialize(cut.applyInPandas(_fit, _FIT), "mix-late-cuts")
+        taken = small.join(whole.select("sid", "block"), ["sid", "block"]).select("sid", "block", "h")
+        taken = taken.unionByName(cut.select("sid", "block", F.explode("fitting").alias("h")))
+        late = materialize(taken if late is None else late.unionByName(taken), "mix-late")
+        for r in whole.groupBy("sid").agg(F.sum("words").alias("words")).collect():
+            rooms[r["sid"]] -= r["words"]
+        ends = {r["sid"]: (r["room"], r["place"]) for r in cut.drop("fitting").collect()}
+        rooms |= {i: room for i, (room, _) in ends.items()}
+        state = ends  # without an edge every row that fits is taken
+    if open_ := [(i, room, edge_of[i]) for i, room in rooms.items() if room > 0.5]:
+        now = F.broadcast(spark.createDataFrame(open_, "sid int, free double, after long"))
+        near = (F.col("size") > F.col("free")) & (F.col("size") < 2 * F.col("free"))
+        left = rows.join(now, "sid").where(near & (F.col("place") >= F.col("after")))
+        used = cuts.select("sid", F.explode("fitting").alias("h"))
+        if late is not None:
+            used = used.unionByName(late.select("sid", "h"))
+        left = left.join(used, ["sid", "h"], "left_anti").groupBy("sid")
+        over = left.agg(F.min(F.struct("size", "h", "block")).alias("x")).select(
+            "sid", "x.block", "x.h"
+        )
+        late = materialize(over if late is None else late.unionByName(over), "mix-late")
+    return late
 
 
 def plan_mix(
@@ -196,7 +307,9 @@ def plan_mix(
         "source string, sid int, n_blocks long, source_size long, target double, passes int, "
         "rest double",
     )
-    dealt = _dealt(sized, recipe.select("source", "sid", "n_blocks", "rest"), seed)
+    repeats = _repeats(sized)
+    listed = _listed(sized, repeats)
+    dealt = _dealt(listed, recipe.select("source", "sid", "n_blocks", "rest"), seed)
     blocks = dealt.groupBy("sid", "block").agg(F.sum("size").alias("words"))
     placed = materialize(_places(materialize(blocks, "mix-blocks"), seed), "mix-places")
     placed = placed.join(F.broadcast(recipe.select("sid", "passes", "rest")), "sid")
@@ -231,19 +344,26 @@ def plan_mix(
     # the last pass ends inside the block that reaches the target: of its rows, from the
     # largest down, those that still fit; a block is bounded, so one task can walk through it
     edge = placed.where(last & (F.col("before") + F.col("words") > F.col("rest")))
-    edge = dealt.drop("rest").join(F.broadcast(edge.drop("words")), ["sid", "block"])
-    same = edge.groupBy("sid", "block", "passes", "rest", "before", "h").agg(
-        F.sum("size").alias("size")
-    )
-    cuts = same.groupBy("sid", "block").applyInPandas(
-        _fit, "sid int, block long, last_pass int, fitting array<long>"
-    )
+    edge = edge.select("sid", "block", "place", (F.col("rest") - F.col("before")).alias("room"))
+    cuts = dealt.select("sid", "block", "h", "size").join(F.broadcast(edge), ["sid", "block"])
+    cuts = materialize(cuts.groupBy("sid", "block").applyInPandas(_fit, _FIT), "mix-cuts")
+    late = _carry(dealt, placed, cuts, seed)
+    if late is None:
+        late = spark.createDataFrame([], _LATE)
     draws = drawn.groupBy("sid", "block").agg(
         F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("draws")
     )
-    table = draws.join(materialize(cuts, "mix-cuts"), ["sid", "block"], "left")
+    draws = materialize(draws, "mix-drawn")
+    ends = cuts.join(F.broadcast(recipe.select("sid", "passes")), "sid")
+    ends = ends.select("sid", "block", F.col("passes").alias("last_pass"), "fitting")
+    # rows of later blocks go to the shard of the block where the last pass ends
+    end_draw = F.element_at("draws", -1).alias("late_draw")
+    to = draws.join(ends.select("sid", "block"), ["sid", "block"]).select("sid", end_draw)
+    late = late.groupBy("sid", "block").agg(F.collect_list("h").alias("late"))
+    late = late.join(F.broadcast(to), "sid")
+    table = draws.join(ends, ["sid", "block"], "left").join(late, ["sid", "block"], "full")
     sources = recipe.select("source", "sid", "n_blocks", "source_size", "target")
-    return Mix(sources, materialize(table, "mix-draws"), seed)
+    return Mix(sources, materialize(table, "mix-draws"), seed, repeats)
 
 
 def draw_rows(rows: DataFrame, mix: Mix) -> DataFrame:
@@ -251,16 +371,18 @@ def draw_rows(rows: DataFrame, mix: Mix) -> DataFrame:
 
     ``draws`` holds one ``(pass, shard)`` for each time that the mix takes the row.
     """
-    dealt = _dealt(rows, mix.sources, mix.seed).join(mix.blocks, ["sid", "block"], "left")
-    whole = F.coalesce(F.col("draws"), F.array().cast("array<struct<pass:int,shard:bigint>>"))
+    numbered = _numbered(rows, mix.repeated)
+    dealt = _dealt(numbered, mix.sources, mix.seed).join(mix.blocks, ["sid", "block"], "left")
+    none = F.array().cast("array<struct<pass:int,shard:bigint>>")
     draws = F.filter(
-        whole,
+        F.coalesce(F.col("draws"), none),
         lambda d: F.col("last_pass").isNull()
         | (d["pass"] < F.col("last_pass"))
         | F.array_contains("fitting", F.col("h")),
     )
-    gone = ("sid", "block", "n_blocks", "last_pass", "fitting")
-    return dealt.withColumn("draws", draws).drop(*gone)
+    late = F.when(F.array_contains("late", F.col("h")), F.array("late_draw")).otherwise(none)
+    gone = ("sid", "block", "n_blocks", "last_pass", "fitting", "late", "late_draw")
+    return dealt.withColumn("draws", F.concat(draws, late)).drop(*gone)
 
 
 def size_documents(docs: DataFrame) -> DataFrame:

@@ -485,6 +485,30 @@ def test_mix_rows_shard_by_shard(docs, none):
     assert mixing.mix_documents(none).count() == 0
 
 
+def test_mix_fills_the_room_beside_a_long_document(spark):
+    """One source, half a pass: a text longer than the target must not leave it empty."""
+    rows = [(i, "a", 500) for i in range(300)] + [(300, "a", 100_000)]
+    df = spark.createDataFrame(rows, "key long, source string, size long")
+    for seed in range(2):
+        mix = mixing.plan_mix(df, seed=seed, total_share=0.39)
+        out = mixing.draw_rows(df, mix).collect()
+        assert len(out) == 301
+        taken = sum(r["size"] * len(r["draws"]) for r in out)
+        assert abs(taken - 0.39 * 250_000) <= 250
+        assert all(len(r["draws"]) <= 1 for r in out)
+
+
+def test_mix_splits_rows_that_repeat_key_and_size(spark):
+    rows = [(7, "a", 30)] * 300 + [(None, "a", 30)] * 50 + [(100 + i, "a", 30) for i in range(550)]
+    df = spark.createDataFrame(rows, "key long, source string, size long").repartition(4)
+    mix = mixing.plan_mix(df, total_share=0.4, block_words=900, shard_words=3_000)
+    out = mixing.draw_rows(df, mix).collect()
+    assert len(out) == 900 and sum(30 * len(r["draws"]) for r in out) == 10_800
+    taken = [len(r["draws"]) for r in out if r["key"] == 7]
+    assert len(taken) == 300 and 80 <= sum(taken) <= 160
+    assert len({d["shard"] for r in out if r["key"] == 7 for d in r["draws"]}) > 1
+
+
 def test_mix_refuses_too_many_sources(docs):
     with pytest.raises(ValueError, match="sources"):
         mixed(docs, max_sources=2)
