@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from findry.llm.common import mix64
 from findry.session import materialize
 
 PAGE, FAN = 128, 16
@@ -208,6 +209,11 @@ _PAIR = "region int, sub int, block long, query_id long, q array<long>, floor do
 _FOUND = "query_id long, q array<long>, vec_id long, score long"
 
 
+def block_of(ids: np.ndarray, blocks: int) -> np.ndarray:
+    """The query block of each id; even for ids with a common factor too."""
+    return (mix64(ids.astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+
+
 class MTreeIndex:
     """Trees over a table of ``(vec_id, v)`` with integer vectors ``v``.
 
@@ -322,6 +328,7 @@ class MTreeIndex:
                 routes, route_ids, radius, subs, space, dim = shipped.value
                 for batch in batches:
                     own = batch.column(0).to_numpy()
+                    block = block_of(own, blocks)
                     q = _matrix(batch.column(1), dim)
                     floors = batch.column(2).to_numpy()
                     products = _products(q, routes)
@@ -346,7 +353,7 @@ class MTreeIndex:
                             yield pa.RecordBatch.from_arrays(
                                 [pa.array([r for r, _ in found], pa.int32()),
                                  pa.array([s for _, s in found], pa.int32()),
-                                 pa.array([hash(int(own[i])) % blocks] * n, pa.int64()),
+                                 pa.array([block[i]] * n, pa.int64()),
                                  pa.array([int(own[i])] * n, pa.int64()),
                                  batch.column(1).take(pa.array([i] * n)),
                                  pa.array([floor] * n, pa.float64())],

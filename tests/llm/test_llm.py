@@ -334,6 +334,12 @@ def test_mtree_passes_over_rows(monkeypatch):
     assert sum(seen) < 3000
 
 
+def test_mtree_query_blocks_are_even():
+    for n, blocks in ((4_097, 2), (40_000, 10), (204_800, 50)):
+        counts = np.bincount(mtree.block_of(np.arange(0, 50 * n, 50), blocks), minlength=blocks)
+        assert len(counts) == blocks and counts.min() > 0.9 * n / blocks
+
+
 def test_mtree_of_few_or_no_rows(spark):
     schema = "vec_id long, embedding array<float>"
     assert mtree.top_products(spark.createDataFrame([], schema)).count() == 0
