@@ -12,9 +12,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from findry.llm.common import fold, text_slices, tidy
 from findry.session import materialize
@@ -188,11 +190,24 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     )
 
 
+@F.pandas_udf(BooleanType())
+def _has_letter(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda text: len(gram_codes(text or "")) > 0).astype(bool)
+
+
 def reject_unknown(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents in which no language can be made out."""
+    """``docs`` without the documents in which no language can be made out.
+
+    These are the texts that are null or have no letter. If no language was
+    learned (no labelled document outside the held-out fold), all others stay.
+    """
     rows = held_out(docs.select("doc_id", "text", "lang"))
     profiles = materialize(learn_profiles(rows.where("not held_out")), "profiles")
+    if profiles.isEmpty():
+        return docs.where(_has_letter("text"))
     aside = {c: f"__{c}" for c in docs.columns if c in ("lang_pred", "score")}
     found = identify(docs.withColumnsRenamed(aside), profiles)
-    kept = found.where(F.col("lang_pred") != UNKNOWN).drop("lang_pred", "score")
+    # a text with letters has a score above 0, also where a language is called "und"
+    known = (F.col("lang_pred") != UNKNOWN) | (F.col("score") > 0)
+    kept = found.where(known).drop("lang_pred", "score")
     return kept.withColumnsRenamed({b: a for a, b in aside.items()}).select(*docs.columns)

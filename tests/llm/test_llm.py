@@ -680,6 +680,14 @@ def test_language_like_brute_force(spark):
         assert r["score"] == pytest.approx(1 - apart[best] / (size * len(own)))
 
 
+def test_unlearned_languages_reject_only_texts_without_letters(spark):
+    rows = [(1, "some words", None), (2, "12 ...", None), (3, None, None), (4, "Ä", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in langid.reject_unknown(df).collect()} == {1, 4}
+    named = df.withColumn("lang", F.lit("und")).unionByName(df.withColumn("doc_id", F.col("doc_id") + 10))
+    assert {r["doc_id"] for r in langid.reject_unknown(named).collect()} == {1, 4, 11, 14}
+
+
 def test_language_without_training_or_rows(spark, none, docs, rows):
     out = langid.identify_documents(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in out.collect()} == {"und"}
