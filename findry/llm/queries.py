@@ -16,6 +16,7 @@ from findry.llm import (
     lshforest,
     mixing,
     mtree,
+    prefixtrie,
     quality,
 )
 from findry.llm.common import table
@@ -182,6 +183,49 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return langid.identify_documents(table(spark, sf, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """The prefix trie of all conversations, each rebuilt upon the first of its five."""
+    rows = table(spark, sf, "conversations")
+    conv = F.col("conv_id")
+    heads = F.crc32(conv.cast("string").cast("binary")) % 9
+    return prefixtrie.trie_of(rows, base=conv - conv % 5, heads=heads, most=8)
+
+
+OP13_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id
+      ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS own FROM t GROUP BY conv_id),
+b AS (SELECT conv_id, own, flatten(list_transform(regexp_extract_all(conv_id::VARCHAR, '.'),
+        lambda x: [ord(x), -1, -1, -1, -1, -1, -1, -1, -1])) AS steps FROM c),
+h AS (SELECT conv_id, own, xor(4294967295, list_reduce(steps, lambda s, x:
+        CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, 3988292384 * (s & 1)) END,
+        4294967295::BIGINT)) % 9 AS h FROM b),
+r AS (SELECT h.conv_id, list_concat(coalesce(c.own[1:h.h], []), h.own[h.h + 1:]) AS seq
+      FROM h LEFT JOIN c ON c.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS depth FROM r),
+n AS (
+  SELECT depth, seq[1:depth] AS node, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(seq) = depth), '')
+      AS ends
+  FROM p GROUP BY ALL),
+k AS (SELECT depth - 1 AS depth, node[1:depth - 1] AS node, count(*) AS n_children
+      FROM n WHERE depth > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children,
+        CASE WHEN n.depth = 0 THEN 0 ELSE (n.n_convs - 1) * strlen(n.node[n.depth].text) END AS saved
+      FROM n LEFT JOIN k ON k.depth = n.depth AND k.node = n.node),
+u AS (SELECT m.node, m.saved, m.n_children, unnest(range(0, m.depth + 1)) AS depth FROM m),
+s AS (SELECT depth, node[1:depth] AS node, sum(saved)::BIGINT AS saved_tokens,
+        count(*) FILTER (WHERE n_children = 0) AS n_leaves
+      FROM u GROUP BY ALL)
+SELECT m.conv_id, m.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children,
+  s.n_leaves, s.saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN s ON s.depth = m.depth AND s.node = m.node
+  LEFT JOIN n q ON q.depth = m.depth - 1 AND q.node = m.node[1:m.depth - 1]"""
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_byte_bpe": op2_byte_bpe,
@@ -193,10 +237,12 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_language_id": op10_language_id,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES = {
     "op1_chat_formatting": OP1_SQL,
     "op5_mtree_search": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
