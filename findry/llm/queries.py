@@ -18,6 +18,7 @@ from findry.llm import (
     mtree,
     prefixtrie,
     quality,
+    strata,
 )
 from findry.llm.common import table
 
@@ -183,6 +184,35 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return langid.identify_documents(table(spark, sf, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return strata.search_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+_SQL_TERMS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), "
+    f"{_SQL_LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_TERMS} AS terms FROM documents),
+c AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w FROM f, c),
+m AS (SELECT r, doc_id, 25 + (75 * len(terms) * n_docs) // n_terms AS m FROM d, c WHERE len(terms) > 0),
+i AS (SELECT item, item_id, term, count(*) AS uses FROM (
+        SELECT row_number() OVER () AS item, item_id, unnest({_SQL_TERMS}) AS term
+        FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+s AS (SELECT item, item_id, doc_id, r,
+        sum(uses * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM i JOIN p USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (
+        PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank
+      FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10"""
+
+
 def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     """The prefix trie of all conversations, each rebuilt upon the first of its five."""
     rows = table(spark, sf, "conversations")
@@ -237,6 +267,7 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_language_id": op10_language_id,
+    "op11_ranked_search": op11_ranked_search,
     "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES = {
@@ -244,5 +275,6 @@ ORACLES = {
     "op5_mtree_search": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op11_ranked_search": OP11_SQL,
     "op13_prefix_trie": OP13_SQL,
 }
