@@ -16,6 +16,7 @@ from findry.llm import (
     lshforest,
     mixing,
     mtree,
+    phrases,
     prefixtrie,
     quality,
     strata,
@@ -213,6 +214,11 @@ k AS (SELECT *, row_number() OVER (
 SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10"""
 
 
+def op12_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return phrases.fingerprint_documents(table(spark, sf, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     """The prefix trie of all conversations, each rebuilt upon the first of its five."""
     rows = table(spark, sf, "conversations")
@@ -268,6 +274,7 @@ QUERIES = {
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_language_id": op10_language_id,
     "op11_ranked_search": op11_ranked_search,
+    "op12_document_fingerprints": op12_document_fingerprints,
     "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES = {
