@@ -1,9 +1,14 @@
-"""Term index and BM25 search.
+"""Inverted term index and BM25 search as a join on postings.
 
-The index is a forward index: one row per document with its distinct terms
-and their counts. A document never spans rows, so building it is a map-only
-pass, and a search scores whole documents where they lie: no shuffle of
-(query, document) pairs, however common a term is.
+The index has one row per term and block of documents: the term's postings
+there. It is stored by a hash of the term, so a lookup reads the files of its
+terms only, and a common term is spread over as many rows as there are blocks.
+
+A search joins the terms of its queries with those lists and groups what meets
+by block of queries and block of documents, where the products add up. Where
+there are many blocks of documents, a first pass over each query's best block
+gives a score that the k best must reach; blocks whose highest possible score
+is below it are not joined again.
 """
 
 from __future__ import annotations
@@ -12,21 +17,29 @@ import os
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from findry.functions.text import Tokenizer, let, simple_tokens
-from findry.operators.blockwise import QUERY_BOUND, blockwise_topk
+from findry.operators.blockwise import top_k
 from findry.session import materialize, scratch_path
 
 # Default BM25 parameters.
 K1 = 0.9
 B = 0.4
 
-_IMPACT_CELLS = 4_000_000  # query terms x documents held at once by one task
+# hash parts of the stored postings; a lookup of one term reads one of them
+PARTS = 16
+# places of a block of documents or queries; a task adds up one block of either
+_DOC_BITS, _QUERY_BITS = 11, 12
+# tasks for each shuffle partition that add up pairs of blocks
+_SPREAD = 8
+# blocks of documents up to which all of them are joined at once
+DIRECT_BLOCKS = 64
+_SCORE_SCALE = 1e6  # scores are ranked after rounding to six decimals
+_MARGIN = 1e-5
 
 
 def run_ends(s: Column) -> Column:
@@ -62,55 +75,87 @@ def term_counts(tokens: Column) -> Column:
 
 @dataclass(frozen=True)
 class TermIndex:
-    """Forward index, document frequencies and collection totals."""
+    """Postings by term and block, document frequencies and collection totals."""
 
-    docs: DataFrame  # pid, dl, terms array<struct<term, tf>>
+    docs: DataFrame  # doc, pid, dl
+    lists: DataFrame  # part, term, block, entries: place, dl, tf
     vocabulary: DataFrame  # term, df
     n_docs: int
     avg_dl: float
+    parts: int
 
     def postings(self) -> DataFrame:
-        """The long form ``(pid, dl, term, tf)``."""
-        return self.docs.select("pid", "dl", F.inline("terms"))
+        """The long form ``(term, pid, dl, tf)``."""
+        return self._long(self.lists)
+
+    def lookup(self, terms: list[str]) -> DataFrame:
+        """The postings of a few terms; only the files of their parts are read."""
+        spark = self.lists.sparkSession
+        asked = spark.createDataFrame([(t,) for t in terms], "term string")
+        asked = asked.select(_part_of(F.col("term"), self.parts).alias("part")).distinct()
+        parts = [r["part"] for r in asked.collect()]
+        among = F.col("part").isin(parts) & F.col("term").isin(list(terms))
+        return self._long(self.lists.where(among))
+
+    def _long(self, lists: DataFrame) -> DataFrame:
+        doc = F.shiftleft("block", _DOC_BITS) + F.col("place")
+        each = lists.select("term", "block", F.inline("entries"))
+        each = each.select("term", doc.alias("doc"), "dl", "tf")
+        return each.join(self.docs.select("doc", "pid"), "doc").select("term", "pid", "dl", "tf")
+
+
+def _part_of(term: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
 
 
 def build_index(
-    corpus: DataFrame, path: str | None = None, tokenizer: Tokenizer = simple_tokens
+    corpus: DataFrame,
+    path: str | None = None,
+    tokenizer: Tokenizer = simple_tokens,
+    parts: int = PARTS,
 ) -> TermIndex:
     """Index ``corpus(pid, text)`` and write it to ``path`` (or scratch space).
 
-    Documents without tokens are left out, also of the totals.
+    Documents without tokens are left out, also of the totals. Texts are
+    counted where they lie and numbered in blocks of up to 2,048; one shuffle
+    brings a term's postings of a block together.
     """
     spark = corpus.sparkSession
     path = path or scratch_path(spark, "terms")
-    docs = corpus.select("pid", term_counts(tokenizer(F.col("text"))).alias("t"))
-    docs.select("pid", "t.dl", "t.terms").write.parquet(os.path.join(path, "docs"))
-    vocabulary = (
-        _stored_docs(spark, path)
-        .select(F.explode("terms.term").alias("term"))
-        .groupBy("term")
-        .agg(F.count("*").alias("df"))
+    counted = corpus.select("pid", term_counts(tokenizer(F.col("text"))).alias("t"))
+    counted = counted.select(
+        F.monotonically_increasing_id().alias("doc"), "pid", "t.dl", "t.terms"
     )
+    counted = materialize(counted, "counted").where(F.col("dl") > 0)
+    counted.select("doc", "pid", "dl").write.parquet(os.path.join(path, "docs"))
+    place = F.col("doc").bitwiseAND(F.lit((1 << _DOC_BITS) - 1)).cast("int").alias("place")
+    each = counted.select(
+        F.shiftright("doc", _DOC_BITS).alias("block"), place, "dl", F.inline("terms")
+    )
+    entry = F.struct("place", "dl", "tf")
+    lists = each.groupBy("term", "block").agg(F.collect_list(entry).alias("entries"))
+    lists = lists.withColumn("part", _part_of(F.col("term"), parts))
+    lists = lists.sortWithinPartitions("part", "term")
+    lists.write.partitionBy("part").parquet(os.path.join(path, f"postings-{parts}"))
+    stored = spark.read.parquet(os.path.join(path, f"postings-{parts}"))
+    vocabulary = stored.groupBy("term").agg(F.sum(F.size("entries")).alias("df"))
     vocabulary.write.parquet(os.path.join(path, "vocabulary"))
-    return load_index(spark, path)
-
-
-def _stored_docs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(path, "docs")).where(F.col("dl") > 0)
+    return load_index(spark, path, parts)
 
 
-def load_index(spark: SparkSession, path: str) -> TermIndex:
-    """Open an index written by :func:`build_index`."""
-    docs = _stored_docs(spark, path)
+def load_index(spark: SparkSession, path: str, parts: int = PARTS) -> TermIndex:
+    """Open an index written by :func:`build_index` with as many ``parts``."""
+    docs = spark.read.parquet(os.path.join(path, "docs"))
     totals = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avg")).first()
+    lists = spark.read.parquet(os.path.join(path, f"postings-{parts}"))
     vocabulary = spark.read.parquet(os.path.join(path, "vocabulary"))
-    return TermIndex(docs, vocabulary, totals["n"], totals["avg"] or 0.0)
+    return TermIndex(docs, lists, vocabulary, totals["n"], totals["avg"] or 0.0, parts)
 
 
 def query_weights(
     queries: DataFrame, index: TermIndex, tokenizer: Tokenizer = simple_tokens
 ) -> DataFrame:
-    """``(qid, terms, weights)``: term weight = count in the query x idf.
+    """``(qid, term, weight)``: term weight = count in the query x idf.
 
     Terms the collection does not hold drop out, and so does a query with
     none left.
@@ -119,63 +164,93 @@ def query_weights(
         "qid", F.inline(term_counts(tokenizer(F.col("text")))["terms"])
     )
     idf = F.log1p((F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = counted.join(index.vocabulary, "term").select(
-        "qid", "term", (F.col("tf") * idf).alias("weight")
-    )
-    # a query holds few terms, so this group is as small as its text
-    return weighted.groupBy("qid").agg(
-        F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("_t")
-    ).select("qid", F.col("_t.term").alias("terms"), F.col("_t.weight").alias("weights"))
+    weighted = counted.join(index.vocabulary, "term")
+    return weighted.select("qid", "term", (F.col("tf") * idf).alias("weight"))
 
 
-@dataclass(frozen=True)
-class Bm25Scorer:
-    """Sum of query weight x saturated term frequency over shared terms."""
+def _summed(k: int):
+    """Adds up the products of one block of queries and one of documents; keeps ``k`` and ties."""
 
-    avg_dl: float
-    k1: float
-    b: float
-    query_columns = ["terms", "weights"]
-    item_columns = ["dl", "doc_terms", "doc_tfs"]
-    array_column = "doc_terms"
-
-    def load(self, queries: pd.DataFrame):
-        vocabulary = sorted({t for terms in queries["terms"] for t in terms})
-        place = {t: i for i, t in enumerate(vocabulary)}
-        rows = [
-            (np.array([place[t] for t in terms], dtype=int), np.asarray(weights, dtype=float))
-            for terms, weights in zip(queries["terms"], queries["weights"])
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        block, query_block = (int(x.as_py()) for x in key)
+        rows = rows.combine_chunks()
+        lists = [
+            (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
+            for column in (rows[c] for c in ("places", "sats", "asking", "weights"))
         ]
-        return pa.array(vocabulary, pa.string()), rows
-
-    def score(self, state, rows: slice, items: pa.Table) -> np.ndarray:
-        vocabulary, weights = state
-        wanted = weights[rows]
-        terms = items["doc_terms"].combine_chunks()
-        tfs = items["doc_tfs"].combine_chunks().flatten().to_numpy()
-        dl = items["dl"].to_numpy()
-        codes = pc.index_in(terms.flatten(), value_set=vocabulary)
-        hit = codes.is_valid().to_numpy(zero_copy_only=False)
-        doc = pc.list_parent_indices(terms).to_numpy()[hit]
-        code = codes.drop_null().to_numpy()
-        tf = tfs[hit].astype(float)
-        saturated = tf / (tf + self.k1 * (1 - self.b + self.b * dl[doc] / self.avg_dl))
-        # only the terms of these queries get a row in the impact matrix
-        used = np.unique(np.concatenate([at for at, _ in wanted]))
-        row_of = np.full(len(vocabulary), -1)
-        row_of[used] = np.arange(len(used))
-        out = np.empty((len(wanted), items.num_rows))
-        step = max(1, _IMPACT_CELLS // len(used))
-        for start in range(0, items.num_rows, step):
-            end = min(items.num_rows, start + step)
-            mine = slice(*np.searchsorted(doc, [start, end]))
-            known = row_of[code[mine]] >= 0
-            impact = np.zeros((len(used), end - start))
-            impact[row_of[code[mine]][known], doc[mine][known] - start] = saturated[mine][known]
-            for r, (at, w) in enumerate(wanted):
-                out[r, start:end] = w @ impact[row_of[at]]
-        out[out <= 0] = np.nan  # no shared term: not a hit
-        return out
+        flat = [c.flatten().to_numpy(zero_copy_only=False) for c in lists]
+        bounds = [c.offsets.to_numpy() - c.offsets[0].as_py() for c in (lists[0], lists[2])]
+        asking, line = np.unique(flat[2], return_inverse=True)
+        scores = np.zeros((len(asking), max(k, int(flat[0].max()) + 1)))
+        for d0, d1, q0, q1 in zip(bounds[0], bounds[0][1:], bounds[1], bounds[1][1:]):
+            at, give = flat[0][d0:d1], flat[1][d0:d1]
+            if q1 - q0 == 1:
+                scores[line[q0], at] += flat[3][q0] * give
+            else:
+                scores[np.ix_(line[q0:q1], at)] += np.multiply.outer(flat[3][q0:q1], give)
+        scores = np.rint(scores * _SCORE_SCALE)
+        least = np.maximum(-np.partition(-scores, k - 1, axis=1)[:, k - 1], 1)
+        q, d = np.nonzero(scores >= least[:, None])
+        return pa.table({
+            "q": pa.array((query_block << _QUERY_BITS) + asking[q].astype(np.int64)),
+            "doc": pa.array((block << _DOC_BITS) + d.astype(np.int64)),
+            "score": pa.array(scores[q, d] / _SCORE_SCALE),
+        })
+
+    return run
+
+
+def _products(lists: DataFrame, asked: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """``(q, doc, score)``: of each block of documents, the ``k`` best of a query, and ties.
+
+    ``lists`` holds ``(term, block, places, sats)``, ``asked`` holds ``(q, term,
+    weight)`` and, if ``keys`` has it, the ``block`` that is asked. A row of
+    the join is one list and those who ask for it; neither outgrows a block.
+    """
+    asker = F.struct(
+        F.col("q").bitwiseAND(F.lit((1 << _QUERY_BITS) - 1)).cast("int").alias("place"), "weight"
+    )
+    packed = asked.groupBy(*keys, F.shiftright("q", _QUERY_BITS).alias("query_block")).agg(
+        F.collect_list(asker).alias("askers")
+    )
+    met = lists.join(packed, keys).select(
+        "block",
+        "query_block",
+        "places",
+        "sats",
+        F.col("askers.place").alias("asking"),
+        F.col("askers.weight").alias("weights"),
+    )
+    # few rows hold much work, so adaptive execution must not merge their partitions
+    least = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.repartition(_SPREAD * least, "block", "query_block")
+    return met.groupBy("block", "query_block").applyInArrow(
+        _summed(k), "q long, doc long, score double"
+    )
+
+
+def _two_passes(lists: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """As :func:`_products`, but only of blocks that can hold one of a query's ``k`` best.
+
+    A block gives a query no more than its terms' weights times their highest
+    saturated counts there. The block that promises most is joined first; the
+    k-th score found in it rules out the blocks that promise less.
+    """
+    peaks = lists.select("term", "block", F.array_max("sats").alias("peak"))
+    most = F.sum(F.col("weight") * F.col("peak")).alias("most")
+    promised = terms.join(peaks, "term").groupBy("q", "block").agg(most)
+    promised = materialize(promised, "promised")
+    by = W.partitionBy("q").orderBy(F.desc("most"), "block")
+    first = promised.withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") == 1)
+    asked = terms.join(first.select("q", "block"), "q")
+    found = materialize(_products(lists, asked, ["term", "block"], k), "first-scores")
+    by = W.partitionBy("q").orderBy(F.desc("score"), "doc")
+    floors = found.withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= k)
+    floors = floors.where(F.col("_rank") == k).select("q", F.col("score").alias("floor"))
+    left = promised.join(floors, "q", "left").where(F.col("floor").isNull() | (F.col("most") >= F.col("floor") - _MARGIN))
+    left = left.join(first.select("q", "block"), ["q", "block"], "left_anti")
+    asked = terms.join(left.select("q", "block"), "q")
+    return found.unionByName(_products(lists, asked, ["term", "block"], k))
 
 
 def bm25_search(
@@ -185,17 +260,42 @@ def bm25_search(
     k1: float = K1,
     b: float = B,
     tokenizer: Tokenizer = simple_tokens,
-    bound: int = QUERY_BOUND,
-    **blocks: int,
+    direct_blocks: int = DIRECT_BLOCKS,
 ) -> DataFrame:
-    """BM25 top-k documents of each query: ``(qid, pid, score, rank)``."""
-    # a small table that is counted, collected or copied below: computed once
-    weights = materialize(query_weights(queries, index, tokenizer), "weights")
-    docs = index.docs.select(
-        "pid",
-        "dl",
-        F.col("terms.term").alias("doc_terms"),
-        F.col("terms.tf").alias("doc_tfs"),
+    """BM25 top-k documents of each query ``(qid, text)``: ``(qid, pid, score, rank)``.
+
+    A document without a term of the query is no hit. Up to ``direct_blocks``
+    blocks of documents are joined at once, more of them in two passes; both
+    give the same scores.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    asking = materialize(queries.select("qid").distinct(), "query-ids")
+    # a partition for each block of queries, or about that
+    names = asking.repartition(1 + asking.count() // (1 << _QUERY_BITS), "qid")
+    names = names.withColumn("q", F.monotonically_increasing_id())
+    names = materialize(names, "query-numbers")
+    same = F.col("qid").eqNullSafe(F.col("_qid"))
+    numbers = names.select("q", F.col("qid").alias("_qid"))
+    terms = query_weights(queries, index, tokenizer).join(numbers, same)
+    terms = materialize(terms.select("q", "term", "weight"), "query-terms")
+
+    def saturated(e: Column) -> Column:
+        return e["tf"] / (e["tf"] + k1 * (1 - b + b * e["dl"] / (index.avg_dl or 1.0)))
+
+    lists = index.lists.select(
+        "term",
+        "block",
+        F.col("entries.place").alias("places"),
+        F.transform("entries", saturated).alias("sats"),
     )
-    scorer = Bm25Scorer(index.avg_dl, k1, b)
-    return blockwise_topk(weights, docs, scorer, k, bound, **blocks)
+    blocks = index.docs.select(F.shiftright("doc", _DOC_BITS)).distinct()
+    if blocks.count() <= direct_blocks:
+        found = _products(lists, terms, ["term"], k)
+    else:
+        found = _two_passes(lists, terms, k)
+    # ties at the k-th place stay until the ids are known
+    tied = W.partitionBy("q").orderBy(F.desc("score"))
+    best = found.withColumn("_rank", F.rank().over(tied)).where(F.col("_rank") <= k)
+    hits = best.join(index.docs.select("doc", "pid"), "doc").join(names, "q")
+    return top_k(hits.select("qid", "pid", "score"), k).select("qid", "pid", "score", "rank")

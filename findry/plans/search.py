@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from findry.functions.text import char_ngrams, coverage_score, overlap_score
+from findry.functions.text import char_ngrams, coverage_score, overlap_score, simple_tokens
 from findry.functions.vectors import l2_normalize
 from findry.operators import dataset, lexical, mining, vector
 from findry.operators.blockwise import top_k
@@ -44,6 +44,16 @@ def lexical_case(spark, sf):
 LEXICAL_SQL = f"{CORPUS_SQL}, {GOLD_SQL}, {bm25_sql(10)}"
 
 
+_BENCH_SQL = """corpus AS (SELECT doc_id AS pid, text FROM documents),
+queries AS (SELECT item_id AS qid, text FROM benchmark)"""
+
+
+def _bench(spark, sf):
+    corpus = table(spark, sf, "documents").select(F.col("doc_id").alias("pid"), "text")
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return corpus, queries
+
+
 @query(
     "term_index",
     f"""WITH corpus AS (SELECT doc_id AS pid, text FROM documents), {bm25_sql().split("doc_freq")[0].strip().rstrip(",")}
@@ -57,6 +67,33 @@ def _term_index(spark, sf):
     )
 
 
+@query(
+    "term_lookup",
+    f"""WITH corpus AS (SELECT doc_id AS pid, text FROM documents), {bm25_sql().split("doc_freq")[0].strip().rstrip(",")},
+wanted AS (SELECT term FROM (SELECT DISTINCT item_id, unnest({tokens_sql("text")}) AS term FROM benchmark)
+  GROUP BY term ORDER BY count(*) DESC, term LIMIT 20)
+SELECT p.pid, p.term, p.tf, l.dl::BIGINT AS dl FROM postings p JOIN doc_len l USING (pid) JOIN wanted USING (term)""",
+)
+def _term_lookup(spark, sf):
+    corpus, queries = _bench(spark, sf)
+    words = queries.select("qid", F.explode(F.array_distinct(simple_tokens(F.col("text")))).alias("term"))
+    common = words.groupBy("term").count().orderBy(F.desc("count"), "term").limit(20)
+    found = lexical.build_index(corpus).lookup([r["term"] for r in common.collect()])
+    return found.select(
+        "pid", "term", F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl")
+    )
+
+
+@query(
+    "bm25_search_two_passes",
+    f"WITH {_BENCH_SQL}, {bm25_sql(10)} SELECT qid, pid, score, rank::INT AS rank FROM hits",
+)
+def _bm25_two_passes(spark, sf):
+    corpus, queries = _bench(spark, sf)
+    index = lexical.build_index(corpus)
+    return lexical.bm25_search(queries, index, 10, direct_blocks=0)
+
+
 @query(
     "term_frequencies",
     f"""SELECT term, count(*) AS df FROM (
@@ -67,16 +104,6 @@ def _vocabulary(spark, sf):
     return lexical.build_index(corpus).vocabulary
 
 
-_BENCH_SQL = """corpus AS (SELECT doc_id AS pid, text FROM documents),
-queries AS (SELECT item_id AS qid, text FROM benchmark)"""
-
-
-def _bench(spark, sf):
-    corpus = table(spark, sf, "documents").select(F.col("doc_id").alias("pid"), "text")
-    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    return corpus, queries
-
-
 @query(
     "bm25_search", f"WITH {_BENCH_SQL}, {bm25_sql(10)} SELECT qid, pid, score, rank::INT AS rank FROM hits"
 )

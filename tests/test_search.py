@@ -122,14 +122,58 @@ def test_bm25_formula(spark):
     assert hits_of(lexical.bm25_search(queries, index, 10)) == [("q", 1, "a", round(a, 6)), ("q", 2, "b", round(b, 6))]
 
 
-def test_bm25_common_term_in_both_forms(spark):
+@pytest.fixture
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(lexical, "_DOC_BITS", 4)
+    monkeypatch.setattr(lexical, "_QUERY_BITS", 2)
+
+
+def test_bm25_common_term_in_both_forms(spark, small_blocks):
     rows = [(i, "the " + " ".join(f"w{(i * j) % 11}" for j in range(1, 4))) for i in range(200)]
     corpus = spark.createDataFrame(rows, "pid long, text string").repartition(4)
     queries = spark.createDataFrame([(i, f"the w{i}") for i in range(11)], "qid long, text string")
     index = lexical.build_index(corpus)
     one = hits_of(lexical.bm25_search(queries, index, 15))
     assert len(one) == 11 * 15
-    assert one == hits_of(lexical.bm25_search(queries, index, 15, bound=3, item_block=30))
+    assert one == hits_of(lexical.bm25_search(queries, index, 15, direct_blocks=0))
+
+
+def test_bm25_second_pass_leaves_blocks_out(spark, small_blocks, monkeypatch):
+    rows = [(i, "the and " + ("rare " * 3 if i < 6 else f"x{i} y{i}")) for i in range(320)]
+    corpus = spark.createDataFrame(rows, "pid long, text string").coalesce(1)
+    queries = spark.createDataFrame([("q", "the rare and")], "qid string, text string")
+    index = lexical.build_index(corpus)
+    asked = []
+    products = lexical._products
+
+    def counted(lists, wanted, keys, k):
+        asked.append(wanted.select("block").distinct().count())
+        return products(lists, wanted, keys, k)
+
+    monkeypatch.setattr(lexical, "_products", counted)
+    hits = hits_of(lexical.bm25_search(queries, index, 5, direct_blocks=0))
+    assert [h[2] for h in hits] == [0, 1, 2, 3, 4]
+    assert asked == [1, 0]  # no block of common words alone is joined
+
+
+def test_bm25_is_a_join_on_terms(spark, plan):
+    corpus = spark.createDataFrame([(0, "a b"), (1, "b c")], "pid long, text string")
+    queries = spark.createDataFrame([(0, "b")], "qid long, text string")
+    index = lexical.build_index(corpus)
+    text = plan(lexical.bm25_search(queries, index, 2))
+    assert "Join [term#" in text and "CartesianProduct" not in text
+    assert "BroadcastNestedLoopJoin" not in text
+
+
+def test_lookup_reads_the_parts_of_its_terms(spark, plan):
+    rows = [(i, f"w{i % 40} all") for i in range(100)]
+    index = lexical.build_index(spark.createDataFrame(rows, "pid long, text string"))
+    found = index.lookup(["w3"])
+    assert sorted(r["pid"] for r in found.collect()) == [3, 43, 83]
+    text = plan(found)
+    assert "PartitionFilters: [part#" in text and "In(term" in text or "EqualTo(term" in text
+    assert len({r["part"] for r in index.lists.select("part").distinct().collect()}) > 8
+    assert index.lookup(["absent"]).count() == 0
 
 
 def test_index_is_built_without_a_shuffle(spark, plan):
