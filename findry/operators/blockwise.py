@@ -9,8 +9,8 @@ Two physical forms share one kernel:
 
 * a query block within ``bound`` rows and the cell bound (both counted first)
   is broadcast and the table is scanned where it lies, with no shuffle of it;
-* more queries: both sides are cut into hash blocks of bounded size and
-  co-grouped by block pair, so no task holds more than one block of each side.
+* more queries: they are stored in chunks of that size, and each chunk is a
+  scan of its own. The table is read once per chunk and never shuffled.
 
 Ranking is by rounded score, ties by id, and is exact in both forms.
 """
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from findry.session import materialize
+
 QUERY_BOUND = 2048
 ITEM_BLOCK = 65_536
 # array elements (vector places, terms) that one block of either side may hold
@@ -38,6 +40,8 @@ _SCORE_SCALE = 1e6  # scores are ranked after rounding to six decimals
 _QUERY_SLICE = 512
 _ITEM_SLICE = 8192
 _PAIRS_PER_CORE = 4
+# scans that one plan holds
+_CHUNKS_PER_PLAN = 32
 
 
 class Scorer(Protocol):
@@ -91,10 +95,13 @@ class _Running:
 
     def __init__(self, n_queries: int, k: int):
         self.k = k
+        self.id_type = object  # set by the first ids
         self.scores = np.full((n_queries, k), np.nan)
         self.ids = np.empty((n_queries, k), dtype=object)
 
     def add(self, rows: slice, scores: np.ndarray, ids: np.ndarray) -> None:
+        if self.id_type is object:
+            self.id_type = str if isinstance(ids[0], str) else np.int64
         cols = _best(scores, self.k)
         new_scores = np.take_along_axis(scores, cols, axis=1)
         all_scores = np.hstack([self.scores[rows], new_scores])
@@ -105,8 +112,8 @@ class _Running:
         for r in np.nonzero(may_change)[0]:
             found = np.nonzero(~np.isnan(all_scores[r]))[0]
             key = _rank_key(all_scores[r, found])
-            order = sorted(range(len(found)), key=lambda i: (-key[i], all_ids[r, found[i]]))
-            top = found[order[: self.k]]
+            ids = all_ids[r, found].astype(self.id_type)
+            top = found[np.lexsort((ids, -key))[: self.k]]
             self.scores[rows.start + r, : len(top)] = all_scores[r, top]
             self.ids[rows.start + r, : len(top)] = all_ids[r, top]
 
@@ -225,20 +232,6 @@ def block_pairs(
     return q.withColumn("_ib", every(n_i)), i.withColumn("_qb", every(n_q))
 
 
-def _block_hits(
-    queries: DataFrame,
-    items: DataFrame,
-    scorer: Scorer,
-    k: int,
-    schema: T.StructType,
-    bound: int,
-    item_block: int,
-) -> DataFrame:
-    cells = (scorer.query_columns[0], scorer.array_column)
-    q, i = block_pairs(queries, items, bound, item_block, cells)
-    return paired_hits(q, i, ["_qb", "_ib"], scorer, k, schema)
-
-
 def paired_hits(
     q: DataFrame, i: DataFrame, keys: list[str], scorer: Scorer, k: int, schema: T.StructType
 ) -> DataFrame:
@@ -277,7 +270,6 @@ def blockwise_topk(
     scorer: Scorer,
     k: int,
     bound: int = QUERY_BOUND,
-    item_block: int = ITEM_BLOCK,
 ) -> DataFrame:
     """``(qid, pid, score, rank)``: the k best items of each query.
 
@@ -290,7 +282,41 @@ def blockwise_topk(
     items = items.select("pid", *scorer.item_columns)
     schema = hit_schema(queries, items)
     if fits_broadcast(queries, scorer.query_columns[0], bound):
-        hits = _scan_hits(queries, items, scorer, k, schema)
-    else:
-        hits = _block_hits(queries, items, scorer, k, schema, bound, item_block)
+        return _ranked(_scan_hits(queries, items, scorer, k, schema), k)
+    return _chunk_by_chunk(queries, items, scorer, k, schema, bound)
+
+
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return top_k(hits, k).select("qid", "pid", "score", "rank")
+
+
+def _chunk_by_chunk(
+    queries: DataFrame, items: DataFrame, scorer: Scorer, k: int, schema: T.StructType, bound: int
+) -> DataFrame:
+    """Many queries: each bounded chunk of them meets the items where these lie.
+
+    The queries are stored once, dealt to chunks by a hash. A chunk is a
+    map-only scan of the items, so the items are never shuffled; a task reads
+    the next chunk when it is done with one. Chunks are stored in groups, so
+    that plans stay small however many there are.
+    """
+    cells = scorer.query_columns[0]
+    rows, elements = _size(queries, cells)
+    n = max(1, -(-rows // bound), -(-elements // BLOCK_CELLS))
+    chunk = F.pmod(F.xxhash64("qid"), F.lit(n)).cast("int")
+    stored = materialize(queries.withColumn("_chunk", chunk).repartition("_chunk"), "query-chunks")
+    done = []
+    for first in range(0, n, _CHUNKS_PER_PLAN):
+        hits = None
+        for c in range(first, min(n, first + _CHUNKS_PER_PLAN)):
+            mine = stored.where(F.col("_chunk") == c).drop("_chunk")
+            found = _scan_hits(mine, items, scorer, k, schema)
+            hits = found if hits is None else hits.unionByName(found)
+        done.append(_ranked(hits, k))
+    if len(done) == 1:
+        return done[0]
+    stored_hits = [materialize(hits, "chunk-hits") for hits in done]
+    out = stored_hits[0]
+    for hits in stored_hits[1:]:
+        out = out.unionByName(hits)
+    return out

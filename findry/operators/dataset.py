@@ -7,12 +7,15 @@ fixed-width content key, never by the text itself.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findry.functions.text import GENERATED_MARKERS, content_key, fill_missing, make_id
 from findry.operators.indexing import dense_index, index_within
 from findry.operators.joins import salted_join
+from findry.session import scratch_path
 
 
 def patents_to_passages(
@@ -48,6 +51,43 @@ def find_by_title(df: DataFrame, title: str) -> DataFrame:
     return df.where(F.col("title") == title)
 
 
+def store_by_title(df: DataFrame, path: str) -> None:
+    """Write records in the order of their titles' hash, for :func:`find_stored_title`.
+
+    A file and a row group then cover a narrow range of hashes. Records of one
+    title may fill several files; ``ord`` tells them apart in the range sort.
+    """
+    keyed = df.withColumn("title_key", F.xxhash64("title"))
+    ranged = keyed.repartitionByRange("title_key", "ord")
+    ranged.sortWithinPartitions("title_key", "ord").write.parquet(path)
+
+
+def find_stored_title(spark: SparkSession, path: str, title: str) -> DataFrame:
+    """Records with exactly this title.
+
+    The hash is a constant of the plan, so the scan skips all row groups whose
+    range does not hold it; the title itself decides.
+    """
+    rows = spark.read.parquet(path)
+    same = (F.col("title_key") == F.xxhash64(F.lit(title))) & (F.col("title") == title)
+    return rows.where(same).drop("title_key")
+
+
+def store_lookup(df: DataFrame, key: str = "pid", buckets: int | None = None) -> DataFrame:
+    """``df`` as a table bucketed and sorted by ``key``, for joins that leave it in place.
+
+    Attaching fields to run after run then shuffles the runs alone. The table
+    lies in the shared scratch folder; by default it has as many buckets as a
+    shuffle has partitions.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"lookup_{uuid.uuid4().hex}"
+    writer = df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key)
+    writer.option("path", scratch_path(spark, "lookup")).saveAsTable(name)
+    return spark.table(name)
+
+
 def build_corpus(df: DataFrame, fill: str = ".", prefix: str = "C") -> DataFrame:
     """Distinct bodies with dense ids: ``(pid, title, text, metadata..., text_key, ord)``.
 

@@ -97,10 +97,10 @@ def mine_negatives(
     """
     pairs = negative_hits(gold, hits).select("qid", "pid", "rank")
     fields = ["title", "text"]
+    full = attach_passages(pairs, corpus, ["title", "text"])
     if scorer is not None:
-        pairs = score_pairs(pairs, queries, corpus, scorer, "ce_score")
+        full = _scored(full, queries, scorer, "ce_score")
         fields.append("ce_score")
-    full = attach_passages(pairs, corpus, ["title", "text"])
     ctx = F.struct(*fields).alias("ctx")
     ranked = full.groupBy("qid").agg(
         F.sort_array(F.collect_list(F.struct("rank", ctx))).alias("_r")
@@ -125,8 +125,22 @@ def hard_negatives(
     The score guards against false negatives: a hit the pair scorer calls
     relevant is not used. No hit below the first is looked at.
     """
+    full = _hard_passages(gold, hits, queries, corpus, scorer, max_score)
+    return full.select("qid", "pid", "pair_score")
+
+
+def _hard_passages(gold, hits, queries, corpus, scorer, max_score) -> DataFrame:
+    """:func:`hard_negatives` with title and text, which are joined once."""
     top = negative_hits(gold, hits.where(F.col("rank") == 1)).select("qid", "pid")
-    return score_pairs(top, queries, corpus, scorer).where(F.col("pair_score") < max_score)
+    full = _scored(attach_passages(top, corpus, ["title", "text"]), queries, scorer, "pair_score")
+    return full.where(F.col("pair_score") < max_score)
+
+
+def _scored(full: DataFrame, queries: DataFrame, scorer: PairScorer, out: str) -> DataFrame:
+    """Rows with their passage's text, scored against the text of their query."""
+    asked = queries.select("qid", F.col("text").alias("_q"))
+    score = F.round(scorer(F.col("_q"), F.col("text")).cast("double"), 6)
+    return full.join(asked, "qid").withColumn(out, score).drop("_q")
 
 
 def mine_hard_negative(
@@ -141,8 +155,7 @@ def mine_hard_negative(
 
     The list is empty where :func:`hard_negatives` finds none.
     """
-    found = hard_negatives(gold, hits, queries, corpus, scorer, max_score)
-    full = attach_passages(found, corpus, ["title", "text"])
+    full = _hard_passages(gold, hits, queries, corpus, scorer, max_score)
     ctxs = full.select("qid", F.array(F.struct("title", "text")).alias("_c"))
     asked = queries.select("qid", F.col("text").alias("question"))
     empty = F.expr("cast(array() as array<struct<title:string,text:string>>)")

@@ -7,6 +7,7 @@ it can be appended to, pruned by partition and read by any Spark job.
 from __future__ import annotations
 
 import os
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from findry.functions.vectors import NORM_FLOOR, dot
@@ -33,7 +34,6 @@ from findry.session import materialize
 from findry.sources.writers import spread_cells
 
 # training a codebook needs some tens of points per centroid, not the whole table
-_PRUNE_CELLS = 4096
 _PARALLEL_FITS = 4
 _ROWS_PER_FILE = 250_000
 
@@ -72,16 +72,16 @@ def knn_join(
     k: int,
     metric: str = "dot",
     bound: int = QUERY_BOUND,
-    **blocks: int,
 ) -> DataFrame:
     """Exact k nearest items of each query by inner product or cosine.
 
     ``queries(qid, embedding)`` x ``items(pid, embedding)``. Query batching is
-    implied: up to ``bound`` queries share one scan, more are blocked.
+    implied: up to ``bound`` queries share one scan of the items, more take a
+    scan for each chunk of them. The items are never shuffled.
     """
     if metric not in ("dot", "cos"):
         raise ValueError("metric must be 'dot' or 'cos'")
-    return blockwise_topk(queries, items, DotScorer(metric == "cos"), k, bound, **blocks)
+    return blockwise_topk(queries, items, DotScorer(metric == "cos"), k, bound)
 
 
 def fetch_vectors(items: DataFrame, ids: DataFrame) -> DataFrame:
@@ -211,58 +211,118 @@ def ivf_search(
     """Approximate top-k: a join of queries and rows by cell.
 
     Only the rows of the ``nprobe`` best cells of a query are scored with it.
-    Few probed cells become a filter, which prunes the partitions of a table
-    written by :func:`save_ivf`. ``bound`` queries meet ``item_block`` rows of
-    a cell in a task.
+    The probed cells are stored, and a table written by :func:`save_ivf` is
+    pruned by them while it runs: no list of cells goes through the driver.
+    ``bound`` queries meet ``item_block`` rows of a cell in a task.
     """
     probed = materialize(probe_cells(queries, index.centers(), nprobe), "probed")
-    rows = index.rows
-    cells = probed.select(F.explode("cells").alias("c")).distinct()
-    wanted = [r["c"] for r in cells.limit(_PRUNE_CELLS + 1).collect()]
-    if len(wanted) <= _PRUNE_CELLS:
-        rows = rows.where(F.col("cluster_id").isin(wanted))
+    cells = probed.select(F.explode("cells").alias("cluster_id")).distinct()
+    # a table of cells, so bounded by nlist; the filter makes it a reason to prune
+    cells = materialize(cells, "probed-cells").where("cluster_id >= 0")
+    rows = index.rows.join(F.broadcast(cells), "cluster_id", "left_semi")
     q, i = cell_pairs(probed, rows, bound, item_block)
     schema = hit_schema(queries, rows)
     hits = paired_hits(q, i, ["cluster_id", "_qb", "_ib"], DotScorer(), k, schema)
     return top_k(hits, k).select("qid", "pid", "score", "rank")
 
 
+def _commits(spark: SparkSession, path: str) -> DataFrame | None:
+    where = os.path.join(path, "commits")
+    files = spark._jvm.org.apache.hadoop.fs.Path(where)
+    there = files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files)
+    return spark.read.schema(_COMMIT).parquet(where) if there else None
+
+
+_COMMIT = "version long, base string, loads array<string>, n_rows long"
+
+
+def _last_commit(spark: SparkSession, path: str) -> Row:
+    commits = _commits(spark, path)
+    last = commits.orderBy(F.desc("version")).first() if commits is not None else None
+    if last is None:
+        raise ValueError(f"no index has been committed at {path}")
+    return last
+
+
+def _load_path(path: str, load: str) -> str:
+    return os.path.join(path, "rows", f"load={load}")
+
+
+def _write_load(spark: SparkSession, path: str, rows: DataFrame) -> tuple[str, int]:
+    """Write rows under a name of their own; nobody reads them before they are committed."""
+    load = uuid.uuid4().hex
+    where = _load_path(path, load)
+    rows = spread_cells(rows.select("pid", "embedding", "cluster_id"), _ROWS_PER_FILE)
+    rows.write.partitionBy("cluster_id").parquet(where)
+    return load, _read_loads(spark, path, [load]).count()
+
+
+def _read_loads(spark: SparkSession, path: str, loads: list[str]) -> DataFrame:
+    rows = spark.read.option("basePath", os.path.join(path, "rows"))
+    return rows.parquet(*(_load_path(path, load) for load in loads))
+
+
+def _commit(
+    spark: SparkSession, path: str, base: str, loads: list[str], n_rows: int
+) -> None:
+    """From now on readers go by these loads. One file, which appears as a whole."""
+    commits = _commits(spark, path)
+    last = commits.agg(F.max("version")).first()[0] if commits is not None else None
+    frame = spark.createDataFrame([((last or 0) + 1, base, loads, n_rows)], _COMMIT)
+    frame.coalesce(1).write.mode("append").parquet(os.path.join(path, "commits"))
+
+
 def save_ivf(index: IvfIndex, path: str) -> None:
-    """Write the index, overwriting: rows partitioned by cell, centroids, and the row count.
+    """Write the index: rows by load and cell, centroids, then the commit that names them.
 
-    A crowded cell is spread over as many writers as its row count asks for.
-    Rows are added by :func:`append_vectors`.
+    An index that is there already stays readable until the commit. A crowded
+    cell is spread over as many writers as its row count asks for. One writer
+    at a time; rows are added by :func:`append_vectors`.
     """
-    by_cell = spread_cells(index.rows, _ROWS_PER_FILE).write.mode("overwrite")
-    by_cell.partitionBy("cluster_id").parquet(os.path.join(path, "rows"))
-    centroids = index.centroids.coalesce(1).write.mode("overwrite")
-    centroids.parquet(os.path.join(path, "centroids"))
-    written = _ivf_rows(index.rows.sparkSession, path).agg(F.count("*").alias("n"))
-    written.write.mode("overwrite").parquet(os.path.join(path, "size"))
+    spark = index.rows.sparkSession
+    base = uuid.uuid4().hex
+    index.centroids.coalesce(1).write.parquet(os.path.join(path, "centroids", base))
+    load, n = _write_load(spark, path, index.rows)
+    _commit(spark, path, base, [load], n)
 
 
-def _ivf_rows(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(path, "rows"))
+def _centroids(spark: SparkSession, path: str, base: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(path, "centroids", base))
 
 
 def load_ivf(spark: SparkSession, path: str) -> IvfIndex:
-    """Read an index back; the stored row count must match the rows found."""
-    rows = _ivf_rows(spark, path)
-    expected = spark.read.parquet(os.path.join(path, "size")).agg(F.sum("n")).first()[0]
+    """The index as of its last commit; rows of an append that broke off are not seen."""
+    last = _last_commit(spark, path)
+    rows = _read_loads(spark, path, last["loads"])
     found = rows.count()
-    if found != expected:
-        raise ValueError(f"index at {path} holds {found} rows, expected {expected}")
-    return IvfIndex(rows, spark.read.parquet(os.path.join(path, "centroids")))
+    if found != last["n_rows"]:
+        raise ValueError(f"index at {path} holds {found} rows, expected {last['n_rows']}")
+    return IvfIndex(rows.drop("load"), _centroids(spark, path, last["base"]))
 
 
 def append_vectors(spark: SparkSession, path: str, items: DataFrame) -> None:
-    """Add rows to a saved index under its existing centroids."""
-    index = IvfIndex(items, spark.read.parquet(os.path.join(path, "centroids")))
-    added = assign_cells(items, index.centers())
-    spread_cells(added, _ROWS_PER_FILE).write.mode("append").partitionBy("cluster_id").parquet(os.path.join(path, "rows"))
-    size = _ivf_rows(spark, path).agg(F.count("*").alias("n")).first()[0]
-    frame = spark.createDataFrame([(size,)], "n long")
-    frame.coalesce(1).write.mode("overwrite").parquet(os.path.join(path, "size"))
+    """Add rows to a saved index under its existing centroids; only the new ones are counted."""
+    last = _last_commit(spark, path)
+    index = IvfIndex(items, _centroids(spark, path, last["base"]))
+    load, n = _write_load(spark, path, assign_cells(items, index.centers()))
+    _commit(spark, path, last["base"], [*last["loads"], load], last["n_rows"] + n)
+
+
+def compact_ivf(spark: SparkSession, path: str, keep: Column | None = None) -> None:
+    """Merge all loads into one: the latest row of each id, where ``keep`` is true.
+
+    Rows of one load that share an id all stay. Files of the loads before are
+    left for readers that have them open; they are no longer listed.
+    """
+    last = _last_commit(spark, path)
+    order = {load: i for i, load in enumerate(last["loads"])}
+    age = F.coalesce(*(F.when(F.col("load") == load, i) for load, i in order.items()))
+    rows = _read_loads(spark, path, last["loads"]).withColumn("_age", age)
+    latest = rows.groupBy("pid").agg(F.max("_age").alias("_age"))
+    kept = rows.join(latest, ["pid", "_age"], "left_semi")
+    kept = kept if keep is None else kept.where(keep)
+    load, n = _write_load(spark, path, materialize(kept, "compacted"))
+    _commit(spark, path, last["base"], [load], n)
 
 
 def self_check(index: IvfIndex, n: int = 3, k: int = 5, nprobe: int = 16) -> DataFrame:

@@ -17,6 +17,7 @@ from findry.plans.registry import (
     titled_dataset,
     tokens_sql,
 )
+from findry.session import scratch_path
 
 # swap plain punctuation for variants, so that every class of the normaliser occurs
 _PLAIN = '.,!%&*$|#"'
@@ -327,11 +328,23 @@ def _patents(spark, sf):
     return rows.select("_id", "title", _md5(F.col("text"), "digest"), "metadata.*")
 
 
+_TITLE_SQL = f"""WITH {SOURCE_SQL},
+wanted AS (SELECT title, count(*) AS n FROM src GROUP BY title ORDER BY n DESC, title LIMIT 1)
+SELECT ord, title FROM src WHERE title = (SELECT title FROM wanted)"""
+
+
+@query("find_stored_title", _TITLE_SQL)
+def _find_stored_title(spark, sf):
+    src = source_rows(spark, sf)
+    common = src.groupBy("title").count().orderBy(F.desc("count"), "title").first()
+    path = scratch_path(spark, "titles")
+    dataset.store_by_title(src, path)
+    return dataset.find_stored_title(spark, path, common["title"]).select("ord", "title")
+
+
 @query(
     "find_by_title",
-    f"""WITH {SOURCE_SQL},
-wanted AS (SELECT title, count(*) AS n FROM src GROUP BY title ORDER BY n DESC, title LIMIT 1)
-SELECT ord, title FROM src WHERE title = (SELECT title FROM wanted)""",
+    _TITLE_SQL,
 )
 def _find_by_title(spark, sf):
     src = source_rows(spark, sf)

@@ -162,3 +162,29 @@ def test_mining_rules(spark):
     assert kinds == {"Q0": ("high_lexical", 1), "Q1": ("high_lexical", 2), "Q2": ("high_semantic", None)}
     alone = hits.where("NOT (qid = 'Q0' AND rank = 2)")
     assert [r["qid"] for r in mining.strict_filter(gold, alone).collect()] == ["Q0"]
+
+
+def test_stored_titles_are_found_by_row_groups(spark, plan, tmp_path):
+    rows = [(i, f"title {i % 50}", "x") for i in range(400)] + [(400, None, "x"), (401, "", "y")]
+    df = spark.createDataFrame(rows, "ord long, title string, text string")
+    path = str(tmp_path / "titles")
+    dataset.store_by_title(df, path)
+    found = dataset.find_stored_title(spark, path, "title 7")
+    assert sorted(r["ord"] for r in found.collect()) == list(range(7, 400, 50))
+    assert "EqualTo(title_key," in plan(found).split("PushedFilters:")[1]
+    assert [r["ord"] for r in dataset.find_stored_title(spark, path, "").collect()] == [401]
+    assert dataset.find_stored_title(spark, path, "no such title").count() == 0
+
+
+def test_attaching_fields_leaves_a_stored_lookup_in_place(spark, plan):
+    rows = [(i, f"t{i}", "body " * 50) for i in range(200)]
+    corpus = dataset.store_lookup(spark.createDataFrame(rows, "pid long, title string, text string"))
+    hits = spark.range(500).select((F.col("id") % 7).alias("qid"), (F.col("id") % 200).alias("pid"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = dataset.attach_passages(hits, corpus)
+        text = plan(joined)
+        assert joined.count() == 500
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("Exchange") == 1 and "Bucketed: true" in text

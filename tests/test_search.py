@@ -1,12 +1,15 @@
 """Search operators against brute force, with ties and in both physical forms."""
 
 import math
+import os
+import shutil
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from findry.operators import blockwise
 from findry.operators import embed as emb
 from findry.operators import lexical, vector
 from findry.operators.blockwise import _best
@@ -42,7 +45,7 @@ def brute(queries, items, k):
 def test_knn_ties_in_both_forms(crowd, k):
     queries, items = crowd
     want = brute(queries, items, k)
-    for df in (vector.knn_join(queries, items, k), vector.knn_join(queries, items, k, bound=4, item_block=50)):
+    for df in (vector.knn_join(queries, items, k), vector.knn_join(queries, items, k, bound=4)):
         got = hits_of(df)
         assert [g[:3] for g in got] == [w[:3] for w in want]
         assert np.allclose([g[3] for g in got], [w[3] for w in want], atol=2e-6)
@@ -78,21 +81,69 @@ def test_ivf_crowded_cell(crowd):
     assert all(len({cells[p] for q2, _, p, _ in hits_of(few) if q2 == q}) == 1 for q in range(9))
 
 
-def test_saved_index_prunes_and_counts(spark, crowd, plan, tmp_path):
+def test_many_queries_leave_the_items_where_they_are(crowd, plan, monkeypatch):
+    queries, items = crowd
+    stored = items.sparkSession.createDataFrame(items.collect(), items.schema)
+    text = plan(vector.knn_join(queries, stored, 5, bound=4))
+    # what is shuffled are hits, by query
+    assert text.count("Exchange") == text.count("Exchange hashpartitioning(qid")
+    assert text.count("MapInArrow") >= 3
+    monkeypatch.setattr(blockwise, "_CHUNKS_PER_PLAN", 2)
+    assert hits_of(vector.knn_join(queries, stored, 5, bound=2)) == hits_of(vector.knn_join(queries, stored, 5))
+
+
+def test_saved_index_prunes_by_probed_cells(spark, crowd, plan, tmp_path):
     queries, items = crowd
     path = str(tmp_path / "ivf")
     vector.save_ivf(vector.build_ivf(items, nlist=4, rounds=3), path)
     index = vector.load_ivf(spark, path)
     pruned = plan(index.rows.where("cluster_id IN (1, 2)")).split("PartitionFilters: [")[1]
     assert pruned.startswith("cluster_id") and " IN (1,2)]" in pruned
+    text = plan(vector.ivf_search(queries, index, 5, nprobe=1))
+    assert "dynamicpruningexpression(cluster_id" in text
+
+
+def test_append_that_breaks_off_leaves_the_index_readable(spark, crowd, tmp_path, monkeypatch):
+    queries, items = crowd
+    path = str(tmp_path / "ivf")
+    with pytest.raises(ValueError, match="no index"):
+        vector.load_ivf(spark, path)
+    vector.save_ivf(vector.build_ivf(items, nlist=4, rounds=3), path)
     extra = items.limit(1).withColumn("pid", F.lit("new"))
     vector.append_vectors(spark, path, extra)
+    with monkeypatch.context() as broken:
+        broken.setattr(vector, "_commit", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+        for job in (
+            lambda: vector.append_vectors(spark, path, extra),
+            lambda: vector.compact_ivf(spark, path),
+            lambda: vector.save_ivf(vector.load_ivf(spark, path), path),
+        ):
+            with pytest.raises(OSError):
+                job()
     assert vector.load_ivf(spark, path).rows.count() == 301
-    extra.withColumn("cluster_id", F.lit(0)).write.mode("append").partitionBy("cluster_id").parquet(path + "/rows")
-    with pytest.raises(ValueError, match="expected 301"):
+    gone = vector._last_commit(spark, path)["loads"][-1]
+    shutil.rmtree(vector._load_path(path, gone) + "/" + sorted(x for x in os.listdir(vector._load_path(path, gone)) if "=" in x)[0])
+    with pytest.raises(Exception, match="expected 301|infer schema|UNABLE_TO_INFER"):
         vector.load_ivf(spark, path)
 
 
+def test_compaction_keeps_the_latest_rows(spark, crowd, tmp_path):
+    queries, items = crowd
+    path = str(tmp_path / "ivf")
+    old = items.withColumn("embedding", F.transform("embedding", lambda x: x * 0.5))
+    vector.save_ivf(vector.build_ivf(old, nlist=3, rounds=2), path)
+    for part in range(3):
+        vector.append_vectors(spark, path, items.where(F.substring("pid", -1, 1) % 3 == part))
+    files = lambda: len(vector.load_ivf(spark, path).rows.inputFiles())
+    before = files()
+    vector.compact_ivf(spark, path, keep=F.col("pid") != "P000")
+    index = vector.load_ivf(spark, path)
+    assert files() < before and index.rows.count() == 299
+    assert hits_of(vector.ivf_search(queries, index, 9, nprobe=3)) == hits_of(
+        vector.knn_join(queries, items.where("pid != 'P000'"), 9)
+    )
+
+
 def test_pq_is_exact_with_enough_codes(spark):
     points = [(i, [float(i % 4), float(i // 4)]) for i in range(16)]
     items = spark.createDataFrame(points, "pid long, embedding array<float>")
