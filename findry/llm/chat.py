@@ -92,6 +92,30 @@ def read_turns(formatted: Column) -> Column:
     )
 
 
+def loss_texts(formatted: Column, runs: Column) -> Column:
+    """The pieces of a formatted text under its loss mask, in order, with their escapes undone.
+
+    ``runs`` are run lengths ``(chars, loss)`` in code points from the start.
+    """
+    spans = F.aggregate(
+        runs,
+        F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("pieces")),
+        lambda state, run: F.struct(
+            (state["at"] + run["chars"]).alias("at"),
+            F.when(
+                run["loss"],
+                F.concat(
+                    state["pieces"],
+                    F.array(unescape(F.substring(formatted, state["at"], run["chars"]))),
+                ),
+            )
+            .otherwise(state["pieces"])
+            .alias("pieces"),
+        ),
+    )
+    return spans["pieces"]
+
+
 def _same(formatted: Column, source: Column) -> Column:
     """Which turns read back as they are in the source; a turn too many is not."""
     return F.zip_with(

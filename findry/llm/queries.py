@@ -38,8 +38,10 @@ def op1_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     formatted = chat.format_conversations(rows.unionByName(own))
     read = formatted.withColumn("turns", chat.read_turns(F.col("formatted")))
-    spoken = F.filter("turns", lambda t: t["role"] == "assistant")
-    loss = F.array_join(F.transform(spoken, lambda t: t["text"]), "")
+    read = read.withColumn(
+        "loss", F.array_join(chat.loss_texts(F.col("formatted"), F.col("loss_runs")), "")
+    )
+    loss = F.col("loss")
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return read.select(
         "conv_id",
