@@ -195,19 +195,28 @@ def _has_letter(texts: pd.Series) -> pd.Series:
     return texts.map(lambda text: len(gram_codes(text or "")) > 0).astype(bool)
 
 
-def reject_unknown(docs: DataFrame) -> DataFrame:
+#: The least score of a text whose language counts as known.
+LEAST_SCORE = 0.25
+
+
+def reject_unknown(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """``docs`` without the documents in which no language can be made out.
 
-    These are the texts that are null or have no letter. If no language was
-    learned (no labelled document outside the held-out fold), all others stay.
+    These are the texts that are null or have no letter (score 0), and those
+    whose n-grams lie out of place in every profile: the score of the nearest
+    one, the predicted language, is below ``least_score`` (above 0). Texts of
+    a learned language score 0.5 and more, also short ones; an unlearned
+    script has no n-gram in common with any profile and scores 0. If no
+    language was learned (no labelled document outside the held-out fold), all
+    texts with letters stay. An empty table stays empty.
     """
+    if least_score <= 0:
+        raise ValueError("least_score must be above 0")
     rows = held_out(docs.select("doc_id", "text", "lang"))
     profiles = materialize(learn_profiles(rows.where("not held_out")), "profiles")
     if profiles.isEmpty():
         return docs.where(_has_letter("text"))
     aside = {c: f"__{c}" for c in docs.columns if c in ("lang_pred", "score")}
     found = identify(docs.withColumnsRenamed(aside), profiles)
-    # a text with letters has a score above 0, also where a language is called "und"
-    known = (F.col("lang_pred") != UNKNOWN) | (F.col("score") > 0)
-    kept = found.where(known).drop("lang_pred", "score")
+    kept = found.where(F.col("score") >= least_score).drop("lang_pred", "score")
     return kept.withColumnsRenamed({b: a for a, b in aside.items()}).select(*docs.columns)

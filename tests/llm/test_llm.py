@@ -711,6 +711,21 @@ def test_unlearned_languages_reject_only_texts_without_letters(spark):
     assert {r["doc_id"] for r in langid.reject_unknown(named).collect()} == {1, 4, 11, 14}
 
 
+def test_rejection_follows_the_profiles(spark):
+    words = {"en": "the of and to in that it was for on", "el": "και το να του η της με που την από"}
+    docs = [(i, " ".join(random.Random(i).choices(words[lang].split(), k=30)), lang)
+            for i in range(40) for lang in ["en" if i % 2 else "el"]]
+    schema = "doc_id long, text string, lang string"
+    both = spark.createDataFrame(docs, schema)
+    assert langid.reject_unknown(both).count() == 40
+    # with profiles of English alone, the Greek texts are in no known language
+    unlabelled = [(i, t, lang if lang == "en" else None) for i, t, lang in docs]
+    kept = langid.reject_unknown(spark.createDataFrame(unlabelled, schema)).collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(1, 40, 2))
+    with pytest.raises(ValueError):
+        langid.reject_unknown(both, least_score=0)
+
+
 def test_language_without_training_or_rows(spark, none, docs, rows):
     out = langid.identify_documents(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in out.collect()} == {"und"}
