@@ -109,9 +109,15 @@ def build_corpus(df: DataFrame, fill: str = ".", prefix: str = "C") -> DataFrame
 
 
 def build_queries(df: DataFrame, text: str = "title", prefix: str = "Q") -> DataFrame:
-    """Distinct query texts with dense first-seen ids: ``(qid, text, ord)``."""
-    firsts = df.groupBy(F.col(text).alias("text")).agg(F.min("ord").alias("ord"))
-    numbered = dense_index(firsts, ["ord"], "_n")
+    """Distinct query texts with dense first-seen ids: ``(qid, text, ord)``.
+
+    Texts are grouped by their key; they move once, to the first row's number.
+    """
+    keyed = df.select("ord", content_key(F.col(text)).alias("_key"))
+    firsts = keyed.groupBy("_key").agg(F.min("ord").alias("ord")).select("ord")
+    numbered = dense_index(firsts, ["ord"], "_n").join(
+        df.select("ord", F.col(text).alias("text")), "ord"
+    )
     return numbered.select(make_id(prefix, F.col("_n")).alias("qid"), "text", "ord")
 
 
@@ -212,13 +218,14 @@ def attach_negatives(
 
 def restrict_examples(examples: DataFrame, queries: DataFrame) -> DataFrame:
     """Examples whose question is one of the given query texts."""
-    wanted = queries.select(F.col("text").alias("question")).distinct()
-    return examples.join(wanted, "question", "left_semi")
+    wanted = queries.select(content_key(F.col("text")).alias("_key")).distinct()
+    return examples.join(wanted, content_key(F.col("question")) == F.col("_key"), "left_semi")
 
 
 def distinct_questions(examples: DataFrame) -> DataFrame:
     """The distinct question texts."""
-    return examples.select("question").distinct()
+    by_key = examples.groupBy(content_key(F.col("question")).alias("_key"))
+    return by_key.agg(F.first("question").alias("question")).select("question")
 
 
 def clean_generated_queries(df: DataFrame) -> DataFrame:
@@ -285,7 +292,7 @@ def dataset_card(
 
     card = count(corpus, "corpus", F.count("*"))
     card = card.unionByName(count(queries, "queries", F.count("*")))
-    card = card.unionByName(count(queries, "distinct_questions", F.countDistinct("text")))
+    card = card.unionByName(count(queries, "distinct_questions", F.countDistinct(content_key(F.col("text")))))
     card = card.unionByName(count(qrels, "pairs", F.count("*")))
     card = card.unionByName(count(qrels, "judged_queries", F.countDistinct("qid")))
     if split:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findry.operators.indexing import index_within
-from findry.functions.text import truncate
+from findry.functions.text import content_key, truncate
 
 # The context template and the system prompt, in the source language.
 CONTEXT_TEMPLATE = "제목: {title}, 요약문: {text}"
@@ -78,11 +78,15 @@ def chat_history(conversations: DataFrame) -> DataFrame:
     """``(conv_id, place, role, content)``: all messages of a conversation in turn order.
 
     System turns are left out. One row per message, numbered from 0, so a
-    conversation of any length is gathered nowhere.
+    conversation of any length is gathered nowhere. Turns that tie go by role,
+    by the first 64 code points of their text, then by its key.
     """
     turns = conversations.where(F.col("role").isin("user", "assistant"))
     turns = turns.select("conv_id", "turn", "role", F.col("text").alias("content"))
-    placed = index_within(turns, "conv_id", ["turn", "role", "content"], "place")
+    turns = turns.withColumns(
+        {"_head": F.substring("content", 1, 64), "_key": content_key(F.col("content"))}
+    )
+    placed = index_within(turns, "conv_id", ["turn", "role", "_head", "_key"], "place")
     return placed.select("conv_id", "place", "role", "content")
 
 

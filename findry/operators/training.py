@@ -123,12 +123,20 @@ def example_texts(sampled: DataFrame, normalize: bool = True, key: str = "qid")
 
 
 def assign_batches(df: DataFrame, order: list[str], size: int) -> DataFrame:
-    """Add ``batch`` and ``slot`` by position in ``order``; a batch has ``size`` rows."""
+    """Add ``batch`` and ``slot`` by position in ``order``; a batch has ``size`` rows.
+
+    ``order`` identifies a row. Only its columns are sorted and numbered; the
+    rows themselves move once, to meet their numbers.
+    """
+    keys = [f"_key{i}" for i in range(len(order))]
+    narrow = df.select(*(F.col(c).alias(key) for c, key in zip(order, keys, strict=True)))
+    numbered = dense_index(narrow, keys, "_idx")
+    same = [F.col(c).eqNullSafe(F.col(key)) for c, key in zip(order, keys, strict=True)]
     return (
-        dense_index(df, order, "_idx")
+        df.join(numbered, same)
         .withColumn("batch", F.floor(F.col("_idx") / size))
         .withColumn("slot", (F.col("_idx") % size).cast("int"))
-        .drop("_idx")
+        .drop("_idx", *keys)
     )
 
 

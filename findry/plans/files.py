@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findry.operators import dataset, metrics
@@ -223,6 +225,45 @@ def _read_mixture(spark, sf):
     )
 
 
+def _some_of_mixture(spark, sf, *reads):
+    """Token rows per language, stored in three files by ``ord`` modulo 3, read in some way."""
+    root = scratch_path(spark, "mixture")
+    langs = table(spark, sf, "documents").select("doc_id", "lang")
+    rows = token_rows(spark, sf).join(langs, "doc_id").withColumnRenamed("doc_id", "ord")
+    rows = rows.withColumn("third", F.col("ord") % 3).repartition("third")
+    rows.write.partitionBy("lang", "third").parquet(root)
+    names = [r[0] for r in langs.select("lang").distinct().collect()]
+    folders = {name: os.path.join(root, f"lang={name}") for name in names}
+    parts = [
+        readers.read_mixture(spark, folders, **how).withColumn("part", F.lit(part))
+        for part, how in enumerate(reads)
+    ]
+    return reduce(DataFrame.unionByName, parts).select(
+        "part", "dataset", "ord", F.size("tokens").cast("long").alias("n")
+    )
+
+
+@query(
+    "read_mixture_first_file",
+    f"""WITH {TOKENS_SQL}
+SELECT 0 AS part, lang AS dataset, doc_id AS ord, len(tokens)::BIGINT AS n
+FROM tok JOIN documents USING (doc_id) WHERE doc_id % 3 = 0""",
+)
+def _mixture_single(spark, sf):
+    return _some_of_mixture(spark, sf, {"mode": "single"})
+
+
+@query(
+    "read_mixture_split",
+    f"""WITH {TOKENS_SQL}
+SELECT (doc_id % 3)::INT AS part, lang AS dataset, doc_id AS ord, len(tokens)::BIGINT AS n
+FROM tok JOIN documents USING (doc_id)""",
+)
+def _mixture_split(spark, sf):
+    shards = ({"mode": "split", "shard": i, "shards": 3} for i in range(3))
+    return _some_of_mixture(spark, sf, *shards)
+
+
 @query(
     "read_saved_run",
     f"{_TITLE_RUN_SQL}, {metrics_sql((1, 5, 10))} SELECT * FROM result",
