@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from findry.functions.rand import hash_order, uniform, uniform_of
 from findry.functions.text import let, normalize_text, passage_text
-from findry.functions.tokens import mask_to, pad_to
+from findry.functions.tokens import add_bos_eos, augment, mask_to, pad_to, random_crop
 from findry.operators.blockwise import (
     QUERY_BOUND,
     arrow_type,
@@ -21,6 +21,7 @@ from findry.operators.blockwise import (
     vectors_of,
 )
 from findry.operators.indexing import dense_index, prefix_sum
+from findry.session import materialize
 
 
 def chunk_tokens(
@@ -166,6 +167,53 @@ def pad_mask(df: DataFrame, batch: str = "batch") -> DataFrame:
     )
 
 
+def contrastive_pairs(
+    docs: DataFrame,
+    order: list[str],
+    length: int,
+    batch_size: int,
+    epoch: int,
+    seed: str = "pairs",
+    crop: tuple[float, float] = (0.125, 0.5),
+    kind: str = "mask",
+    share: float = 0.1,
+    borders: tuple[int | None, int | None] = (101, 102),
+    vocabulary: tuple[int, int] = (5, 99),
+) -> DataFrame:
+    """Two views of every chunk of a token stream, batched: an epoch of contrastive pairs.
+
+    ``docs`` has ``tokens`` and the columns of ``order``. The stream is cut
+    into chunks of ``length`` from an offset that the epoch draws. A chunk
+    gives a query and a key: two random crops of it, augmented, with borders.
+    The result has ``chunk_id``, ``side`` (0 query, 1 key), ``batch``, ``slot``,
+    ``tokens`` padded to the longest of the side in its batch, and ``mask``.
+    All draws depend on seed, epoch and chunk alone.
+    """
+    stored = materialize(docs, "pair-tokens")
+    spark = docs.sparkSession
+    drawn = F.floor(uniform(f"{seed}-offset", F.lit(epoch)) * length).cast("int")
+    offset = spark.range(1).select(drawn).first()[0]
+    chunks = materialize(chunk_tokens(stored, length, offset, order), "pair-chunks")
+    numbered = assign_batches(chunks, ["chunk_id"], batch_size)
+
+    def view(side: int) -> Column:
+        name = f"{seed}-{epoch}-{side}"
+        cut = random_crop(F.col("tokens"), *crop, name, F.col("chunk_id"))
+        low, high = vocabulary
+        changed = augment(cut, kind, share, name, F.col("chunk_id"), low=low, high=high)
+        return add_bos_eos(changed, *borders)
+
+    sides = [
+        numbered.select(
+            "chunk_id", F.lit(side).alias("side"), "batch", "slot", view(side).alias("tokens")
+        )
+        for side in (0, 1)
+    ]
+    views = sides[0].unionByName(sides[1]).withColumn("_group", F.struct("batch", "side"))
+    # widths need the batch, so the views are stored before they are padded
+    return pad_mask(materialize(views, "pair-views"), "_group").drop("_group")
+
+
 def sample_mixture(
     df: DataFrame,
     weights: DataFrame,

@@ -171,6 +171,45 @@ def _padded(spark, sf):
     )
 
 
+_PAIR_SQL = " UNION ALL ".join(
+    f"""SELECT chunk_id, {side} AS side, i, CASE WHEN {uniform_sql(f"pairs-3-{side}", "chunk_id", "i")} > 0.1
+      THEN t ELSE 103 END AS t
+    FROM (SELECT chunk_id, unnest(c) AS t, unnest(range(len(c))) AS i
+      FROM (SELECT chunk_id, {_crop_sql(f"pairs-3-{side}", 0.125, 0.5).replace("doc_id", "chunk_id")} AS c FROM sized))"""
+    for side in (0, 1)
+)
+
+
+@query(
+    "contrastive_pairs",
+    f"""WITH {TOKENS_SQL},
+flat AS (SELECT doc_id, unnest(tokens) AS t, unnest(range(len(tokens))) AS i FROM tok),
+stream AS (SELECT t, row_number() OVER (ORDER BY doc_id, i) - 1 - floor({uniform_sql("pairs-offset", "3")} * 256)::INT AS pos
+  FROM flat),
+sized AS (SELECT (pos // 256)::BIGINT AS chunk_id, list(t ORDER BY pos) AS tokens, 256 AS n
+  FROM stream WHERE pos >= 0 GROUP BY pos // 256 HAVING count(*) = 256),
+views AS (SELECT chunk_id, side, list_concat([101], list(t ORDER BY i), [102]) AS tokens
+  FROM ({_PAIR_SQL}) GROUP BY ALL),
+batched AS (SELECT *, (row_number() OVER (PARTITION BY side ORDER BY chunk_id) - 1) // 16 AS batch FROM views),
+longest AS (SELECT batch, side, max(len(tokens)) AS m FROM batched GROUP BY ALL)
+SELECT chunk_id, side, batch::BIGINT AS batch, ((row_number() OVER (PARTITION BY side ORDER BY chunk_id) - 1) % 16)::INT AS slot,
+  {_digest_sql("list_concat(tokens, list_transform(range(m - len(tokens)), lambda x: 0))")} AS tokens,
+  len(tokens) AS ones, m AS width
+FROM batched JOIN longest USING (batch, side)""",
+)
+def _pairs(spark, sf):
+    views = training.contrastive_pairs(token_rows(spark, sf), ["doc_id"], 256, 16, epoch=3)
+    return views.select(
+        "chunk_id",
+        "side",
+        "batch",
+        "slot",
+        _digest("tokens").alias("tokens"),
+        F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("ones"),
+        F.size("mask").cast("long").alias("width"),
+    )
+
+
 # -- examples: positives are a title's bodies, negatives hash neighbours -----
 # 64 neighbouring documents form a pool; the pool rows that follow a document
 # in hash order serve as its random and hard negatives
