@@ -196,6 +196,27 @@ def _strict(spark, sf):
     return mining.strict_filter(dataset.first_gold(qrels), hits)
 
 
+@query(
+    "strict_filter_of_rare_words",
+    f"""WITH corpus AS (SELECT doc_id AS pid, text FROM documents),
+held AS (SELECT DISTINCT pid, unnest({tokens_sql("text")}) AS term FROM corpus),
+counted AS (SELECT term, count(*) AS n FROM held GROUP BY term),
+queries AS (SELECT pid AS qid, term AS text FROM (
+  SELECT pid, term, row_number() OVER (PARTITION BY pid ORDER BY n, term) AS r FROM held JOIN counted USING (term))
+  WHERE r = 1), {bm25_sql(10)}
+SELECT qid, qid AS gold FROM queries q WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.qid = q.qid AND h.pid <> q.qid)""",
+)
+def _strict_rare(spark, sf):
+    # each document is asked for by its rarest word; copies find each other
+    corpus, _ = _bench(spark, sf)
+    index = lexical.build_index(corpus)
+    words = index.postings().select("pid", "term").join(index.vocabulary, "term")
+    rarest = words.groupBy("pid").agg(F.min(F.struct("df", "term")).alias("best"))
+    queries = materialize(rarest.select(F.col("pid").alias("qid"), F.col("best.term").alias("text")))
+    hits = lexical.bm25_search(queries, index, 10)
+    return mining.strict_filter(queries.select("qid", F.col("qid").alias("gold")), hits)
+
+
 @query(
     "strict_filter_on_first_hit",
     f"""WITH {LEXICAL_SQL}
