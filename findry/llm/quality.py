@@ -108,7 +108,9 @@ def fit_classifier(
     """A classifier from at most ``max_labelled`` labelled documents, drawn by hash of the id.
 
     A document labelled more than once counts with its mean label, half and
-    above as good. Without any label every document gets one half.
+    above as good. Of rows that repeat a labelled id the one with the least
+    features (in order) counts, so reruns agree. Without any label every
+    document gets one half.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
     known = known.groupBy(F.col(key).alias("id")).agg(F.avg(label).alias("good"))
@@ -117,15 +119,17 @@ def fit_classifier(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(x.as_py()) for x in batch.column(1)]
+            rows = [features(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["good", "x"]
+                [*batch.columns[:2], pa.array(rows, pa.list_(pa.float64()))], ["id", "good", "x"]
             )
 
-    # at most max_labelled ids
+    # at most max_labelled ids, one row of each
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    rows = rows.join(F.broadcast(drawn), "id").select("good", "text")
-    found = rows.mapInArrow(run, "good double, x array<double>").limit(2 * max_labelled).toArrow()
+    rows = rows.join(F.broadcast(drawn), "id").select(F.xxhash64("id").alias("id"), "good", "text")
+    found = rows.mapInArrow(run, "id long, good double, x array<double>")
+    found = found.groupBy("id").agg(F.first("good").alias("good"), F.min("x").alias("x"))
+    found = found.orderBy("id").toArrow()
     matrix = np.array(found.column("x").to_pylist(), float).reshape(-1, N_FEATURES)
     return Logistic(matrix, (found.column("good").to_numpy() >= 0.5).astype(float))
 
@@ -208,7 +212,8 @@ def score_quality(
     columns; null is a site of its own. ``score`` is the probability that the
     document is good: its own odds times the odds of its path over the global
     odds. ``kept`` from ``threshold`` on. A null or empty text is judged by its
-    empty features. Repeated rows are judged alike and count each.
+    empty features, a very long one as a whole. Repeated rows are judged alike
+    and count each. An empty table gives an empty result.
     """
     model = fit_classifier(docs, labels, max_labelled=max_labelled)
     rows = docs.select(

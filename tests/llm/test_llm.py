@@ -180,6 +180,58 @@ def test_quality_on_held_out_labels(spark, sf):
     assert len(seen) > 20 and right / len(seen) >= 0.95
 
 
+def test_quality_like_plain_python(spark, rows):
+    rng = random.Random(5)
+    docs = [(i, t, l, s) for i, t, l, s, _ in rows] + [(3, "again", "en", "s1"), (3, "Again!", "de", None)]
+    labels = [(i, rng.randrange(2)) for i in range(0, 60)] + [(3, 1), (3, 0), (None, 1), (5, None), (9999, 1)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    out = quality.score_quality(
+        frame.repartition(3), spark.createDataFrame(labels, "doc_id long, quality int")
+    ).collect()
+    marks = {}
+    for i, q in labels:
+        if i is not None and q is not None:
+            marks.setdefault(i, []).append(q)
+    own = {}
+    for i, t, _, _ in docs:
+        if i in marks:
+            own[i] = min(own.get(i, [np.inf]), quality.features(t))
+    ids = sorted(own)
+    good = np.array([float(np.mean(marks[i]) >= 0.5) for i in ids])
+    model = quality.Logistic(np.array([own[i] for i in ids]), good)
+    evidence = [float(model(np.array([quality.features(t)]))[0]) for _, t, _, _ in docs]
+
+    def sums(key):
+        found = {}
+        for (_, _, lang, source), e in zip(docs, evidence, strict=True):
+            n, s = found.get(key(source, lang), (0, 0.0))
+            found[key(source, lang)] = (n + 1, s + e)
+        return found
+
+    def strength(groups, above):
+        between = sum(n * ((s / n - above[k]) ** 2 - above[k] * (1 - above[k]) / n) for k, (n, s) in groups.items())
+        whole = sum(n * above[k] * (1 - above[k]) for k, (n, _) in groups.items())
+        return 1 / max(1e-4, min(0.5, between / whole)) - 1
+
+    mean = sum(evidence) / len(evidence)
+    hosts = sums(lambda source, lang: source)
+    weight = strength(hosts, dict.fromkeys(hosts, mean))
+    host = {k: (s + weight * mean) / (n + weight) for k, (n, s) in hosts.items()}
+    paths = sums(lambda source, lang: (source, lang))
+    weight = strength(paths, {k: host[k[0]] for k in paths})
+    path = {k: (s + weight * host[k[0]]) / (n + weight) for k, (n, s) in paths.items()}
+    logit = lambda p: np.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    expected = []
+    for (i, _, lang, source), e in zip(docs, evidence, strict=True):
+        p = path[source, lang]
+        expected.append((i, e, host[source], p, 1 / (1 + np.exp(-(logit(e) + logit(p) - logit(mean))))))
+    found = sorted((tuple(r)[:5] for r in out), key=lambda r: (r[0], r[1]))
+    expected.sort(key=lambda r: (r[0], r[1]))
+    assert [r[0] for r in found] == [r[0] for r in expected]
+    assert np.allclose([r[1:] for r in found], [r[1:] for r in expected], atol=1e-6)
+    assert all(r["kept"] == (r["score"] >= 0.5) for r in out)
+
+
 def test_quality_posteriors_shrink_by_size(spark):
     rows = [("big", "x", 0.2)] * 400 + [("small", "x", 0.2)] * 2 + [("rest", "y", 0.9)] * 400
     rows += [(None, None, 0.9)] * 3
