@@ -255,7 +255,8 @@ def encode(
     Each match of ``pattern`` is encoded separately; no special tokens. Null
     and empty texts have no ids. A column already named like ``ids`` is
     replaced. Texts that no token can spell do not exist: every single byte is
-    a token. Rows stay where they are; nothing is shuffled.
+    a token. A very long text is encoded as a whole, within its task; an empty
+    table gives an empty result. Rows stay where they are; nothing is shuffled.
     """
     return _with_binary(docs, text, ids, ranks, pattern, "encode")
 
@@ -264,7 +265,10 @@ def decode(
     rows: DataFrame, ranks: dict[bytes, int], pattern: str, *, ids: str = "ids",
     decoded: str = "decoded",
 ) -> DataFrame:
-    """``rows`` with ``decoded``: the bytes that the ids stand for. Null ids: no bytes."""
+    """``rows`` with ``decoded``: the bytes that the ids stand for.
+
+    Null ids: no bytes. An empty table gives an empty result.
+    """
     return _with_binary(rows, ids, decoded, ranks, pattern, "decode")
 
 

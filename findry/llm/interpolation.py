@@ -262,7 +262,7 @@ def score_documents(
     is counted. A null or empty text is one end token. ``base_score`` is the
     log10 probability by add-half unigrams, ``score`` by the mixture. Repeated
     rows are documents of their own. Without training documents every token is
-    unknown. Other columns are not read.
+    unknown. An empty table gives an empty result. Other columns are not read.
 
     Counts grow with the corpus and stay in the shards; the driver holds the
     totals and at most one row for each bucket and pair of grained estimates.

@@ -148,7 +148,8 @@ def identify(
     text if no language was learned. Equal distances go to the language that
     comes first in code point order. Columns of ``docs`` named like the two
     new ones are replaced. The profiles shipped to the tasks hold at most
-    ``max_languages * size`` rows; more languages raise an error.
+    ``max_languages * size`` rows; more languages raise an error. A very long
+    text is counted as a whole, within its task; an empty table stays empty.
     """
     rows = profiles.limit(max_languages * size + 1).collect()
     if len(rows) > max_languages * size:

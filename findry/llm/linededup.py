@@ -43,7 +43,7 @@ def drop_common_lines(
     ``min_docs`` rows lose all their lines; the others stay in place, joined by
     line feeds. Every row counts as a document of its own, also a repeated one.
     A null or empty text is one empty line; a null text stays null. A text all
-    of whose lines go becomes empty. Existing columns ``n_lines`` and
+    of whose lines go becomes empty. An empty table gives an empty result. Existing columns ``n_lines`` and
     ``n_dropped`` are replaced, all others pass through.
 
     Lines are compared by 128 bits of hash. Only hashes and positions are
