@@ -277,14 +277,15 @@ def _saved_run(spark, sf):
 
 @query(
     "read_nested_results",
-    f"{_HITS_SQL} SELECT qid, count(*) AS n, round(sum(score), 6) AS total FROM full_hits GROUP BY qid",
+    f"{_HITS_SQL} SELECT qid, pid::VARCHAR AS id, md5(title || '|' || text) AS digest, score FROM full_hits",
 )
 def _nested_results(spark, sf):
     path = scratch_path(spark, "results")
     writers.write_results(pack_ctxs(full_hits(spark, sf)[1]), path)
     rows = spark.read.json(path, schema="qid long, ctxs array<struct<id:string,title:string,text:string,score:string>>")
-    total = F.aggregate("ctxs", F.lit(0.0), lambda a, c: a + c["score"].cast("double"))
-    return rows.select("qid", F.size("ctxs").cast("long").alias("n"), F.round(total, 6).alias("total"))
+    each = rows.select("qid", F.inline("ctxs"))
+    digest = F.md5(F.concat("title", F.lit("|"), "text")).alias("digest")
+    return each.select("qid", "id", digest, F.col("score").cast("double").alias("score"))
 
 
 _VECTOR_TABLE_SQL = """late AS (SELECT doc_id FROM labels),

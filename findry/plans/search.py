@@ -360,9 +360,11 @@ def _overlap(spark, sf):
 @query(
     "attach_mined_negatives",
     f"""WITH {LEXICAL_SQL},
-mined AS (SELECT h.qid, count(*) AS n FROM hits h JOIN gold g ON g.qid = h.qid AND g.gold <> h.pid GROUP BY h.qid),
-positives AS (SELECT qid, count(*) AS n FROM qrels GROUP BY qid)
-SELECT q.text AS question, p.n AS positives, coalesce(m.n, 0) AS negatives
+mined AS (SELECT h.qid, string_agg(md5(c.title || '|' || c.text), ',' ORDER BY h.rank) AS d
+  FROM hits h JOIN gold g ON g.qid = h.qid AND g.gold <> h.pid JOIN corpus c ON c.pid = h.pid GROUP BY h.qid),
+positives AS (SELECT r.qid, string_agg(md5(c.title || '|' || c.text), ',' ORDER BY r.ord, r.pid) AS d
+  FROM qrels r JOIN corpus c ON c.pid = r.pid GROUP BY r.qid)
+SELECT q.text AS question, p.d AS positives, coalesce(m.d, '') AS negatives
 FROM queries q JOIN positives p USING (qid) LEFT JOIN mined m USING (qid)""",
 )
 def _attach_negatives(spark, sf):
@@ -370,11 +372,12 @@ def _attach_negatives(spark, sf):
     examples = dataset.nest_examples(dataset.build_examples(qrels, queries, corpus))
     mined = mining.mine_negatives(dataset.first_gold(qrels), hits, queries, corpus)
     full = dataset.attach_negatives(examples, mined)
-    return full.select(
-        "question",
-        F.size("positive_ctxs").cast("long").alias("positives"),
-        F.coalesce(F.size("negative_ctxs"), F.lit(0)).cast("long").alias("negatives"),
-    )
+
+    def digest(ctxs: str):
+        each = F.transform(ctxs, lambda c: F.md5(F.concat(c["title"], F.lit("|"), c["text"])))
+        return F.coalesce(F.array_join(each, ","), F.lit("")).alias(ctxs.split("_")[0] + "s")
+
+    return full.select("question", digest("positive_ctxs"), digest("negative_ctxs"))
 
 
 @query(
@@ -428,25 +431,25 @@ def _knn_blocked(spark, sf):
 
 @query(
     "l2_normalize",
-    f"""SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) /
-  sqrt({dot_sql("embedding", "embedding")}), 6) AS total FROM embeddings""",
+    f"""SELECT vec_id, unnest(range(len(embedding)))::INT AS place, round(unnest(embedding)::DOUBLE /
+  sqrt({dot_sql("embedding", "embedding")}), 6) AS x FROM embeddings""",
 )
 def _l2(spark, sf):
     unit = vectors(spark, sf).select("pid", l2_normalize(F.col("embedding")).alias("u"))
-    total = F.aggregate("u", F.lit(0.0), lambda a, x: a + x)
-    return unit.select(F.col("pid").alias("vec_id"), F.round(total, 6).alias("total"))
+    places = unit.select(F.col("pid").alias("vec_id"), F.posexplode("u").alias("place", "x"))
+    return places.withColumn("x", F.round("x", 6))
 
 
 @query(
     "fetch_vectors",
-    """SELECT vec_id AS pid, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total
+    """SELECT vec_id AS pid, unnest(range(len(embedding)))::INT AS place, unnest(embedding)::DOUBLE AS value
 FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels WHERE quality = 1)""",
 )
 def _fetch(spark, sf):
     wanted = table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("pid"))
     found = vector.fetch_vectors(vectors(spark, sf), wanted)
-    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return found.select("pid", F.round(total, 6).alias("total"))
+    places = found.select("pid", F.posexplode("embedding").alias("place", "value"))
+    return places.withColumn("value", F.col("value").cast("double"))
 
 
 @query(
