@@ -40,8 +40,8 @@ _SCORE_SCALE = 1e6  # scores are ranked after rounding to six decimals
 _QUERY_SLICE = 512
 _ITEM_SLICE = 8192
 _PAIRS_PER_CORE = 4
-# scans that one plan holds
-_CHUNKS_PER_PLAN = 32
+# scans that one plan holds; the driver keeps that many query blocks
+_CHUNKS_PER_PLAN = 8
 
 
 class Scorer(Protocol):
