@@ -6,6 +6,7 @@ import shutil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,3 +262,49 @@ def test_plugged_encoder_keeps_rows_in_order(spark):
     df = spark.range(50).select("id", F.expr("repeat('x', cast(id as int))").alias("text"))
     rows = emb.embed(df, "text", encoder=encoder, batch_size=3).collect()
     assert all(r["embedding"] == [float(r["id"])] for r in rows) and len(rows) == 50
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 64])
+def test_bm25_sums_in_all_forms(spark, monkeypatch, cells):
+    # 64: queries of few products are sorted, the others take rows of places
+    monkeypatch.setattr(lexical, "_CELLS", cells)
+    monkeypatch.setattr(lexical, "_GROUP", 4)
+    monkeypatch.setattr(lexical, "_HEAVY", 2)
+    draw = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in draw.zipf(1.3, 12) % 60) for _ in range(150)]
+    asked = [" ".join(t.split()[:n]) for n, t in zip([1, 2, 3, 9] * 10, texts)]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "pid long, text string").repartition(2)
+    queries = spark.createDataFrame(list(enumerate(asked)), "qid long, text string")
+    bags = [t.split() for t in texts]
+    df = {w: sum(w in b for b in bags) for b in bags for w in b}
+    want = []
+    for q, text in enumerate(asked):
+        score = {}
+        for p, bag in enumerate(bags):
+            parts = [
+                math.log(1 + (150 - df[w] + 0.5) / (df[w] + 0.5)) * bag.count(w) / (bag.count(w) + 0.9)
+                for w in text.split()
+            ]
+            if sum(parts):
+                score[p] = round(sum(parts), 6)
+        best = sorted(score, key=lambda p: (-score[p], p))[:7]
+        want += [(q, i + 1, p, score[p]) for i, p in enumerate(best)]
+    got = hits_of(lexical.bm25_search(queries, lexical.build_index(corpus), 7))
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3] for g in got], [w[3] for w in want], atol=2e-6)
+
+
+def test_a_task_inverts_its_blocks():
+    terms = [[("b", 1), ("a", 2)], [("a", 1)], [("c", 3)]]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([2, 3, 4]), pa.array([3, 1, 3], pa.int32()),
+         pa.array([[{"term": t, "tf": n} for t, n in row] for row in terms])],
+        ["doc", "dl", "terms"],
+    )
+    # blocks of four places; a block that goes on in the next batch is one block
+    made = [r for x in lexical._inverted(2)(iter([batch.slice(0, 1), batch.slice(1, 2)])) for r in x.to_pylist()]
+    assert sorted((r["term"], r["block"], r["places"], r["lengths"], r["counts"]) for r in made) == [
+        ("a", 0, [2, 3], [3, 1], [2, 1]),
+        ("b", 0, [2], [3], [1]),
+        ("c", 1, [0], [3], [3]),
+    ]
