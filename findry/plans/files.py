@@ -150,6 +150,9 @@ def _read_examples_cap(spark, sf):
     return readers.read_examples(spark, [path, path], maxload=cap).agg(F.count("*").alias("n"))
 
 
+_RECORDS = 500  # of a generation step's file; a reader holds a file as a whole
+
+
 @query(
     "read_generations",
     """SELECT doc_id::VARCHAR AS doc_id, md5(text) AS input, md5('1. ' || text) AS content, 'summary' AS input_type
@@ -164,13 +167,9 @@ def _generations(spark, sf):
         F.struct(F.lit("assistant").alias("role"), F.concat(F.lit("1. "), "text").alias("content")).alias("generated_text"),
         F.struct(F.lit("summary").alias("input_type"), F.lit("m").alias("model"), F.lit("").alias("response")).alias("metadata"),
     )
-    writers.write_results(records, path)
+    writers.write_results(records, path, per_file=_RECORDS)
     # one JSON array per file, as the generation step writes it
-    lines = spark.read.text(path, wholetext=True)
-    arrays = lines.select(
-        F.concat(F.lit("["), F.array_join(F.split(F.trim(F.rtrim("value"), F.lit("\n")), "\n"), ","), F.lit("]")).alias("value")
-    )
-    arrays.write.text(path + "-arrays")
+    writers.write_arrays(spark, path, path + "-arrays")
     rows = readers.read_generations(spark, path + "-arrays")
     return rows.select(
         "doc_id",

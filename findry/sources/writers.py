@@ -63,15 +63,39 @@ def write_qrels(
     writer.csv(path, header=True, **_TSV)
 
 
-def write_examples(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Training examples as JSON lines; absent context lists are left out of the record."""
+def write_examples(
+    df: DataFrame, path: str, mode: str = "overwrite", compression: str = "lz4"
+) -> None:
+    """Training examples as JSON lines; absent context lists are left out of the record.
+
+    A passage stands in many records, so the files are compressed.
+    """
     names = ("question", "answers", "positive_ctxs", "negative_ctxs", "hard_negative_ctxs")
-    df.select(*[c for c in names if c in df.columns]).write.mode(mode).json(path)
+    rows = df.select(*[c for c in names if c in df.columns])
+    rows.write.mode(mode).json(path, compression=compression)
+
+
+def write_results(
+    df: DataFrame, path: str, mode: str = "overwrite", per_file: int | None = None
+) -> None:
+    """Nested retrieval results as JSON lines, on wish of up to ``per_file`` records a file."""
+    writer = df.write.mode(mode)
+    if per_file is not None:
+        writer = writer.option("maxRecordsPerFile", per_file)
+    writer.json(path)
 
 
-def write_results(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Nested retrieval results as JSON lines."""
-    df.write.mode(mode).json(path)
+def write_arrays(spark: SparkSession, lines: str, path: str) -> None:
+    """A folder of JSON lines as JSON arrays, one array a file for each file of lines.
+
+    A reader takes an array as a whole, as this does: the files of lines must
+    be bounded.
+    """
+    records = F.split(F.trim(F.rtrim("value"), F.lit("\n")), "\n")
+    array = F.concat(F.lit("["), F.array_join(records, ","), F.lit("]")).alias("value")
+    arrays = spark.read.text(lines, wholetext=True).select(array)
+    # a task reads several small files, and a file holds one array
+    arrays.write.option("maxRecordsPerFile", 1).text(path)
 
 
 def write_embeddings(df: DataFrame, path: str, shards: int, mode: str = "overwrite") -> None:

@@ -197,3 +197,25 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
     whole = batch.withColumn("w", passage_text(F.col("title"), F.col("text")))
     for r in embed(whole, "w", dim=8).collect():
         assert got[r["pid"]][1] == r["embedding"]
+
+
+def test_arrays_stay_small_and_none_is_lost(spark, tmp_path):
+    lines, arrays = str(tmp_path / "lines"), str(tmp_path / "arrays")
+    rows = spark.range(0, 50, 1, 2).select(F.col("id").cast("string").alias("doc_id"), F.lit("a\n]").alias("input"))
+    writers.write_results(rows, lines, per_file=10)
+    writers.write_arrays(spark, lines, arrays)
+    sizes = [len(json.loads(p.read_text())) for p in (tmp_path / "arrays").glob("part-*")]
+    assert sum(sizes) == 50 and max(sizes) <= 10
+    got = readers.read_generations(spark, arrays)
+    assert sorted(int(r["doc_id"]) for r in got.collect()) == list(range(50))
+    assert got.first()["input"] == "a\n]"
+
+
+def test_examples_are_stored_compressed(spark, tmp_path):
+    text = "".join(chr(97 + i * i % 23) for i in range(2000))
+    ctx = F.struct(F.lit("t").alias("title"), F.lit(text).alias("text"))
+    rows = spark.range(40).select(F.lit("q").alias("question"), F.array(ctx, ctx).alias("positive_ctxs"))
+    writers.write_examples(rows, str(tmp_path / "e.jsonl"))
+    assert sum(p.stat().st_size for p in (tmp_path / "e.jsonl").iterdir()) < 40 * 2000 / 2
+    got = readers.read_examples(spark, str(tmp_path / "e.jsonl"))
+    assert got.count() == 40 and all(r["positive_ctxs"][1]["text"] == text for r in got.collect())
