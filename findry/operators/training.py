@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,13 +17,18 @@ from findry.functions.tokens import add_bos_eos, augment, mask_to, pad_to, rando
 from findry.operators.blockwise import (
     QUERY_BOUND,
     arrow_type,
-    block_pairs,
     fits_broadcast,
+    query_chunks,
     vectors_of,
 )
 from findry.operators.indexing import dense_index, prefix_sum
 from findry.session import materialize
 
+# scores held at once by a task that counts: queries x items
+_QUERIES_AT_ONCE, _ITEMS_AT_ONCE = 512, 8192
+# scans of the pool that one plan holds
+_CHUNKS_AT_ONCE = 8
+
 
 def chunk_tokens(
     df: DataFrame, length: int, offset: int = 0, order: Sequence[str] = ("ord",)
@@ -299,21 +305,32 @@ def contrastive_stats(
 def _ahead(block: pd.DataFrame, items: pa.Table) -> np.ndarray:
     """How many of the items score above each query's gold."""
     vectors = vectors_of(items["embedding"])
+    total = np.zeros(len(block), dtype=int)
     if not len(vectors) or not len(block):
-        return np.zeros(len(block), dtype=int)
+        return total
     q = np.stack([np.asarray(v, dtype=float) for v in block["embedding"]])
     bar = np.rint(block["gold_score"].to_numpy() * 1e6)
-    return (np.rint((q @ vectors.T) * 1e6) > bar[:, None]).sum(axis=1)
+    for at in range(0, len(vectors), _ITEMS_AT_ONCE):
+        some = vectors[at : at + _ITEMS_AT_ONCE].T
+        for lo in range(0, len(q), _QUERIES_AT_ONCE):
+            hi = lo + _QUERIES_AT_ONCE
+            scores = q[lo:hi] @ some
+            scores *= 1e6
+            above = np.rint(scores, out=scores) > bar[lo:hi, None]
+            total[lo:hi] += np.count_nonzero(above, axis=1)
+    return total
 
 
 def pool_ranks(
-    queries: DataFrame, pool: DataFrame, bound: int = QUERY_BOUND, item_block: int = 65_536
+    queries: DataFrame, pool: DataFrame, bound: int = QUERY_BOUND, item_block: int = _ITEMS_AT_ONCE
 ) -> DataFrame:
     """``(qid, rank)`` of each query's gold among all pool vectors.
 
     ``queries(qid, embedding, gold_score)``, ``pool(pid, embedding)``. Tasks
     only count the better ones, so one number per query leaves each task.
-    More than ``bound`` queries are blocked as in exact search.
+    More than ``bound`` queries take a scan of the stored pool for each chunk
+    of them, as in exact search; the pool is never copied. A task scores up
+    to ``item_block`` vectors of the pool at once.
     """
     q = queries.select("qid", "embedding", "gold_score")
     p = pool.select("pid", "embedding")
@@ -327,27 +344,31 @@ def pool_ranks(
             schema=arrow,
         )
 
-    if fits_broadcast(q, "embedding", bound):
-        shared = p.sparkSession.sparkContext.broadcast(q.toPandas())
+    def counts_of(chunk: DataFrame) -> DataFrame:
+        shared = p.sparkSession.sparkContext.broadcast(chunk.toPandas())
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = shared.value
             total = np.zeros(len(block), dtype=int)
             for batch in batches:
-                total += _ahead(block, pa.Table.from_batches([batch]))
+                for at in range(0, batch.num_rows, item_block):
+                    total += _ahead(block, pa.Table.from_batches([batch.slice(at, item_block)]))
             yield from counted(block, total).to_batches()
 
-        counts = p.mapInArrow(scan, schema)
-    else:
-        left, right = block_pairs(q, p, bound, item_block)
-
-        def pair(a: pa.Table, b: pa.Table) -> pa.Table:
-            block = a.to_pandas()
-            return counted(block, _ahead(block, b))
+        return p.mapInArrow(scan, schema)
 
-        counts = (
-            left.groupBy("_qb", "_ib").cogroup(right.groupBy("_qb", "_ib")).applyInArrow(pair, schema)
-        )
+    if fits_broadcast(q, "embedding", bound):
+        counts = counts_of(q)
+    else:
+        p = materialize(p, "pool")
+        chunks = query_chunks(q, "embedding", bound)
+        parts = []
+        # plans stay small however many chunks there are
+        for first in range(0, len(chunks), _CHUNKS_AT_ONCE):
+            some = reduce(DataFrame.unionByName, map(counts_of, chunks[first : first + _CHUNKS_AT_ONCE]))
+            some = some.groupBy("qid").agg(F.sum("ahead").alias("ahead"))
+            parts.append(materialize(some, "pool-counts"))
+        counts = reduce(DataFrame.unionByName, parts)
     return counts.groupBy("qid").agg((F.sum("ahead") + 1).alias("rank"))
 
 

@@ -308,3 +308,38 @@ def test_a_task_inverts_its_blocks():
         ("b", 0, [2], [3], [1]),
         ("c", 1, [0], [3], [3]),
     ]
+
+
+def test_scans_and_copies_do_not_grow_with_the_queries(spark, crowd, monkeypatch):
+    queries, items = crowd
+    monkeypatch.setattr(blockwise, "_SCANS", 2)
+    chunks = blockwise.query_chunks(queries, "embedding", 1)
+    assert len(chunks) == 2 and sum(c.count() for c in chunks) == queries.count()
+    index = vector.build_ivf(items, nlist=2, rounds=1)
+    q, i = vector.cell_pairs(vector.probe_cells(queries, index.centers(), 1), index.rows, 1, 1)
+    assert q.count() <= 4 * queries.count() and i.count() <= 8 * items.count()
+
+
+def test_running_best_over_wide_parts():
+    draw = np.random.default_rng(3)
+    scores = np.round(draw.normal(size=(6, 1500)), 2)
+    scores[0, :1490] = np.nan
+    scores[1] = np.nan
+    running = blockwise._Running(6, 4)
+    ids = np.arange(1500).astype(object)
+    for at in range(0, 1500, 500):
+        running.add(slice(0, 6), scores[:, at : at + 500], ids[at : at + 500])
+    qids, pids, got = running.emit(np.arange(6))
+    for q in range(6):
+        real = [p for p in range(1500) if not np.isnan(scores[q, p])]
+        want = sorted(real, key=lambda p: (-scores[q, p], p))[:4]
+        assert list(pids[qids == q]) == want
+        assert np.allclose(got[qids == q], scores[q, want])
+
+
+def test_bm25_query_that_comes_twice_asks_once(spark):
+    corpus = spark.createDataFrame([(0, "a b"), (1, "b c")], "pid long, text string")
+    index = lexical.build_index(corpus)
+    queries = spark.createDataFrame([(0, "b c"), (1, "a")], "qid long, text string")
+    once = hits_of(lexical.bm25_search(queries, index, 2))
+    assert hits_of(lexical.bm25_search(queries.unionAll(queries), index, 2)) == once
