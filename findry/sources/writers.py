@@ -12,6 +12,8 @@ from findry.functions.text import parse_id, truncate
 from findry.session import materialize
 
 BODY_LIMIT = 10_000
+# bodies and vectors that one writer of a vector table takes
+_BYTES_PER_FILE = 256 << 20
 
 # texts keep their own leading and trailing blanks
 _TSV = {
@@ -125,11 +127,15 @@ def vector_rows(df: DataFrame, now: Column | None = None) -> DataFrame:
     )
 
 
-def spread_cells(rows: DataFrame, rows_per_file: int = 1_000_000) -> DataFrame:
-    """Partition by cell, a cell of many rows over several partitions."""
-    files = F.ceil(F.col("count") / rows_per_file)
+def spread_cells(
+    rows: DataFrame, rows_per_file: int = 1_000_000, size: Column | None = None
+) -> DataFrame:
+    """Partition by cell, a cell of many rows, or of much ``size``, over several partitions."""
+    files = F.ceil(F.count("*") / rows_per_file)
+    if size is not None:
+        files = F.greatest(files, F.ceil(F.sum(size) / _BYTES_PER_FILE))
     # one row per cell, so the broadcast is bounded by the number of cells
-    per_cell = rows.groupBy("cluster_id").count().select("cluster_id", files.alias("_files"))
+    per_cell = rows.groupBy("cluster_id").agg(files.alias("_files"))
     salted = rows.join(F.broadcast(per_cell), "cluster_id").withColumn(
         "_salt", F.pmod(F.xxhash64("pid"), F.col("_files"))
     )
@@ -147,8 +153,9 @@ def write_vector_table(
     """
     if mode not in ("overwrite", "append"):
         raise ValueError("mode must be 'overwrite' or 'append'")
-    # the rows are counted by cell and then written
-    cells = spread_cells(materialize(df, "load")).withColumn(
+    # the rows are measured by cell and then written
+    size = F.coalesce(F.octet_length("summary"), F.lit(0)) + 4 * F.greatest(F.size("embedding"), F.lit(0))
+    cells = spread_cells(materialize(df, "load"), size=size).withColumn(
         "load", F.lit(load or uuid.uuid4().hex)
     )
     writer = cells.write.partitionBy("load", "cluster_id").mode("overwrite")

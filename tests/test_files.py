@@ -1,5 +1,6 @@
 """Readers, writers, retention and streams on hand-made files."""
 
+import glob
 import json
 
 from pyspark.sql import functions as F
@@ -219,3 +220,21 @@ def test_examples_are_stored_compressed(spark, tmp_path):
     assert sum(p.stat().st_size for p in (tmp_path / "e.jsonl").iterdir()) < 40 * 2000 / 2
     got = readers.read_examples(spark, str(tmp_path / "e.jsonl"))
     assert got.count() == 40 and all(r["positive_ctxs"][1]["text"] == text for r in got.collect())
+
+
+def test_a_cell_of_large_rows_is_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "_BYTES_PER_FILE", 10_000)
+    rows = spark.range(40).select(
+        F.col("id").cast("string").alias("pid"), F.lit("t").alias("title"), F.repeat(F.lit("x"), F.lit(1000)).alias("text"),
+        F.struct(F.lit("p").alias("patent_id")).alias("metadata"), F.array(F.lit(0.0)).alias("embedding"),
+        F.lit(3).alias("cluster_id"),
+    )
+    path = str(tmp_path / "table")
+    # adaptive execution would put pieces as small as these together again
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        writers.write_vector_table(writers.vector_rows(rows), path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(glob.glob(f"{path}/load=*/cluster_id=3/part-*")) > 1
+    assert writers.read_vector_table(spark, path).select("pid").distinct().count() == 40
