@@ -18,13 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from findry.llm.common import mix64
 from findry.session import materialize
 
 PAGE, FAN = 128, 16
+#: Trees are dealt out in shelves: about so many, until a shelf holds so many trees.
+SHELVES, ON_SHELF = 32, 16
+#: Elements of the queries that meet a tree in a task, unless their number is given.
+BLOCK_ELEMENTS = 2_097_152
 
 
 def valid_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -51,14 +55,28 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return out
 
 
+def _exact(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both in the cheapest type in which products of their rows are exact integers."""
+
+    def most(x: np.ndarray) -> int:
+        return max(int(x.max(initial=0)), -int(x.min(initial=0)))
+
+    top = most(a) * most(b) * a.shape[-1]
+    kind = np.float32 if top < 2**24 else np.float64 if top < 2**53 else np.int64
+    return a.astype(kind, copy=False), b.astype(kind, copy=False)
+
+
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products of rows of ``a`` with rows of ``b``."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[-1]
-    if most < 2.0**53:
-        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
+    """Products of rows of ``a`` with rows of ``b``, both as ``_exact`` gives them."""
     return a @ b.T
 
 
+def _narrow(low: int, high: int) -> np.dtype:
+    """The smallest of the integer types of Spark arrays that holds both."""
+    fit = (t for t in (np.int16, np.int32) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+    return np.dtype(next(fit, np.int64))
+
+
 class Space:
     """Distances between objects, and bounds on products from distances."""
 
@@ -75,7 +93,7 @@ class Space:
         """Distances between lifted rows of ``a`` and one lifted ``b``."""
         return np.sqrt(((a - b) ** 2).sum(axis=-1))
 
-    def most(self, square: float, least: np.ndarray) -> np.ndarray:
+    def most(self, square: np.ndarray, least: np.ndarray) -> np.ndarray:
         """The highest product that an object at distance ``least`` or more can have.
 
         A little is added for the rounding of distances.
@@ -83,13 +101,54 @@ class Space:
         total = square + self.top
         return (total - np.maximum(0.0, least) ** 2) / 2 + 1e-9 * total + 1e-6
 
+    def reach(self, square: np.ndarray, floor: np.ndarray) -> np.ndarray:
+        """The longest distance at which ``most`` is ``floor`` or more; minus infinity if none."""
+        total = square + self.top
+        left = total * (1 + 2e-9) + 2e-6 - 2.0 * floor
+        return np.where(left >= 0, np.sqrt(np.maximum(left, 0.0)), -np.inf)
+
+
+class Best:
+    """The best ``k`` rows of each of several queries, ties to the smaller id.
+
+    ``floors`` holds what a product must be to count; it rises to the ``k``-th
+    product of a query when the rows added are sorted.
+    """
+
+    def __init__(self, floors: np.ndarray, k: int) -> None:
+        self.floors, self.k, self.added = floors.astype(np.float64), k, 0
+        self.rows = [(np.empty(0, np.int64),) * 3]
+
+    def add(self, who: np.ndarray, ids: np.ndarray, products: np.ndarray) -> bool:
+        """Take rows of queries ``who``; true if floors may have risen."""
+        self.rows.append((who, ids, products.astype(np.int64)))
+        self.added += len(who)
+        full = self.added >= self.k * len(self.floors)
+        if full:
+            self.settle()
+        return full
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(who, ids, products)`` by query, best first."""
+        who, ids, products = (np.concatenate(x) for x in zip(*self.rows, strict=True))
+        order = np.lexsort((ids, -products, who))
+        who = who[order]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        order, who, rank = (x[rank < self.k] for x in (order, who, rank))
+        ids, products = ids[order], products[order]
+        full = rank == self.k - 1
+        self.floors[who[full]] = np.maximum(self.floors[who[full]], products[full])
+        self.rows, self.added = [(who, ids, products)], 0
+        return self.rows[0]
+
 
 class Tree:
     """An M-tree over some rows, in arrays.
 
     ``nodes`` has a row per node: routing row, radius, distance to the parent's
     routing object, first and end (of children, or of rows in a page), whether
-    it is a page. Node 0 is the root. Rows are in page order.
+    it is a page. Node 0 is the root. Rows are in page order, those of a page by
+    their distance to its routing object (``far``).
     """
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, far: np.ndarray, nodes: np.ndarray):
@@ -113,7 +172,8 @@ class Tree:
             to_parent = float(space.apart(lifted[pivot], lifted[routing[up]])) if up >= 0 else 0.0
             node = [pivot, float(away.max(initial=0.0)), to_parent, 0, 0, 0]
             if len(own) <= PAGE:
-                far[own] = away
+                own = own[np.argsort(away, kind="stable")]
+                far[own] = np.sort(away)
                 order.append(own)
                 node[3:] = [placed, placed + len(own), 1]
                 placed += len(own)
@@ -140,73 +200,125 @@ class Tree:
     def search(
         self, query: np.ndarray, own: int, k: int, floor: float, space: Space
     ) -> tuple[np.ndarray, np.ndarray]:
-        """``(ids, products)`` of the best ``k`` rows of other ids with products of ``floor`` or more.
-
-        Nodes wait in order of the best product that they can hold. A child or
-        row whose distance to its parent's routing object rules it out is
-        passed over without computing its own distance.
+        """``(ids, products)`` of the best ``k`` rows of other ids with products of ``floor`` or more."""
+        best = Best(np.array([floor]), k)
+        asked, owns = query.astype(np.int64)[None, :], np.array([own])
+        self.search_all(asked, owns, np.zeros(1, np.int64), best, space)
+        return best.settle()[1:]
+
+    def search_all(
+        self, queries: np.ndarray, owns: np.ndarray, who: np.ndarray, best: Best, space: Space,
+        dive: bool = True,
+    ) -> None:
+        """Add to ``best`` what the queries at the places ``who`` find among rows of other ids.
+
+        Nodes wait in order of the best product that they can hold, each with
+        the queries that it can hold one for. A child or row whose distance to
+        its parent's routing object rules it out for all of them is passed over
+        without computing a distance. ``dive`` first takes each query to
+        the page with the nearest routing objects, for a floor to begin with.
         """
-        q = query.astype(np.int64)
-        square = float((q.astype(np.float64) ** 2).sum())
+        rows, asked = _exact(self.rows, queries)
+        square = (queries.astype(np.float64) ** 2).sum(axis=1)
         total = square + space.top
-
-        def away(rows: np.ndarray) -> np.ndarray:
-            return np.sqrt(np.maximum(0.0, total - 2.0 * _products(rows, q[None, :])[:, 0]))
-
-        best_ids, best = np.empty(0, np.int64), np.empty(0, np.int64)
-        root = float(away(self.rows[[int(self.nodes[0, 0])]])[0])
-        start = float(space.most(square, np.float64(root - self.nodes[0, 1])))
-        waiting = [(-start, 0, root)]
+        pivot = self.nodes[:, 0].astype(np.int64)
+        radius, to_parent = self.nodes[:, 1], self.nodes[:, 2]
+        begin, stop = self.nodes[:, 3].astype(np.int64), self.nodes[:, 4].astype(np.int64)
+        page = self.nodes[:, 5] > 0
+
+        def away(nodes: np.ndarray, who: np.ndarray) -> np.ndarray:
+            """Distances of the routing objects of ``nodes`` (rows) from queries (columns)."""
+            products = _products(rows[pivot[nodes]], asked[who])
+            return np.sqrt(np.maximum(0.0, total[who] - 2.0 * products))
+
+        going = [(0, who)] if dive else []
+        while going:
+            at, some = going.pop()
+            if not page[at]:
+                child = np.arange(begin[at], stop[at])
+                to = away(child, some).argmin(axis=0)
+                going += [(int(c), some[to == i]) for i, c in enumerate(child) if (to == i).any()]
+            elif stop[at] - begin[at] >= best.k:
+                here = slice(begin[at], stop[at])
+                products = _products(rows[here], asked[some]).astype(np.float64)
+                products[self.ids[here][:, None] == owns[some]] = -np.inf
+                kth = np.partition(products, -best.k, axis=0)[-best.k]
+                best.floors[some] = np.maximum(best.floors[some], kth)
+
+        reach = space.reach(square, best.floors)
+        waiting = [(0.0, 0, who, away(np.zeros(1, np.int64), who)[0])]
         while waiting:
-            most, at, here = heapq.heappop(waiting)
-            if -most < floor:
-                break
-            first, end = int(self.nodes[at, 3]), int(self.nodes[at, 4])
-            if self.nodes[at, 5]:
-                can = space.most(square, np.abs(here - self.far[first:end])) >= floor
-                rows = first + np.flatnonzero(can & (self.ids[first:end] != own))
-                if not len(rows):
+            _, at, who, here = heapq.heappop(waiting)
+            still = here - radius[at] <= reach[who]
+            who, here = who[still], here[still]
+            if not len(who):
+                continue
+            if page[at]:
+                far = self.far[begin[at] : stop[at]]
+                low = np.searchsorted(far, here - reach[who])
+                high = np.searchsorted(far, here + reach[who], "right")
+                some = low < high
+                if not some.any():
                     continue
-                products = _products(self.rows[rows], q[None, :])[:, 0]
-                good = products >= floor
-                best_ids = np.concatenate((best_ids, self.ids[rows[good]]))
-                best = np.concatenate((best, products[good]))
-                if len(best) > k:
-                    top = np.lexsort((best_ids, -best))[:k]
-                    best_ids, best = best_ids[top], best[top]
-                if len(best) == k:
-                    floor = max(floor, float(best.min()))
+                who = who[some]
+                first, end = begin[at] + low[some].min(), begin[at] + high[some].max()
+                products = _products(rows[first:end], asked[who])
+                least = best.floors[who]
+                if products.dtype == np.float32:  # products are whole numbers
+                    least = np.ceil(least).astype(np.float32)
+                row, col = np.divmod(np.flatnonzero(products >= least), len(who))
+                ids = self.ids[first + row]
+                other = ids != owns[who[col]]
+                row, col = row[other], col[other]
+                if best.add(who[col], ids[other], products[row, col]):
+                    reach = space.reach(square, best.floors)
             else:
-                child = np.arange(first, end)
-                radius = self.nodes[child, 1]
-                least = np.abs(here - self.nodes[child, 2]) - radius
-                child = child[space.most(square, least) >= floor]
+                child = np.arange(begin[at], stop[at])
+                least = np.abs(here - to_parent[child, None]) - radius[child, None]
+                child = child[(least <= reach[who]).any(axis=1)]
                 if not len(child):
                     continue
-                apart = away(self.rows[self.nodes[child, 0].astype(np.int64)])
-                can = space.most(square, apart - self.nodes[child, 1])
-                for c, d, m in zip(child.tolist(), apart.tolist(), can.tolist(), strict=True):
-                    if m >= floor:
-                        heapq.heappush(waiting, (-m, c, d))
-        return best_ids, best
+                apart = away(child, who)
+                least = apart - radius[child, None]
+                can = least <= reach[who]
+                for i, c in enumerate(child.tolist()):
+                    some = can[i]
+                    if some.any():
+                        most = space.most(square[who[some]], least[i, some]).max()
+                        heapq.heappush(waiting, (-most, c, who[some], apart[i, some]))
 
     def row(self) -> list[bytes]:
-        return [x.tobytes() for x in (self.ids, self.rows, self.far, self.nodes)]
+        kind = _narrow(int(self.rows.min(initial=0)), int(self.rows.max(initial=0)))
+        return [x.tobytes() for x in (self.ids, self.rows.astype(kind), self.far, self.nodes)]
 
     @classmethod
-    def of(cls, ids: bytes, rows: bytes, far: bytes, nodes: bytes) -> Tree:
+    def of(cls, dim: int, ids: bytes, rows: bytes, far: bytes, nodes: bytes) -> Tree:
         found = np.frombuffer(ids, np.int64)
+        kind = f"i{len(rows) // (len(found) * dim)}"
         return cls(
             found,
-            np.frombuffer(rows, np.int64).reshape(len(found), -1),
+            np.frombuffer(rows, kind).reshape(len(found), dim),
             np.frombuffer(far, np.float64),
             np.frombuffer(nodes, np.float64).reshape(-1, 6),
         )
 
 
-_TREE = "region int, sub int, ids binary, rows binary, far binary, nodes binary"
-_PAIR = "region int, sub int, block long, query_id long, q array<long>, floor double"
-_FOUND = "query_id long, q array<long>, vec_id long, score long"
+_TREE = "shelf int, place int, ids binary, rows binary, far binary, nodes binary"
+_PAIR = "shelf int, block long, ask long, query_id long, q array<{}>, floor double, trees int"
+_FOUND = "ask long, query_id long, vec_id long, score long"
+#: Spark's and Arrow's names of the types that ``_narrow`` gives.
+_TYPES = {2: ("short", pa.int16()), 4: ("int", pa.int32()), 8: ("long", pa.int64())}
+
+
+def _ends(vector: str) -> tuple[Column, Column]:
+    """The lowest and the highest component of a column of vectors."""
+    low, high = F.min(F.array_min(vector)), F.max(F.array_max(vector))
+    return low.alias("low"), high.alias("high")
+
+
+def _kind(ends: Row) -> tuple[str, pa.DataType]:
+    """The type of component that holds what lies between ``_ends``."""
+    return _TYPES[_narrow(ends["low"] or 0, ends["high"] or 0).itemsize]
 
 
 def block_of(ids: np.ndarray, blocks: int) -> np.ndarray:
@@ -221,6 +333,8 @@ class MTreeIndex:
     their radii go to every task, so ``max_regions`` times the dimension bounds
     what is broadcast. Every row is in exactly one tree of about ``tree_rows``
     rows; a region with more rows, also one of equal vectors, has several.
+    Trees are numbered by region; runs of up to ``ON_SHELF`` numbers are a shelf,
+    so a query's vector goes to a shelf once and not to each of its trees.
     """
 
     def __init__(self, points: DataFrame, tree_rows: int = 8_192, max_regions: int = 1_024):
@@ -228,8 +342,9 @@ class MTreeIndex:
         self.points = points
         square = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
         stats = points.agg(
-            F.count("*").alias("n"), F.max(square).alias("top"), F.max(F.size("v")).alias("dim")
-        ).first()
+            F.count("*").alias("n"), F.max(square).alias("top"), F.max(F.size("v")).alias("dim"),
+            *_ends("v"),
+        ).first()
         self.n, self.dim = stats["n"], max(1, stats["dim"] or 1)
         self.space = Space(stats["top"] or 0)
         if not self.n:
@@ -262,6 +377,8 @@ class MTreeIndex:
         for r in sizes.collect():  # at most max_regions rows
             radius[r["region"]], subs[r["region"]] = r["far"], -(-r["n"] // tree_rows)
         self.radius, self.subs = radius, subs
+        self.on_shelf = on_shelf = int(min(ON_SHELF, max(1, subs.sum() // SHELVES)))
+        start = np.cumsum(subs) - subs
         several = F.element_at(F.array(*(F.lit(int(s)) for s in subs)), F.col("region") + 1)
         space, dim = self.space, self.dim
 
@@ -269,110 +386,117 @@ class MTreeIndex:
             tree = Tree.build(
                 rows.column("vec_id").to_numpy(), _matrix(rows.column("v"), dim), space
             )
-            region, sub = key[0].as_py(), key[1].as_py()
+            shelf, place = divmod(int(start[key[0].as_py()]) + key[1].as_py(), on_shelf)
             return pa.table(
-                [pa.array([region], pa.int32()), pa.array([sub], pa.int32()),
+                [pa.array([shelf], pa.int32()), pa.array([place], pa.int32()),
                  *(pa.array([x], pa.binary()) for x in tree.row())],
-                ["region", "sub", "ids", "rows", "far", "nodes"],
+                ["shelf", "place", "ids", "rows", "far", "nodes"],
             )
 
         sub = F.pmod(F.xxhash64("vec_id"), several).cast("int")
-        keyed = parts.select("vec_id", "v", "region", sub.alias("sub"))
+        v = F.col("v").cast(f"array<{_kind(stats)[0]}>").alias("v")
+        keyed = parts.select("vec_id", v, "region", sub.alias("sub"))
         self.trees = materialize(keyed.groupBy("region", "sub").applyInArrow(build, _TREE), "mtrees")
 
-    def _visit(self, pairs: DataFrame, k: int) -> DataFrame:
+    def _visit(self, pairs: DataFrame, k: int, dive: bool) -> DataFrame:
         space, dim = self.space, self.dim
 
         def search(left: pa.Table, right: pa.Table) -> pa.Table:
-            out: list[tuple] = []
+            who = ids = products = np.empty(0, np.int64)
+            owns = right.column("query_id").to_numpy()
             if left.num_rows and right.num_rows:
-                tree = Tree.of(*(left.column(c)[0].as_py() for c in ("ids", "rows", "far", "nodes")))
                 queries = _matrix(right.column("q"), dim)
-                for i, (own, floor) in enumerate(
-                    zip(right.column("query_id").to_pylist(), right.column("floor").to_pylist(),
-                        strict=True)
-                ):
-                    ids, products = tree.search(queries[i], own, k, floor, space)
-                    q = right.column("q")[i].as_py()
-                    out += [(own, q, x, p) for x, p in zip(ids.tolist(), products.tolist(), strict=True)]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            names = ["query_id", "q", "vec_id", "score"]
-            return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
-
-        keys = ["region", "sub", "block"]
+                trees = right.column("trees").to_numpy()
+                best = Best(right.column("floor").to_numpy(), k)
+                packed = (left.column(c) for c in ("place", "ids", "rows", "far", "nodes"))
+                for place, *tree in zip(*packed, strict=True):
+                    asking = np.flatnonzero(trees >> place.as_py() & 1)
+                    if len(asking):
+                        Tree.of(dim, *(x.as_py() for x in tree)).search_all(
+                            queries, owns, asking, best, space, dive
+                        )
+                who, ids, products = best.settle()
+            asks = right.column("ask").to_numpy()
+            columns = [asks[who], owns[who], ids, products]
+            names = ["ask", "query_id", "vec_id", "score"]
+            return pa.table([pa.array(c, pa.int64()) for c in columns], names)
+
+        keys = ["shelf", "block"]
         pairs = materialize(pairs, "mtree-pairs")
-        # a tree goes to the blocks of queries that visit it, and to no other
+        # a shelf goes to the blocks of queries that visit it, and to no other
         asked = pairs.select(*(F.col(c).alias(c) for c in keys)).distinct()
-        copies = self.trees.join(asked, ["region", "sub"])
+        copies = self.trees.join(F.broadcast(asked), "shelf")
         return copies.groupBy(*keys).cogroup(pairs.groupBy(*keys)).applyInArrow(search, _FOUND)
 
-    def search(self, queries: DataFrame, k: int, block_rows: int = 4_096) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, block_rows: int | None = None) -> DataFrame:
         """``(query_id, rank, vec_id, score)``: the ``k`` highest products with rows of other ids.
 
         ``queries`` holds ``(query_id, q)``. First each query searches the trees
-        of its own region; the ``k``-th product found rules out most others.
-        Ties go to the smaller id. A tree meets at most about ``block_rows``
-        queries in a task.
+        of its own region; the ``k``-th product found rules out most others
+        where vectors lie in clusters. Where they do not, nearly all rows are
+        visited, and the time grows with rows times queries. Ties go to the
+        smaller id. A tree meets at most about ``block_rows`` queries in a task,
+        or as many as have two million elements; for more, it is sent again.
         """
         spark = queries.sparkSession
         schema = "query_id long, rank int, vec_id long, score long"
         if not self.n:
             return spark.createDataFrame([], schema)
-        blocks = max(1, -(-queries.count() // block_rows))
+        stats = queries.agg(F.count("*").alias("n"), *_ends("q")).first()
+        blocks = max(1, -(-stats["n"] // (block_rows or max(1, BLOCK_ELEMENTS // self.dim))))
+        kind, arrow = _kind(stats)
         state = (self.routes, self.route_ids, self.radius, self.subs, self.space, self.dim)
         shipped = spark.sparkContext.broadcast(state)
+        on_shelf = self.on_shelf
 
         def pairs(home: bool):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 routes, route_ids, radius, subs, space, dim = shipped.value
-                for batch in batches:
-                    own = batch.column(0).to_numpy()
-                    block = block_of(own, blocks)
-                    q = _matrix(batch.column(1), dim)
-                    floors = batch.column(2).to_numpy()
-                    products = _products(q, routes)
+                bits = 1 << np.arange(on_shelf)
+                spare = -int(subs.sum()) % on_shelf
+                parts = (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024))
+                for part in parts:
+                    own, floors = part.column(1).to_numpy(), part.column(3).to_numpy()
+                    q = _matrix(part.column(2), dim)
+                    products = _products(*_exact(q, routes)).astype(np.float64)
                     square = (q.astype(np.float64) ** 2).sum(axis=1)
-                    apart = np.sqrt(np.maximum(
-                        0.0, square[:, None] + space.top - 2.0 * products
-                    ))
-                    for i in range(len(own)):
-                        nearest = int(apart[i].argmin())
-                        floor = float(floors[i])
-                        other = np.sort(products[i][route_ids != own[i]])
-                        if len(other) >= k:  # routing objects are rows too
-                            floor = max(floor, float(other[-k]))
-                        if home:
-                            visit = [nearest]
-                        else:
-                            can = space.most(square[i], apart[i] - radius) >= floor
-                            visit = [r for r in np.flatnonzero(can).tolist() if r != nearest]
-                        found = [(r, s) for r in visit for s in range(subs[r])]
-                        if found:
-                            n = len(found)
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array([r for r, _ in found], pa.int32()),
-                                 pa.array([s for _, s in found], pa.int32()),
-                                 pa.array([block[i]] * n, pa.int64()),
-                                 pa.array([int(own[i])] * n, pa.int64()),
-                                 batch.column(1).take(pa.array([i] * n)),
-                                 pa.array([floor] * n, pa.float64())],
-                                ["region", "sub", "block", "query_id", "q", "floor"],
-                            )
+                    total = square[:, None] + space.top
+                    apart = np.sqrt(np.maximum(0.0, total - 2.0 * products))
+                    nearest = np.arange(len(routes)) == apart.argmin(axis=1)[:, None]
+                    can = nearest
+                    if len(routes) >= k:  # routing objects are rows too
+                        products[route_ids == own[:, None]] = -np.inf
+                        floors = np.maximum(floors, np.partition(products, -k, axis=1)[:, -k])
+                    if not home:
+                        can = (apart - radius <= space.reach(square, floors)[:, None]) & ~nearest
+                    trees = np.pad(np.repeat(can, subs, axis=1), ((0, 0), (0, spare)))
+                    trees = trees.reshape(len(q), -1, on_shelf) @ bits
+                    row, shelf = np.nonzero(trees)
+                    taken = part.take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(shelf, pa.int32()), pa.array(block_of(own, blocks)[row]),
+                         *taken.columns[:2], taken.column(2).cast(pa.list_(arrow)),
+                         pa.array(floors[row]), pa.array(trees[row, shelf], pa.int32())],
+                        ["shelf", "block", "ask", "query_id", "q", "floor", "trees"],
+                    )
 
             return run
 
         low = F.lit(float("-inf")).alias("floor")
-        asked = materialize(queries.select("query_id", "q").distinct(), "mtree-queries")
-        first = asked.select("query_id", "q", low).mapInArrow(pairs(True), _PAIR)
-        near = materialize(self._visit(first, k), "mtree-home")
-        best = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
+        asked = queries.select("query_id", F.col("q").cast(f"array<{kind}>").alias("q")).distinct()
+        # one number for each distinct query: an id may come with several vectors
+        asked = asked.select(F.monotonically_increasing_id().alias("ask"), "query_id", "q")
+        asked = materialize(asked, "mtree-queries")
+        pair = _PAIR.format(kind)
+        first = asked.select("ask", "query_id", "q", low).mapInArrow(pairs(True), pair)
+        near = materialize(self._visit(first, k, True), "mtree-home")
+        best = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
         ranked = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        reached = ranked.where(F.col("rank") == k).select("query_id", "q", "score")
-        floors = asked.join(reached, ["query_id", "q"], "left").select(
-            "query_id", "q", F.coalesce(F.col("score").cast("double"), low).alias("floor")
+        reached = ranked.where(F.col("rank") == k).select("ask", "score")
+        floors = asked.join(reached, "ask", "left").select(
+            "ask", "query_id", "q", F.coalesce(F.col("score").cast("double"), low).alias("floor")
         )
-        rest = self._visit(floors.mapInArrow(pairs(False), _PAIR), k)
+        rest = self._visit(floors.mapInArrow(pairs(False), pair), k, False)
         found = ranked.drop("rank").unionByName(rest)
         ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -415,6 +415,60 @@ def test_mtree_query_blocks_are_even():
         assert len(counts) == blocks and counts.min() > 0.9 * n / blocks
 
 
+def test_mtree_queries_go_down_together(monkeypatch):
+    """Without clusters nothing is ruled out: a page meets its queries in one product, not in one each."""
+    rng = np.random.default_rng(7)
+    rows = np.rint(100 * rng.normal(size=(6000, 32))).astype(int)
+    space = mtree.Space(int((rows * rows).sum(axis=1).max()))
+    ids = np.arange(6000) // 2  # each id twice
+    tree = mtree.Tree.build(ids, rows, space)
+    calls = []
+    plain = mtree._products
+    monkeypatch.setattr(mtree, "_products", lambda a, b: calls.append(len(b)) or plain(a, b))
+    places = np.arange(0, 6000, 20)
+    best = mtree.Best(np.full(len(places), -np.inf), 5)
+    tree.search_all(rows[places], ids[places], np.arange(len(places)), best, space)
+    who, found, products = best.settle()
+    assert len(calls) <= 2 * len(tree.nodes) + 1
+    for i, place in enumerate(places):
+        others = np.flatnonzero(ids != ids[place])
+        scores = rows[others] @ rows[place]
+        top = np.lexsort((ids[others], -scores))[:5]
+        assert found[who == i].tolist() == ids[others][top].tolist()
+        assert products[who == i].tolist() == scores[top].tolist()
+
+
+@pytest.mark.parametrize("most", [90, 40_000, 2**29])
+def test_mtree_shelves(spark, monkeypatch, most):
+    """A query goes to a shelf of trees once; trees and queries of every width, exact on all shelves."""
+    rng = np.random.default_rng(most)
+    vectors = rng.integers(-most, most, (600, 4))
+    vectors[400:450] = vectors[0]  # ties
+    rows = [(int(i), v.tolist()) for i, v in enumerate(vectors)]
+    points = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    sent = []
+    plain = mtree.materialize
+
+    def spy(df, name="stage"):
+        out = plain(df, name)
+        if name == "mtree-pairs":
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(mtree, "materialize", spy)
+    index = mtree.MTreeIndex(points, tree_rows=5)
+    asked = points.where("vec_id % 50 = 0").selectExpr("vec_id as query_id", "v as q")
+    out = {tuple(r) for r in index.search(asked, 5, block_rows=7).collect()}
+    expected = set()
+    for q in range(0, 600, 50):
+        scores = vectors @ vectors[q]
+        top = [i for i in np.lexsort((np.arange(600), -scores)) if i != q][:5]
+        expected |= {(q, n + 1, int(i), int(scores[i])) for n, i in enumerate(top)}
+    trees = index.trees.count()
+    assert out == expected and trees > 100
+    assert len(sent) == 2 and sent[1] <= 12 * 64 < 12 * trees
+
+
 def test_mtree_of_few_or_no_rows(spark):
     schema = "vec_id long, embedding array<float>"
     assert mtree.top_products(spark.createDataFrame([], schema)).count() == 0
