@@ -343,3 +343,54 @@ def test_bm25_query_that_comes_twice_asks_once(spark):
     queries = spark.createDataFrame([(0, "b c"), (1, "a")], "qid long, text string")
     once = hits_of(lexical.bm25_search(queries, index, 2))
     assert hits_of(lexical.bm25_search(queries.unionAll(queries), index, 2)) == once
+
+
+def test_blocks_of_documents_do_not_follow_the_splits(spark):
+    # a list travels once for each block of queries, a query once for each block of documents
+    corpus = spark.range(0, 400, 1, 40).select(F.col("id").alias("pid"), F.lit("a b a").alias("text"))
+    index = lexical.build_index(corpus)
+    assert index.docs.select(F.shiftright("doc", lexical._DOC_BITS)).distinct().count() <= 4
+    assert sorted(r["pid"] for r in index.docs.collect()) == list(range(400))
+    assert {(r["term"], r["tf"], r["dl"]) for r in index.postings().collect()} == {("a", 2, 3), ("b", 1, 3)}
+
+
+def test_a_task_cuts_a_block_of_many_tokens(monkeypatch):
+    monkeypatch.setattr(lexical, "_TOKENS", 1)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([0, 1, 2]), pa.array(["x", None, "z"]), pa.array([["b", "a", "b"], [], ["a"]])],
+        ["doc", "pid", "tokens"],
+    )
+    made = [r for x in lexical._inverted(2)(iter([batch.slice(i, 1) for i in range(3)])) for r in x.to_pylist()]
+    docs = [r for r in made if r["pids"] is not None]
+    assert [(p, n, i) for r in docs for p, n, i in zip(r["places"], r["lengths"], r["pids"])] == [(0, 3, "x"), (2, 1, "z")]
+    lists = [(r["term"], r["block"], r["places"], r["counts"]) for r in made if r["pids"] is None]
+    assert sorted(lists) == [("a", 0, [0], [1]), ("a", 0, [2], [1]), ("b", 0, [0], [2])]
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_bm25_documents_beyond_the_long_ones(spark, monkeypatch, k):
+    # short documents are looked at only where they can reach the k-th score; both are best at times
+    monkeypatch.setattr(lexical, "_CELLS", 64)
+    monkeypatch.setattr(lexical, "_GROUP", 2)
+    monkeypatch.setattr(lexical, "_HEAVY", 3)
+    draw = np.random.default_rng(7)
+    bags = [[f"w{int(x)}" for x in draw.zipf(1.3, int(n)) % 40] for n in draw.integers(1, 60, 300)]
+    corpus = spark.createDataFrame([(i, " ".join(b)) for i, b in enumerate(bags)], "pid long, text string")
+    asked = [" ".join(b[:12]) for b in bags[::5]]
+    index = lexical.build_index(corpus.coalesce(1))
+    got = hits_of(lexical.bm25_search(spark.createDataFrame(list(enumerate(asked)), "qid long, text string"), index, k))
+    df = {w: sum(w in b for b in bags) for w in {w for b in bags for w in b}}
+    mean = sum(map(len, bags)) / 300
+    want = []
+    for q, text in enumerate(asked):
+        score = {}
+        for p, bag in enumerate(bags):
+            damped = 0.9 * (0.6 + 0.4 * len(bag) / mean)
+            score[p] = round(sum(
+                math.log(1 + (300 - df[w] + 0.5) / (df[w] + 0.5)) * bag.count(w) / (bag.count(w) + damped)
+                for w in text.split()
+            ), 6)
+        best = sorted((p for p in score if score[p] > 0), key=lambda p: (-score[p], p))[:k]
+        want += [(q, i + 1, p, score[p]) for i, p in enumerate(best)]
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3] for g in got], [w[3] for w in want], atol=2e-6)
