@@ -4,6 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from findry.functions.text import coverage_score
 from findry.operators import dataset, indexing, joins, mining, stats
 
 ROWS = [
@@ -188,3 +189,43 @@ def test_attaching_fields_leaves_a_stored_lookup_in_place(spark, plan):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert text.count("Exchange") == 1 and "Bucketed: true" in text
+
+
+@pytest.mark.parametrize("scored", [False, True])
+def test_a_passage_goes_once_to_a_group_of_queries(spark, plan, monkeypatch, scored):
+    monkeypatch.setattr(mining, "_GROUP_HITS", 40)
+    monkeypatch.setattr(mining, "_BATCH_BYTES", 100)
+    # p1 stands twice with different bodies; q7 comes twice, q8 has no text, q9 hits its gold alone
+    corpus = spark.createDataFrame(
+        [("p0", "t0", "red car"), ("p1", "t2", "blue car"), ("p1", "t1", None), ("g", "t", "x")],
+        "pid string, title string, text string",
+    )
+    queries = spark.createDataFrame([(f"q{i}", "red car") for i in (*range(8), 7, 9)], "qid string, text string")
+    hits = [(f"q{i}", p, 1.0, r) for i in range(9) for p, r in (("p1", 2), ("g", 1), ("p0", 3))] + [("q9", "g", 1.0, 1)]
+    hits = spark.createDataFrame(hits, "qid string, pid string, score double, rank int")
+    gold = spark.createDataFrame([(f"q{i}", "g") for i in range(10)], "qid string, gold string")
+    scorer = coverage_score if scored else None
+    mined = mining.mine_negatives(gold, hits, queries, corpus, scorer)
+    # bodies are put together in groups of queries, they are not shuffled once for each hit
+    text = plan(mined)
+    assert "FlatMapGroupsInArrow" in text and "collect_list" not in text
+    names = ["title", "text", "ce_score"][: 3 if scored else 2]
+    one = [("t1", None, None), ("t2", "blue car", 0.5), ("t0", "red car", 1.0)]
+    rows = sorted((r["qid"], r["question"], [tuple(c[n] for n in names) for c in r["negative_ctxs"]]) for r in mined.collect())
+    twice = [one[0], one[0], one[1], one[1], one[2], one[2]]
+    lists = {f"q{i}": one for i in range(7)} | {"q7": twice if scored else one}
+    assert [r[0] for r in rows] == [f"q{i}" for i in (*range(8), 7)]
+    assert all(r[1] == "red car" and [c[:2] for c in r[2]] == [c[:2] for c in lists[r[0]]] for r in rows)
+    if scored:
+        assert all(c[2] == w[2] for r in rows for c, w in zip(r[2], lists[r[0]]) if w[1])
+    with pytest.raises(Exception, match="no passage with id p0"):
+        mining.mine_negatives(gold, hits, queries, corpus.where("pid != 'p0'"), scorer).collect()
+
+
+def test_a_prepared_score_is_the_score(spark):
+    pairs = spark.createDataFrame([("The red, red car", "a car"), ("", "x"), ("x y", None), ("a", "the")], "q string, t string")
+    got = pairs.select(
+        coverage_score(F.col("q"), F.col("t")).alias("a"),
+        coverage_score.score_prepared(F.col("q"), coverage_score.prepare(F.col("t"))).alias("b"),
+    ).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] and got[0]["a"] == 0.5
